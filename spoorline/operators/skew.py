@@ -119,3 +119,37 @@ def running_total(df: DataFrame, position: str, value: str, name: str, span: int
         .withColumn(name, F.col("_local") + F.col("_start"))
         .drop("_span", "_local", "_start")
     )
+
+
+def lookup(
+    rows: DataFrame,
+    key: str | Sequence[str],
+    facts: DataFrame,
+    facts_key: str | None = None,
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Join rows to a table that is unique on its key, even when one key fills the rows.
+
+    Only the facts of hot keys are broadcast, and fewer than rows / hot_rows keys can be hot. In a
+    left join, rows with a null key get null facts without being shuffled to one place.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    if facts_key and facts_key != keys[0]:
+        facts = facts.withColumnRenamed(facts_key, keys[0])
+    absent = None
+    if how == "left":
+        present = F.lit(True)
+        for k in keys:
+            present = present & F.col(k).isNotNull()
+        absent = rows.filter(~present).withColumns(
+            {f.name: F.lit(None).cast(f.dataType) for f in facts.schema if f.name not in keys}
+        )
+        rows = rows.filter(present)
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = F.broadcast(hot.select(*keys))
+    hot_facts = F.broadcast(facts.join(hot, keys, "left_semi"))
+    spread = rows.join(hot, keys, "left_semi").join(hot_facts, keys, how)
+    rest = rows.join(hot, keys, "left_anti").join(facts, keys, how)
+    out = rest.unionByName(spread)
+    return out if absent is None else out.unionByName(absent)
