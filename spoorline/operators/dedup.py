@@ -111,7 +111,7 @@ def hash_pairs(
         sized = durable(
             with_group_facts(keyed, ["mask", "key"], [F.count(F.lit(1)).alias("held")])
         )
-        keyed = sized.filter(F.col("held") <= limit).drop("held")
+        keyed = sized.filter(F.col("held") <= limit).select(*keyed.columns)
         hot_words = sized.filter(F.col("held") > limit).select("rep", "dhash").distinct()
     left = keyed.toDF("ra", "ha", "mask", "key")
     right = keyed.toDF("rb", "hb", "mask", "key")
@@ -242,7 +242,8 @@ def burst_pairs(manifest: DataFrame, seconds: float) -> DataFrame:
 def label_conflicts(manifest: DataFrame, links: DataFrame) -> DataFrame:
     """Links (a, b, reason) whose ends carry different identities; unknown ids are ignored."""
     sides = manifest.select("image_id", side_id().alias("side_id"))
-    named = lookup(links, "a", sides.withColumnRenamed("side_id", "side_a"), "image_id")
+    held = durable(links)
+    named = lookup(held, "a", sides.toDF("a", "side_a"), at_most=held.count())
     named = named.join(sides.toDF("b", "side_b"), "b")
     return named.filter(F.col("side_a") != F.col("side_b")).select(
         "a", "b", "reason", "side_a", "side_b"

@@ -37,14 +37,14 @@ def components(edges: DataFrame) -> DataFrame:
         nearest = both.groupBy("u").agg(F.min("v").alias("low"))
         nearest = nearest.select("u", F.least("u", "low").alias("low"))
         large = (
-            lookup(both, "u", nearest, "u")
+            lookup(both, "u", nearest, at_most=2 * mark[0])
             .filter("v > u")
             .select(F.col("v").alias("u"), F.col("low").alias("v"))
-            .distinct()
         )
-        large = durable(large)
         lowest = large.groupBy("u").agg(F.min("v").alias("low"))
-        moved = lookup(large, "u", lowest, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        moved = lookup(large, "u", lowest, at_most=2 * mark[0]).select(
+            F.col("v").alias("u"), F.col("low").alias("v")
+        )
         small = moved.filter("u <> v").unionByName(lowest.select("u", F.col("low").alias("v")))
         current = durable(small.distinct())
         previous, mark = mark, _fingerprint(current)
@@ -64,25 +64,32 @@ def leakage_groups(
     Sessions collapse first, so the graph holds one node per session rather than per image. Links
     across identities are conflicts, reported by ``label_conflicts`` and never merged here.
     """
-    rows = manifest.select("image_id", side_id().alias("side_id"), "capture_session_id")
+    rows = durable(
+        manifest.select("image_id", side_id().alias("side_id"), "capture_session_id")
+    )
+    images = rows.count()
     sessions = durable(
         with_group_facts(
-            rows, ["side_id", "capture_session_id"], [F.min("image_id").alias("rep")]
+            rows,
+            ["side_id", "capture_session_id"],
+            [F.min("image_id").alias("rep")],
+            at_most=images,
         ).select("image_id", "side_id", "rep")
     )
-    links = link_union(
-        frame_links(manifest), near_pairs, burst_pairs(manifest, burst_seconds)
-    )
+    links = [frame_links(manifest), near_pairs.select("a", "b")]
+    if burst_seconds > 0:
+        links.append(burst_pairs(manifest, burst_seconds))
+    linked = durable(link_union(*links))
     left = sessions.toDF("a", "side_a", "rep_a")
     right = sessions.toDF("b", "side_b", "rep_b")
     crossing = (
-        lookup(links, "a", left, "a")
+        lookup(linked, "a", left, at_most=linked.count())
         .join(right, "b")
         .filter((F.col("side_a") == F.col("side_b")) & (F.col("rep_a") != F.col("rep_b")))
         .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     )
     roots = components(crossing)
-    grouped = lookup(sessions, "rep", roots, "node", how="left")
+    grouped = lookup(sessions, "rep", roots, "node", how="left", at_most=images)
     return grouped.select(
         "image_id",
         "side_id",

@@ -228,8 +228,10 @@ def with_place_facts(log: DataFrame, parks: DataFrame, zones: DataFrame) -> Data
     """Local facts of every edit: does the park exist, which park has the zone, what fails."""
     park = parks.select(F.col("id").alias("park_id"), F.lit(True).alias("_park"))
     zone = zones.select(F.col("id").alias("zone_id"), F.col("park_id").alias("zone_park"))
-    rows = lookup(log, "park_id", park, how="left")
-    rows = lookup(rows, "zone_id", zone, how="left")
+    held = durable(log)
+    size = held.count()
+    rows = durable(lookup(held, "park_id", park, how="left", at_most=size))
+    rows = lookup(rows, "zone_id", zone, how="left", at_most=size)
 
     def bad_uuid(which: str) -> Column:
         return F.col(f"{which}_set") & F.col(f"{which}_id").isNotNull() & ~F.col(
@@ -426,19 +428,25 @@ def replay_outcomes(log: DataFrame, parks: DataFrame, zones: DataFrame) -> DataF
     """
     known = log.filter(F.col("op").isin("create", "patch", "submit"))
     rows = durable(with_place_facts(known, parks, zones).withColumn("_create", _create_failure()))
+    size = rows.count()
     born = (
         rows.filter((F.col("op") == "create") & F.col("_create").isNull())
         .groupBy("encounter_id")
         .agg(F.min("seq").alias("born"))
     )
     closed = (
-        lookup(rows.filter(F.col("op") == "submit").select("encounter_id", "seq"), "encounter_id", born)
+        lookup(
+            rows.filter(F.col("op") == "submit").select("encounter_id", "seq"),
+            "encounter_id",
+            born,
+            at_most=size,
+        )
         .filter(F.col("seq") > F.col("born"))
         .groupBy("encounter_id")
         .agg(F.min("seq").alias("closed"))
     )
     bounds = born.join(closed, "encounter_id", "left")
-    placed = durable(lookup(rows, "encounter_id", bounds, how="left"))
+    placed = durable(lookup(rows, "encounter_id", bounds, how="left", at_most=size))
     op, seq = F.col("op"), F.col("seq")
     alive = F.col("born").isNotNull() & (seq >= F.col("born"))
     draft = alive & (F.col("closed").isNull() | (seq < F.col("closed")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions.stats import rate, share, wilson_interval
+from spoorline.operators.keys import with_keys
 from spoorline.operators.skew import ordered_numbers, running_total
 from spoorline.session import durable
 
@@ -217,6 +218,61 @@ def dataset_stats(assignments: DataFrame, manifest: DataFrame, partition: str) -
     )
 
 
+def inventory(manifest: DataFrame) -> DataFrame:
+    """Long counts (measure, key, n) of a manifest.
+
+    Images are first reduced to one row per identity and session, so every later distinct count
+    works on that much smaller table.
+    """
+    rows = with_keys(manifest).withColumn(
+        "_known", (F.col("capture_timestamp_if_known") != "").cast("bigint")
+    )
+    sessions = rows.groupBy("individual", "side", "side_id", "capture_session_id").agg(
+        F.count(F.lit(1)).alias("images"), F.sum("_known").alias("known")
+    )
+    sides = sessions.groupBy("individual", "side", "side_id").agg(
+        F.sum("images").alias("images"),
+        F.count(F.lit(1)).alias("sessions"),
+        F.sum("known").alias("known"),
+    )
+
+    def one(measure: str, n: Column) -> Column:
+        return F.struct(
+            F.lit(measure).alias("measure"), F.lit("").alias("key"), n.cast("bigint").alias("n")
+        )
+
+    totals = sides.agg(
+        F.sum("images").alias("a"),
+        F.count_distinct("individual").alias("b"),
+        F.count(F.lit(1)).alias("c"),
+        F.count_if(F.col("images") >= 4).alias("d"),
+        F.count_if(F.col("sessions") >= 2).alias("e"),
+        F.sum("known").alias("f"),
+    ).select(
+        F.inline(
+            F.array(
+                one("image_count", F.col("a")),
+                one("individual_count", F.col("b")),
+                one("side_id_count", F.col("c")),
+                one("side_ids_with_at_least_4_images", F.col("d")),
+                one("side_ids_with_at_least_2_sessions", F.col("e")),
+                one("timestamps_known", F.col("f")),
+            )
+        )
+    )
+
+    def histogram(measure: str, key: str, n: Column) -> DataFrame:
+        return sides.groupBy(F.col(key).cast("string").alias("key")).agg(n.alias("n")).select(
+            F.lit(measure).alias("measure"), "key", "n"
+        )
+
+    return (
+        totals.unionByName(histogram("side_counts", "side", F.sum("images")))
+        .unionByName(histogram("images_per_side_id", "images", F.count(F.lit(1))))
+        .unionByName(histogram("sessions_per_side_id", "sessions", F.count(F.lit(1))))
+    )
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -17,15 +17,22 @@ HOT_ROWS = 2_000_000  # a key above this is hot; a table of N rows has fewer tha
 
 
 def with_group_facts(
-    df: DataFrame, keys: Sequence[str], facts: Sequence[Column], hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    facts: Sequence[Column],
+    hot_rows: int = HOT_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add per-group aggregates to every row (keys must not be null).
 
     The aggregates combine map-side. Hot keys are then joined by broadcast, which is safe because
     fewer than rows / hot_rows of them exist; their rows never shuffle to one place. All other keys
-    take the ordinary shuffled join. When no key is hot, adaptive execution drops that branch.
+    take the ordinary shuffled join. When no key is hot, adaptive execution drops that branch. A
+    caller that knows its row count passes ``at_most``: below hot_rows no key can be hot.
     """
     keys = list(keys)
+    if at_most is not None and at_most <= hot_rows:
+        return df.join(df.groupBy(*keys).agg(*facts), keys, "inner")
     grouped = df.groupBy(*keys).agg(*facts, F.count(F.lit(1)).alias("_n"))
     hot = F.broadcast(grouped.filter(F.col("_n") > hot_rows))
     cool = grouped.filter(F.col("_n") <= hot_rows)
@@ -128,15 +135,19 @@ def lookup(
     facts_key: str | None = None,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Join rows to a table that is unique on its key, even when one key fills the rows.
 
     Only the facts of hot keys are broadcast, and fewer than rows / hot_rows keys can be hot. In a
-    left join, rows with a null key get null facts without being shuffled to one place.
+    left join, rows with a null key get null facts without being shuffled to one place. A caller
+    that knows its row count passes ``at_most``: below hot_rows no key can be hot.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if facts_key and facts_key != keys[0]:
         facts = facts.withColumnRenamed(facts_key, keys[0])
+    if at_most is not None and at_most <= hot_rows:
+        return rows.join(facts, keys, how)
     absent = None
     if how == "left":
         present = F.lit(True)

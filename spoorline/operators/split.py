@@ -145,11 +145,14 @@ def assign_roles(
     groups: DataFrame, unknown: DataFrame, params: SplitParameters, last: bool = True
 ) -> DataFrame:
     """(side_id, group, partition, role): latest groups are queries, earlier ones gallery."""
-    counted = with_group_facts(groups, ["side_id"], [F.count(F.lit(1)).alias("_groups")])
-    named = counted.withColumn(
-        "individual", F.regexp_extract("side_id", r"(?s)^(.*):[^:]*\z", 1)
+    held = durable(
+        groups.withColumn("individual", F.regexp_extract("side_id", r"(?s)^(.*):[^:]*\z", 1))
     )
-    named = lookup(named, "individual", unknown, "individual")
+    rows = held.count()
+    counted = with_group_facts(
+        held, ["side_id"], [F.count(F.lit(1)).alias("_groups")], at_most=rows
+    )
+    named = lookup(counted, "individual", unknown, at_most=rows)
     n_query = _query_count(F.col("_groups"), params.query_fraction)
     query = F.col("place") > F.col("_groups") - n_query if last else F.col("place") <= n_query
     role = (
@@ -194,7 +197,7 @@ def build_split(
     )
     roles = assign_roles(order_groups(members, params.seed), unknown, params)
     # groups never cross identities, so the group alone names its row
-    placed = lookup(members, "group", roles.drop("side_id"), "group")
+    placed = lookup(members, "group", roles.drop("side_id"), at_most=members.count())
     out = placed.withColumn("reason", F.lit("")).select(*ASSIGNMENT_FIELDS)
     if excluded is None:
         return out
