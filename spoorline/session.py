@@ -13,6 +13,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         SparkSession.builder.master(f"local[{cores}]")
         .appName("spoorline")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
