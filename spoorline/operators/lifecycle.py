@@ -226,13 +226,22 @@ def edit_dict(row: object) -> dict:
 
 def with_place_facts(log: DataFrame, parks: DataFrame, zones: DataFrame) -> DataFrame:
     """Local facts of every edit: does the park exist, which park has the zone, what fails."""
-    park = parks.select(F.col("id").alias("park_id"), F.lit(True).alias("_park"))
-    zone = zones.select(F.col("id").alias("zone_id"), F.col("park_id").alias("zone_park"))
+    park, zone = place_tables(parks, zones)
     held = durable(log)
     size = held.count()
     rows = durable(lookup(held, "park_id", park, how="left", at_most=size))
-    rows = lookup(rows, "zone_id", zone, how="left", at_most=size)
+    return edit_facts(lookup(rows, "zone_id", zone, how="left", at_most=size))
 
+
+def place_tables(parks: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (
+        parks.select(F.col("id").alias("park_id"), F.lit(True).alias("_park")),
+        zones.select(F.col("id").alias("zone_id"), F.col("park_id").alias("zone_park")),
+    )
+
+
+def edit_facts(rows: DataFrame) -> DataFrame:
+    """Failures that an edit carries in itself, after its park and zone were looked up."""
     def bad_uuid(which: str) -> Column:
         return F.col(f"{which}_set") & F.col(f"{which}_id").isNotNull() & ~F.col(
             f"{which}_id"
@@ -254,7 +263,7 @@ def with_place_facts(log: DataFrame, parks: DataFrame, zones: DataFrame) -> Data
     ).drop("_park")
 
 
-def _create_failure() -> Column:
+def create_failure() -> Column:
     """First failure of a creation; its fields stand alone (unset means absent)."""
     park = F.when(F.col("park_set"), F.col("park_id"))
     zone = F.when(F.col("zone_set"), F.col("zone_id"))
@@ -427,7 +436,7 @@ def replay_outcomes(log: DataFrame, parks: DataFrame, zones: DataFrame) -> DataF
     value: captured(_at), park(_id), zone(_id), behavior, notes.
     """
     known = log.filter(F.col("op").isin("create", "patch", "submit"))
-    rows = durable(with_place_facts(known, parks, zones).withColumn("_create", _create_failure()))
+    rows = durable(with_place_facts(known, parks, zones).withColumn("_create", create_failure()))
     size = rows.count()
     born = (
         rows.filter((F.col("op") == "create") & F.col("_create").isNull())

@@ -30,27 +30,21 @@ def rank_identities(best: DataFrame) -> DataFrame:
 def true_rank(best: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, rank) by counting better identities; no sort. Null rank: truth not in gallery.
 
-    ``truth``: query_id, side_id. Two partial aggregates on query_id and one join each.
+    ``truth``: query_id, side_id. The true score comes from an equi-join on (query, identity); the
+    count is one partial aggregate per query.
     """
-    answer = truth.select("query_id", F.col("side_id").alias("_truth"))
-    marked = best.join(answer, "query_id")
-    own = marked.groupBy("query_id").agg(
-        F.max(F.when(F.col("side_id") == F.col("_truth"), F.col("score"))).alias("_own")
+    answer = truth.select("query_id", "side_id").join(best, ["query_id", "side_id"]).select(
+        "query_id", F.col("side_id").alias("_truth"), F.col("score").alias("_own")
     )
     better = (F.col("score") > F.col("_own")) | (
         (F.col("score") == F.col("_own")) & (F.col("side_id") < F.col("_truth"))
     )
     ranks = (
-        marked.join(own, "query_id")
+        best.join(answer, "query_id")
         .groupBy("query_id")
-        .agg(
-            F.first("_own").alias("_own"),
-            (F.count_if(better) + 1).alias("_rank"),
-        )
-    )
-    return truth.select("query_id").join(ranks, "query_id", "left").select(
-        "query_id", F.when(F.col("_own").isNotNull(), F.col("_rank")).alias("rank")
+        .agg((F.count_if(better) + 1).alias("rank"))
     )
+    return truth.select("query_id").join(ranks, "query_id", "left")
 
 
 def best_score(best: DataFrame, queries: DataFrame) -> DataFrame:

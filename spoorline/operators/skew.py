@@ -33,12 +33,12 @@ def with_group_facts(
     keys = list(keys)
     if at_most is not None and at_most <= hot_rows:
         return df.join(df.groupBy(*keys).agg(*facts), keys, "inner")
-    grouped = df.groupBy(*keys).agg(*facts, F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(grouped.filter(F.col("_n") > hot_rows))
-    cool = grouped.filter(F.col("_n") <= hot_rows)
+    grouped = df.groupBy(*keys).agg(*facts, F.count(F.lit(1)).alias("_key_rows"))
+    hot = F.broadcast(grouped.filter(F.col("_key_rows") > hot_rows))
+    cool = grouped.filter(F.col("_key_rows") <= hot_rows)
     spread = df.join(hot, keys, "inner")
     rest = df.join(hot.select(*keys), keys, "left_anti").join(cool, keys, "inner")
-    return rest.unionByName(spread).drop("_n")
+    return rest.unionByName(spread).drop("_key_rows")
 
 
 def hash_ordered_numbers(
@@ -157,7 +157,7 @@ def lookup(
             {f.name: F.lit(None).cast(f.dataType) for f in facts.schema if f.name not in keys}
         )
         rows = rows.filter(present)
-    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_key_rows")).filter(F.col("_key_rows") > hot_rows)
     hot = F.broadcast(hot.select(*keys))
     hot_facts = F.broadcast(facts.join(hot, keys, "left_semi"))
     spread = rows.join(hot, keys, "left_semi").join(hot_facts, keys, how)

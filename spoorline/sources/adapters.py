@@ -419,15 +419,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(
+    spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """One view; ``given`` replaces base tables, for instance by a stream."""
+    given = given or {}
     text = view_sql(name, "spark")
     for other in _needs(text, list(VIEWS)):
         text = re.sub(rf"\b{other}\b", "{" + other + "}", text)
     tables = _needs(text, TABLES)
     for used in tables:
         text = re.sub(rf"(from|join) {used}\b", r"\1 {" + used + "}", text)
-    sources = {n: table(spark, sf_dir, n) for n in tables if "{" + n + "}" in text}
-    sources |= {n: view(spark, sf_dir, n) for n in VIEWS if "{" + n + "}" in text}
+    sources = {
+        n: given[n] if n in given else table(spark, sf_dir, n)
+        for n in tables
+        if "{" + n + "}" in text
+    }
+    sources |= {n: view(spark, sf_dir, n, given) for n in VIEWS if "{" + n + "}" in text}
     return ready(spark).sql(text, **sources)
 
 
@@ -439,7 +447,8 @@ def manifest(spark: SparkSession, sf_dir: str, name: str = "manifest_v") -> Data
 
 
 def micros_to_time(df: DataFrame) -> DataFrame:
-    """Every ``*_us`` column as a timestamp ``*_at``."""
+    """Every ``*_us`` column as a timestamp ``*_at`` (``at_us`` as ``at``)."""
     for c in [c for c in df.columns if c.endswith("_us")]:
-        df = df.withColumn(c[:-3] + "_at", F.timestamp_micros(c)).drop(c)
+        name = "at" if c == "at_us" else c[:-3] + "_at"
+        df = df.withColumn(name, F.timestamp_micros(c)).drop(c)
     return df
