@@ -117,11 +117,13 @@ def head_crop(images: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFr
         F.sequence(b[1], b[3] - 1),
         lambda y: F.hex(F.substring(F.col("px"), y * F.col("width") + b[0] + 1, b[2] - b[0])),
     )
-    crops = rows.filter(good).select(
+    # the cut is computed before width is renamed: a lambda would see the new name
+    cut = rows.filter(good).withColumn("_cut", F.unhex(F.array_join(lines, "")))
+    crops = cut.select(
         "image_id",
         (b[2] - b[0]).alias("width"),
         (b[3] - b[1]).alias("height"),
-        F.unhex(F.array_join(lines, "")).alias("px"),
+        F.col("_cut").alias("px"),
     )
     code = (
         F.when(F.coalesce("box", F.lit("")) == "", "missing_box")
