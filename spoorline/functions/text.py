@@ -31,7 +31,7 @@ def strip(c: Column | str) -> Column:
 
 def blank(c: Column | str) -> Column:
     """True for null, empty or all-space text."""
-    return F.coalesce(strip(c), F.lit("")) == ""
+    return ~F.coalesce(col(c).rlike(f"[^{SPACE[1:]}"), F.lit(False))
 
 
 def normalize_slug(c: Column | str) -> Column:

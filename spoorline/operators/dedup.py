@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spoorline.operators.keys import side_id
 from spoorline.operators.skew import lookup, with_group_facts
-from spoorline.operators.validate import is_aware, iso_instant
+from spoorline.operators.validate import is_aware, known_instant
 from spoorline.session import durable
 
 BITS = 64
@@ -152,11 +152,7 @@ def near_duplicate_pairs(
     """
     reps = durable(phash.groupBy("dhash").agg(F.min("image_id").alias("rep")).select("rep", "dhash"))
     across = hash_pairs(reps, max_distance, bucket_limit)
-    copies = (
-        with_group_facts(phash.select("image_id", "dhash"), ["dhash"], [F.min("image_id").alias("a")])
-        .filter(F.col("image_id") != F.col("a"))
-        .select("a", F.col("image_id").alias("b"), F.lit(0).alias("distance"))
-    )
+    copies = _star(phash.select("image_id", "dhash"), ["dhash"]).withColumn("distance", F.lit(0))
     return across.unionByName(copies)
 
 
@@ -189,9 +185,11 @@ def frame_links(manifest: DataFrame) -> DataFrame:
     return _star(rows, ["dataset_id", "frame"])
 
 
-def _star(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _star(rows: DataFrame, keys: list[str], at_most: int | None = None) -> DataFrame:
+    several = F.col("_members") > 1
+    facts = [F.min("image_id").alias("a"), F.count(F.lit(1)).alias("_members")]
     return (
-        with_group_facts(rows, keys, [F.min("image_id").alias("a")])
+        with_group_facts(rows, keys, facts, at_most=at_most, having=several)
         .filter(F.col("image_id") != F.col("a"))
         .select("a", F.col("image_id").alias("b"))
     )
@@ -204,7 +202,7 @@ def _buckets(manifest: DataFrame, seconds: float) -> tuple[DataFrame, int]:
         "image_id",
         side_id().alias("side_id"),
         is_aware(stamp).alias("aware"),
-        F.unix_micros(iso_instant(stamp)).alias("us"),
+        F.unix_micros(known_instant(stamp)).alias("us"),
     ).filter(F.col("us").isNotNull())
     return rows.withColumn("bucket", F.floor(F.col("us") / F.lit(width))), width
 
@@ -220,6 +218,7 @@ def burst_pairs(manifest: DataFrame, seconds: float) -> DataFrame:
     if seconds <= 0:
         return manifest.limit(0).select(F.col("image_id").alias("a"), F.col("image_id").alias("b"))
     rows, width = _buckets(manifest, seconds)
+    rows = durable(rows)  # parsed once, then read by both aggregates
     keys = ["side_id", "aware", "bucket"]
     edges = rows.groupBy(*keys).agg(
         F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.min("image_id").alias("rep")
@@ -236,7 +235,7 @@ def burst_pairs(manifest: DataFrame, seconds: float) -> DataFrame:
         .filter(F.col("next_us") - F.col("last_us") <= width)
         .select(F.least("rep", "next_rep").alias("a"), F.greatest("rep", "next_rep").alias("b"))
     )
-    return _star(rows, keys).unionByName(bridges)
+    return _star(rows, keys, at_most=rows.count()).unionByName(bridges)
 
 
 def label_conflicts(manifest: DataFrame, links: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ def with_group_facts(
     facts: Sequence[Column],
     hot_rows: int = HOT_ROWS,
     at_most: int | None = None,
+    having: Column | None = None,
 ) -> DataFrame:
     """Add per-group aggregates to every row (keys must not be null).
 
@@ -29,11 +30,14 @@ def with_group_facts(
     fewer than rows / hot_rows of them exist; their rows never shuffle to one place. All other keys
     take the ordinary shuffled join. When no key is hot, adaptive execution drops that branch. A
     caller that knows its row count passes ``at_most``: below hot_rows no key can be hot.
+    ``having`` keeps only rows of some groups, and filters the groups before they are joined.
     """
     keys = list(keys)
-    if at_most is not None and at_most <= hot_rows:
-        return df.join(df.groupBy(*keys).agg(*facts), keys, "inner")
     grouped = df.groupBy(*keys).agg(*facts, F.count(F.lit(1)).alias("_key_rows"))
+    if having is not None:
+        grouped = grouped.filter(having)
+    if at_most is not None and at_most <= hot_rows:
+        return df.join(grouped.drop("_key_rows"), keys, "inner")
     hot = F.broadcast(grouped.filter(F.col("_key_rows") > hot_rows))
     cool = grouped.filter(F.col("_key_rows") <= hot_rows)
     spread = df.join(hot, keys, "inner")

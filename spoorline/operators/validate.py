@@ -94,14 +94,23 @@ def errors(df: DataFrame, entity: Column | str, rules: Sequence[Rule]) -> DataFr
 def duplicates(
     df: DataFrame, keys: dict[str, Column], entity: str, field: str, code: str, message: str
 ) -> DataFrame:
-    """Every row whose key occurs more than once; rows with a null key are ignored."""
+    """One error per key that occurs more than once, on its smallest entity; null keys are ignored.
+
+    A single partial aggregate: no join back, and copies of one key never gather.
+    """
     keyed = df.select(F.col(entity).alias("entity_id"), *[c.alias(k) for k, c in keys.items()])
+    counted = keyed.groupBy(*keys).agg(
+        F.min("entity_id").alias("entity_id"), F.count(F.lit(1)).alias("_copies")
+    )
+    repeated = counted.filter(F.col("_copies") > 1)
     for k in keys:
-        keyed = keyed.filter(F.col(k).isNotNull())
-    counted = with_group_facts(keyed, list(keys), [F.count(F.lit(1)).alias("_copies")])
-    return counted.filter("_copies > 1").select(
-        "entity_id", F.lit(field).alias("field"), F.lit(code).alias("code"),
-        F.lit(message).alias("message"),
+        repeated = repeated.filter(F.col(k).isNotNull())
+    held = F.concat(F.lit(f"{message} ("), F.col("_copies").cast("string"), F.lit(" rows)"))
+    return repeated.select(
+        "entity_id",
+        F.lit(field).alias("field"),
+        F.lit(code).alias("code"),
+        held.alias("message"),
     )
 
 
@@ -187,9 +196,14 @@ def iso_instant(c: Column | str) -> Column:
     return F.when(shaped, text.try_cast("timestamp"))
 
 
+def known_instant(c: Column | str) -> Column:
+    """Instant of text that already passed validation: no trimming and no shape check."""
+    return F.when(col(c) != "", col(c).try_cast("timestamp"))
+
+
 def is_aware(c: Column | str) -> Column:
     """Whether ISO text carries an offset; naive and aware stamps are never compared."""
-    return strip(c).rlike(r"T.*(Z|[+-][0-9]{2}:[0-9]{2})\z")
+    return col(c).endswith("Z") | col(c).rlike(r"[+-][0-9]{2}:[0-9]{2}\z")
 
 
 def validate_manifest_rows(manifest: DataFrame) -> DataFrame:
@@ -240,7 +254,8 @@ def validate_manifest_cross(manifest: DataFrame) -> DataFrame:
         manifest.select("image_id", "file_sha256"),
         ["file_sha256"],
         [F.min("image_id").alias("first"), F.count(F.lit(1)).alias("copies")],
-    ).filter("copies > 1")
+        having=F.col("copies") > 1,
+    )
     same_file = shared.select(
         F.col("image_id").alias("entity_id"),
         F.lit("file_sha256").alias("field"),

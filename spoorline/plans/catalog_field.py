@@ -216,8 +216,9 @@ def redact_location(spark, sf):
 
 
 def dup_sql(source: str, entity: str, key: str, field: str) -> str:
-    return f"""select {entity} as entity_id, '{field}' as field, 'unique' as code from {source}
-    where ({key}) in (select {key} from {source} group by {key} having count(*) > 1)"""
+    present = " and ".join(f"{k.strip()} is not null" for k in key.split(", "))
+    return f"""select min({entity}) as entity_id, '{field}' as field, 'unique' as code from {source}
+    where {present} group by {key} having count(*) > 1"""
 
 
 def orphan_sql(source: str, entity: str, ref: str, target: str, field: str) -> str:

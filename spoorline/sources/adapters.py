@@ -106,14 +106,15 @@ VIEWS: dict[str, str | dict[str, str]] = {
       as base from embeddings)""",
     },
     "features_v": {
-        "spark": """select image_id, side_id, k, transform(raised, x -> x / norm) as vector from (
-  select *, sqrt(aggregate(raised, 0D, (s, x) -> s + x * x)) as norm from (
+        # the norm is bound by the finishing lambda; as a column it would be redone per element
+        "spark": """select image_id, side_id, k, aggregate(raised, 0D, (s, x) -> s + x * x,
+    s -> transform(raised, x -> x / sqrt(s))) as vector from (
     select 'img-' || lpad(cast(vec_id as string), 10, '0') as image_id, vec_id % 10 as k,
       'ds:ind-' || cast(vec_id div 20 as string) || ':' ||
         case when (vec_id div 10) % 2 = 0 then 'left' else 'right' end as side_id,
       transform(embedding, (x, i) -> cast(x as double) +
         case when i = (vec_id div 10) % 64 then 0.4D else 0D end) as raised
-    from embeddings))""",
+    from embeddings)""",
         "check": """select image_id, side_id, k,
     list_transform(raised, lambda x: x / sqrt(list_dot_product(raised, raised))) as vector from (
     select 'img-' || lpad(cast(vec_id as string), 10, '0') as image_id, vec_id % 10 as k,

@@ -25,7 +25,7 @@ from spoorline.operators.lifecycle import (
     merged_place,
     place_tables,
 )
-from spoorline.operators.validate import is_aware, iso_instant
+from spoorline.operators.validate import is_aware, known_instant
 
 NO_TIMEOUT = GroupStateTimeout.NoTimeout
 
@@ -176,7 +176,7 @@ def stream_burst_sessions(
         "image_id",
         side_id().alias("side_id"),
         is_aware(stamp).alias("aware"),
-        iso_instant(stamp).alias("at"),
+        known_instant(stamp).alias("at"),
     ).filter(F.col("at").isNotNull())
     session = F.session_window("at", f"{int(seconds)} seconds")
     return (
