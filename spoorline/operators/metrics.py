@@ -84,9 +84,10 @@ def calibrate_threshold(unknown_best: DataFrame, target_far: float = 0.05) -> Da
     return picked.select(
         "n",
         "boundary",
-        F.expr("java_method('java.lang.Math', 'nextUp', boundary)")
-        .cast("double")
-        .alias("threshold"),
+        F.when(
+            F.col("boundary").isNotNull(),
+            F.expr("java_method('java.lang.Math', 'nextUp', coalesce(boundary, 0D))").cast("double"),
+        ).alias("threshold"),
     )
 
 
