@@ -12,6 +12,8 @@ from spoorline.session import local_session  # noqa: E402
 def spark():
     session = local_session("8", partitions=4, memory="6g")
     session.sparkContext.setLogLevel("OFF")
+    # tiny inputs would otherwise collapse to one partition and leave partition edges untested
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield session
     session.stop()
 
