@@ -149,11 +149,10 @@ def profile_updates(users: DataFrame, patches: DataFrame) -> DataFrame:
         merged = merged.withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
     named = merged.filter(F.col("username").isNotNull())
     taken = named.groupBy(F.lower("username").alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
-    flagged = merged.withColumn("_name", F.lower("username"))
-    return (
-        flagged.join(taken.filter("_n > 1"), "_name", "left")
-        .withColumn("username_taken", F.col("_n").isNotNull())
-        .drop("_name", "_n")
+    taken = taken.filter("_n > 1").select("_name", F.lit(True).alias("_taken"))
+    flagged = lookup(merged.withColumn("_name", F.lower("username")), "_name", taken, how="left")
+    return flagged.withColumn("username_taken", F.coalesce("_taken", F.lit(False))).drop(
+        "_name", "_taken"
     )
 
 

@@ -344,8 +344,8 @@ def bounded_errors(errors: DataFrame, n: int = EXAMPLES) -> DataFrame:
 def compare_metric_tables(a: DataFrame, b: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Differences of two flattened records (path, kind, text, number).
 
-    ``kind`` is text, bool, number, null or length. NaN equals NaN; equal infinities differ only
-    as their difference does.
+    ``kind`` is text, bool, number, null or length. NaN equals NaN; infinities differ, as their
+    difference is not a number. Lists of different length are reported once, by their length.
     """
     left = a.select("path", *[F.col(c).alias(f"a_{c}") for c in ("kind", "text", "number")])
     right = b.select("path", *[F.col(c).alias(f"b_{c}") for c in ("kind", "text", "number")])
@@ -359,36 +359,64 @@ def compare_metric_tables(a: DataFrame, b: DataFrame, tolerance: float = 1e-9) -
         .when(numbers & both_nan, F.lit(None))
         .when(numbers & far, "number differs")
         .when(numbers, F.lit(None))
+        .when(
+            (F.col("a_kind") == "length") & (F.col("a_text") != F.col("b_text")), "length differs"
+        )
         .when(
             (F.col("a_kind") != F.col("b_kind")) | ~F.col("a_text").eqNullSafe(F.col("b_text")),
             "value differs",
         )
     )
-    return joined.select(
+    found = joined.select(
         "path",
         F.coalesce("a_text", F.col("a_number").cast("string")).alias("a"),
         F.coalesce("b_text", F.col("b_number").cast("string")).alias("b"),
         problem.alias("problem"),
     ).filter(F.col("problem").isNotNull())
+    uneven = found.filter("problem = 'length differs'").select(
+        F.regexp_replace("path", r"\.length\z", "").alias("_list")
+    )
+    element_of = F.regexp_extract("path", r"(?s)^(.*)\[[0-9]+\]\z", 1)
+    return found.join(uneven, element_of == F.col("_list"), "left_anti")
 
 
 def flatten_record(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Long (path, kind, text, number) rows of a wide record table, path = key.column."""
+    """Long (path, kind, text, number) rows of a wide record table.
+
+    Scalars are key.column; an array adds key.column.length and key.column[i] per element.
+    """
     parts = []
     for c in columns:
         kind = dict(df.dtypes)[c]
-        text = F.col(c).cast("string") if kind in ("string", "boolean") else F.lit(None)
-        number = F.lit(None) if kind in ("string", "boolean") else F.col(c).cast("double")
-        name = {"string": "text", "boolean": "bool"}.get(kind, "number")
-        parts.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.when(F.col(c).isNull(), "null").otherwise(name).alias("kind"),
-                text.cast("string").alias("text"),
-                number.cast("double").alias("number"),
-            )
+        if not kind.startswith("array<"):
+            parts.append(F.array(_leaf(F.lit(c), F.col(c), kind)))
+            continue
+        length = F.struct(
+            F.lit(f"{c}.length").alias("column"),
+            F.lit("length").alias("kind"),
+            F.size(c).cast("string").alias("text"),
+            F.lit(None).cast("double").alias("number"),
         )
-    rows = df.select(F.col(key).cast("string").alias("_key"), F.explode(F.array(*parts)).alias("e"))
+        parts.append(F.concat(F.array(length), _cells(c, kind[len("array<") : -1])))
+    rows = df.select(F.col(key).cast("string").alias("_key"), F.explode(F.concat(*parts)).alias("e"))
     return rows.select(
         F.concat_ws(".", "_key", "e.column").alias("path"), "e.kind", "e.text", "e.number"
     )
+
+
+def _cells(column: str, kind: str) -> Column:
+    def cell(value: Column, i: Column) -> Column:
+        return _leaf(F.concat(F.lit(f"{column}["), i.cast("string"), F.lit("]")), value, kind)
+
+    return F.transform(column, cell)
+
+
+def _leaf(name: Column, value: Column, kind: str) -> Column:
+    word = {"string": "text", "boolean": "bool"}.get(kind, "number")
+    none = F.lit(None)
+    return F.struct(
+        name.alias("column"),
+        F.when(value.isNull(), "null").otherwise(word).alias("kind"),
+        (none if word == "number" else value).cast("string").alias("text"),
+        (value if word == "number" else none).cast("double").alias("number"),
+    )

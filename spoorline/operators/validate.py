@@ -6,8 +6,10 @@ and reference rules add one partial aggregate or one anti-join each.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -580,9 +582,77 @@ def validate_parks(parks: DataFrame, timezones: DataFrame) -> DataFrame:
     return _all(local, unknown_zone, taken)
 
 
+BOUNDARY = "array<array<array<struct<x:double,y:double>>>>"
+
+
+def boundary_errors(zones: DataFrame) -> DataFrame:
+    """Zones whose boundary (polygons of rings of points) is not valid, with the first reason.
+
+    A ring is closed, has at least four points, encloses an area and never touches itself. Rows
+    are independent; one polygon is one small NumPy check.
+    """
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                rings = [ring for polygon in row.boundary for ring in polygon]
+                reasons = [r for r in (_ring_problem(ring) for ring in rings) if r]
+                if reasons or not rings:
+                    found.append((row.id, (reasons or ["empty"])[0]))
+            yield pd.DataFrame(found, columns=["entity_id", "code"])
+
+    drawn = zones.filter(F.col("boundary").isNotNull()).select("id", "boundary")
+    return drawn.mapInPandas(check, "entity_id string, code string").select(
+        "entity_id",
+        F.lit("boundary").alias("field"),
+        "code",
+        F.lit("boundary is not a valid multipolygon").alias("message"),
+    )
+
+
+def _ring_problem(ring: Sequence) -> str | None:
+    points = np.array([[p["x"], p["y"]] for p in ring], dtype=np.float64).reshape(-1, 2)
+    if len(points) < 4:
+        return "too_few_points"
+    if not np.isfinite(points).all():
+        return "not_finite"
+    if (points[0] != points[-1]).any():
+        return "not_closed"
+    start, end = points[:-1], points[1:]
+    area = np.sum(start[:, 0] * end[:, 1] - end[:, 0] * start[:, 1])
+    if area == 0:
+        return "no_area"
+    n = len(start)
+    i, j = np.triu_indices(n, 2)
+    apart = ~((i == 0) & (j == n - 1))  # first and last segment share their end point
+    i, j = i[apart], j[apart]
+
+    def side(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.sign(
+            (b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])
+        )
+
+    def boxes_meet(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        low, high = np.maximum(np.minimum(a, b), np.minimum(c, d)), np.minimum(
+            np.maximum(a, b), np.maximum(c, d)
+        )
+        return (low <= high).all(axis=1)
+
+    a, b, c, d = start[i], end[i], start[j], end[j]
+    meets = (
+        (side(a, b, c) * side(a, b, d) <= 0)
+        & (side(c, d, a) * side(c, d, b) <= 0)
+        & boxes_meet(a, b, c, d)
+    )
+    return "self_crossing" if meets.any() else None
+
+
 def validate_zones(zones: DataFrame, parks: DataFrame) -> DataFrame:
+    """Row, reference and uniqueness rules; a ``boundary`` column is checked when present."""
     slug = normalize_slug("slug")
+    drawn = [boundary_errors(zones)] if "boundary" in zones.columns else []
     return _all(
+        *drawn,
         errors(
             zones,
             "id",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spoorline.functions import text as tx
 from spoorline.operators import lifecycle, relational, validate
 from spoorline.plans.catalog_sets import ACCEPTED, coded, rules, seal_requests
+from spoorline.operators.skew import ordered_numbers
 from spoorline.plans.registry import query, scratch, stamp
 from spoorline.sources import files as src
 from spoorline.sources import sinks
@@ -667,22 +668,18 @@ def photo_count(spark, sf):
 
 @query(
     "list_orders",
-    """select 'park' as list, id, cast(row_number() over (order by name, id) as int) as place
+    """select 'park' as list, id, row_number() over (order by name, id) as place
     from parks_v where status = 'ACTIVE'
-  union all select 'zone', id, cast(row_number() over (partition by park_id order by name, id) as int)
+  union all select 'zone', id, row_number() over (partition by park_id order by name, id)
     from zones_v where status = 'ACTIVE'
-  union all select 'encounter', id, cast(row_number() over (partition by observer_user_id
-    order by captured_us desc, id) as int) from encounters_v""",
+  union all select 'encounter', id, row_number() over (partition by observer_user_id
+    order by captured_us desc, id) from encounters_v""",
 )
 def list_orders(spark, sf):
     """The place of each row in its public list, per owner where the list is a person's own."""
-    from pyspark.sql import Window
-
     def placed(name: str, rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-        return rows.select(
-            F.lit(name).alias("list"), "id", F.row_number().over(w).alias("place")
-        )
+        numbered = ordered_numbers(rows, keys, order, "place")
+        return numbered.select(F.lit(name).alias("list"), "id", "place")
 
     by_name = [F.col("name"), F.col("id")]
     newest = [F.col("captured_us").desc(), F.col("id")]

@@ -939,9 +939,8 @@ def dataset_stats(spark, sf):
     return mt.dataset_stats(built(spark, sf), manifest(spark, sf), "test")
 
 
-def tampered(spark: SparkSession, sf: str) -> DataFrame:
-    """The split with planted faults: moved roles, a lost image, a stranger, a repeat."""
-    rows = durable(built(spark, sf))
+def tampered(rows: DataFrame) -> DataFrame:
+    """A split with planted faults: moved roles, lost images, strangers, repeats."""
     n = F.substring("image_id", 5, 10).cast("bigint")
     moved = rows.filter(n % 50 != 3).withColumns(
         {
@@ -976,7 +975,7 @@ TAMPERED = """, numbered as (select *, cast(substr(image_id, 5, 10) as bigint) a
 
 @query("split_manifest_join", SPLIT + TAMPERED + " select image_id, problem from problems")
 def split_manifest_join(spark, sf):
-    return split.split_manifest_join(tampered(spark, sf), manifest(spark, sf))
+    return split.split_manifest_join(tampered(durable(built(spark, sf))), manifest(spark, sf))
 
 
 @query(
@@ -984,7 +983,7 @@ def split_manifest_join(spark, sf):
     SPLIT + TAMPERED + " select image_id from problems where problem = 'not assigned'",
 )
 def unassigned(spark, sf):
-    return split.unassigned(manifest(spark, sf), tampered(spark, sf))
+    return split.unassigned(manifest(spark, sf), tampered(durable(built(spark, sf))))
 
 
 @query(
@@ -992,7 +991,7 @@ def unassigned(spark, sf):
     SPLIT + TAMPERED + " select image_id from problems where problem = 'not in manifest'",
 )
 def extra_assignments(spark, sf):
-    return split.extra_assignments(tampered(spark, sf), manifest(spark, sf))
+    return split.extra_assignments(tampered(durable(built(spark, sf))), manifest(spark, sf))
 
 
 VIOLATIONS = """, active as (select t.*, capture_session_id from tampered t
@@ -1028,9 +1027,9 @@ REGROUPED = """, present as (select distinct image_id from active),
 )
 def verify_split(spark, sf):
     rows, pairs = manifest(spark, sf), near(spark, sf)
-    honest = built(spark, sf)
+    honest = durable(split.build_split(rows, pairs, PARAMS))
     header = split.seal(honest, rows, pairs, PARAMS)
-    found = split.verify_split(tampered(spark, sf), header, rows, pairs)
+    found = split.verify_split(tampered(honest), header, rows, pairs)
     sealed = F.col("rule") == "seal"
     return found.select(
         "rule",
@@ -1115,7 +1114,7 @@ def seal(spark, sf):
 def verify_seal(spark, sf):
     honest = durable(built(spark, sf))
     header = split.seal(honest, manifest(spark, sf), near(spark, sf), PARAMS)
-    checks = [("honest", honest), ("tampered", tampered(spark, sf))]
+    checks = [("honest", honest), ("tampered", tampered(honest))]
     parts = [
         split.verify_seal(rows, header).select(F.lit(name).alias("copy"), "intact")
         for name, rows in checks

@@ -31,6 +31,9 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_FALLBACK: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only on a local master."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,9 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    fallback = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if not _LOCAL_FALLBACK:
+        _LOCAL_FALLBACK.append(tempfile.mkdtemp(prefix="spark-"))
+    return _LOCAL_FALLBACK[0]
 
 
 def durable(df: DataFrame) -> DataFrame:

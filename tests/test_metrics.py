@@ -138,3 +138,14 @@ def test_compare_records(spark):
         ("w", "present in only one run"),
         ("z", "value differs"),
     ]
+
+
+def test_compare_lists_reports_uneven_length_once(spark):
+    schema = "run string, cmc array<double>, tags array<string>"
+    a = spark.createDataFrame([("r", [0.5, 1.0], ["x"])], schema)
+    b = spark.createDataFrame([("r", [0.5, 0.9, 1.0], ["y"])], schema)
+    flat = [metrics.flatten_record(d, "run", ["cmc", "tags"]) for d in (a, b)]
+    assert rows(metrics.compare_metric_tables(*flat), "path", "problem") == [
+        ("r.cmc.length", "length differs"),
+        ("r.tags[0]", "value differs"),
+    ]

@@ -137,3 +137,22 @@ def test_insert_absent_never_modifies(spark):
     merged, counts = relational.insert_absent(new, held)
     assert rows(merged, "id", "name") == [("1", "old"), ("3", "x")]
     assert tuple(counts.first()) == (1, 2)
+
+
+def ring(*points):
+    return [[{"x": float(x), "y": float(y)} for x, y in points]]
+
+
+@pytest.mark.parametrize("rings,code", [
+    (ring((0, 0), (2, 0), (2, 2), (0, 2), (0, 0)), None),
+    (ring((0, 0), (2, 0), (2, 2), (0, 2)), "not_closed"),
+    (ring((0, 0), (2, 0), (0, 0)), "too_few_points"),
+    (ring((0, 0), (2, 2), (2, 0), (0, 2), (0, 0)), "no_area"),
+    (ring((0, 0), (4, 4), (4, 0), (0, 3), (0, 0)), "self_crossing"),
+    (ring((0, 0), (1, 1), (2, 2), (0, 0)), "no_area"),
+])
+def test_boundaries(spark, rings, code):
+    df = spark.createDataFrame(
+        [("z", [rings]), ("none", None)], f"id string, boundary {validate.BOUNDARY}"
+    )
+    assert [r["code"] for r in validate.boundary_errors(df).collect()] == ([code] if code else [])
