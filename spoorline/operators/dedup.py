@@ -174,8 +174,9 @@ def expand_near_pairs(pairs: DataFrame, phash: DataFrame) -> DataFrame:
 
 def session_links(manifest: DataFrame) -> DataFrame:
     """Star links inside one identity's session."""
-    rows = manifest.select("image_id", side_id().alias("side_id"), "capture_session_id")
-    return _star(rows, ["side_id", "capture_session_id"])
+    session = F.coalesce("capture_session_id", F.lit("")).alias("session")
+    rows = manifest.select("image_id", side_id().alias("side_id"), session)
+    return _star(rows, ["side_id", "session"])
 
 
 def frame_links(manifest: DataFrame) -> DataFrame:

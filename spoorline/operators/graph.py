@@ -64,14 +64,13 @@ def leakage_groups(
     Sessions collapse first, so the graph holds one node per session rather than per image. Links
     across identities are conflicts, reported by ``label_conflicts`` and never merged here.
     """
-    rows = durable(
-        manifest.select("image_id", side_id().alias("side_id"), "capture_session_id")
-    )
+    session = F.coalesce("capture_session_id", F.lit("")).alias("session")
+    rows = durable(manifest.select("image_id", side_id().alias("side_id"), session))
     images = rows.count()
     sessions = durable(
         with_group_facts(
             rows,
-            ["side_id", "capture_session_id"],
+            ["side_id", "session"],
             [F.min("image_id").alias("rep")],
             at_most=images,
         ).select("image_id", "side_id", "rep")

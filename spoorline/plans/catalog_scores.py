@@ -147,8 +147,20 @@ def known_best(spark: SparkSession, sf: str) -> DataFrame:
 
 def unknown_best(spark: SparkSession, sf: str) -> DataFrame:
     unknown = view(spark, sf, "scores_v").filter("is_unknown")
-    return ranking.best_score(
-        ranking.best_per_identity(unknown), unknown.select("query_id").distinct()
+    tops = ranking.best_per_identity(unknown).groupBy("query_id")
+    return tops.agg(F.max("score").alias("best"))
+
+
+def scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(known ranks, known best, unknown best) from one materialised identity table."""
+    table_ = durable(best(spark, sf))
+    truth = durable(view(spark, sf, "truth_v").select("query_id", "side_id"))
+    tops = durable(table_.groupBy("query_id").agg(F.max("score").alias("best")))
+    known = truth.select("query_id")
+    return (
+        ranking.true_rank(table_, truth),
+        tops.join(known, "query_id", "left_semi"),
+        tops.join(known, "query_id", "left_anti"),
     )
 
 
@@ -314,11 +326,7 @@ NK, NU = "count(*) filter (where known)", "count(*) filter (where not known)"
   from everyone""",
 )
 def open_set_metrics(spark, sf):
-    return rounded(
-        mt.open_set_metrics(
-            known_ranks(spark, sf), known_best(spark, sf), unknown_best(spark, sf), THRESHOLD
-        )
-    )
+    return rounded(mt.open_set_metrics(*scored(spark, sf), THRESHOLD))
 
 
 @query(
@@ -369,7 +377,8 @@ def stratify(spark, sf):
       count(*) filter (where rank <= 5) as hits from valued group by 1, 2)""",
 )
 def stratify_all_attributes(spark, sf):
-    described = view(spark, sf, "truth_v").join(known_best(spark, sf), "query_id")
+    ranks, tops, _ = scored(spark, sf)
+    described = view(spark, sf, "truth_v").join(tops, "query_id")
     attributes = F.map_filter(
         F.create_map(
             F.lit("light"),
@@ -382,7 +391,7 @@ def stratify_all_attributes(spark, sf):
         lambda _, v: v != "",
     )
     rows = durable(
-        known_ranks(spark, sf).join(described.select("query_id", attributes.alias("attributes")), "query_id")
+        ranks.join(described.select("query_id", attributes.alias("attributes")), "query_id")
     )
     return rounded(
         mt.stratify_all_attributes(
@@ -437,7 +446,8 @@ def false_positive_examples(spark, sf):
   from answers where rank > 5 or best < {THRESHOLD} order by rank desc, query_id limit 10""",
 )
 def false_negative_examples(spark, sf):
-    return mt.false_negative_examples(known_ranks(spark, sf), known_best(spark, sf), THRESHOLD)
+    ranks, tops, _ = scored(spark, sf)
+    return mt.false_negative_examples(ranks, tops, THRESHOLD)
 
 
 @query(
@@ -445,7 +455,8 @@ def false_negative_examples(spark, sf):
     RANKED + " select query_id, best from answers where rank = 1 order by best, query_id limit 10",
 )
 def hardest_correct(spark, sf):
-    return mt.hardest_correct(known_ranks(spark, sf), known_best(spark, sf))
+    ranks, tops, _ = scored(spark, sf)
+    return mt.hardest_correct(ranks, tops)
 
 
 @query(

@@ -291,12 +291,13 @@ VIEWS: dict[str, str | dict[str, str]] = {
     as width,
   cast(case l_partkey % 89 when 6 then 9000 else 200 + l_partkey % 900 end as int) as height,
   case when l_partkey % 83 = 1 then 'zz' else #['p' || cast(l_partkey % 9 as string)]# end as sha256,
-  case when l_partkey % 79 = 1 then '../up' else 'photos/' || substr(key, 1, 8) || '-' ||
-    substr(key, 9, 4) || '-' || substr(key, 13, 4) || '-' || substr(key, 17, 4) || '-' ||
-    substr(key, 21, 12) || case when l_suppkey % 2 = 0 then '.jpg' else '.png' end end as storage_key,
+  case when l_partkey % 79 = 1 then '../up' else 'photos/' ||
+    lpad(cast(l_orderkey % 100000000 as string), 8, '0') || '-' ||
+    lpad(cast(l_linenumber as string), 4, '0') || '-0000-0000-' ||
+    lpad(cast(l_partkey % 1000 as string), 12, '0') ||
+    case when l_suppkey % 2 = 0 then '.jpg' else '.png' end end as storage_key,
   @us[l_shipdate]@ as created_us
- from (select *, #[cast(l_orderkey as string) || '/' || cast(l_linenumber as string) || '/' ||
-         cast(l_partkey % 1000 as string)]# as key from lineitem)""",
+ from lineitem""",
     "uploads_v": f"""select
   'm-' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' ||
     cast(l_partkey as string) || '-' || cast(l_suppkey as string) as upload_id,
