@@ -5,11 +5,9 @@ import numpy as np
 
 from spoorline.llm.near import NearParameters, least_matches, near_duplicates
 from spoorline.llm.store import components
+from tests_llm_support import fold
 
 
-def fold(text):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-
 
 def shingle_set(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", fold(text))
