@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import contamination, lines, near, quality
+from spoorline.llm import contamination, lines, near, pieces, quality
 from spoorline.llm.catalog import query, table
 
 
@@ -30,3 +30,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     )
+
+
+@query("op3_sentencepiece_codec")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"))
