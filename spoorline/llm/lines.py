@@ -32,46 +32,74 @@ def site_line_shares(docs: DataFrame, host: str = "source") -> DataFrame:
     return held.filter("pages > 1").join(totals, "host")
 
 
-def dedup_lines(
-    docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES
-) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped): texts without the lines that are boilerplate of their host.
-
-    A line, compared without surrounding spaces, goes if it stands on more than ``ratio`` of the
-    host's distinct pages and on ``least_pages`` of them at least; blank lines always stay. Every
-    occurrence goes. A null host is the host with the empty name; a null text stays null with zero
-    lines; a text of boilerplate only becomes empty. Other columns are ignored. One row per input
-    row; doc_id is expected to be unique.
-    """
-    low = max(2, least_pages)
+def _marked(docs: DataFrame, host: str, ratio: float, least_pages: int) -> DataFrame:
+    """The documents with ``_goes``, the keys of their lines that are boilerplate (null: none)."""
     flagged = (
         site_line_shares(docs, host)
-        .filter((F.col("pages") >= low) & (F.col("pages") > F.col("host_pages") * F.lit(ratio)))
+        .filter((F.col("pages") >= max(2, least_pages)) & (F.col("pages") > F.col("host_pages") * F.lit(ratio)))
         .select("host", "line_key")
     )
-    rows = docs.select(
-        F.col("doc_id").alias("doc_id"),
+    keys = docs.select(
+        F.col("doc_id").alias("_doc"),
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
-        F.col("text").alias("text"),
+        F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _key))).alias("line_key"),
     )
-    keys = rows.select("doc_id", "host", F.explode(F.array_distinct(
-        F.transform(F.split("text", "\n"), _key)
-    )).alias("line_key"))
     # A document has few flagged lines: on average at most its host's lines per page over `ratio`.
-    goes = keys.join(flagged, ["host", "line_key"]).groupBy("doc_id").agg(F.collect_set("line_key").alias("goes"))
+    goes = (
+        keys.join(flagged, ["host", "line_key"])
+        .groupBy("_doc")
+        .agg(F.collect_set("line_key").alias("_goes"))
+    )
+    return docs.join(goes, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+
+
+def _staying() -> Column:
+    return F.filter(
+        F.split("text", "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains("_goes", _key(x))
+    )
+
+
+def _cut_text() -> Column:
+    return F.when(F.col("_goes").isNull(), F.col("text")).otherwise(F.array_join(_staying(), "\n"))
+
+
+def dedup_lines(
+    docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES
+) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped): texts without the lines that are boilerplate of their host.
+
+    A line, compared without surrounding spaces, goes if it stands on more than ``ratio`` of the
+    host's distinct pages and on ``least_pages`` of them at least (never fewer than two); blank lines
+    always stay. Every occurrence goes. A null host is the host with the empty name; a null text
+    stays null with zero lines; a text of boilerplate only becomes empty. Other columns are ignored.
+    One row per input row; doc_id is expected to be unique.
+    """
+    marked = _marked(docs.select("doc_id", host, "text"), host, ratio, least_pages)
     lines = F.split("text", "\n")
-    stay = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("goes", _key(x)))
-    return rows.join(goes, "doc_id", "left").select(
+    return marked.select(
         "doc_id",
-        F.when(F.col("goes").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text"),
+        _cut_text().alias("text"),
         F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.when(F.col("goes").isNull() | F.col("text").isNull(), F.lit(0))
-        .otherwise(F.size(lines) - F.size(stay))
+        F.when(F.col("_goes").isNull() | F.col("text").isNull(), F.lit(0))
+        .otherwise(F.size(lines) - F.size(_staying()))
         .cast("bigint")
         .alias("n_dropped"),
     )
 
 
+def without_boilerplate(
+    docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES
+) -> DataFrame:
+    """The same rows and columns with the texts of ``dedup_lines``; ``n_chars`` follows a cut text."""
+    marked = _marked(docs, host, ratio, least_pages)
+    columns = {"text": _cut_text()}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col("_goes").isNull(), F.col("n_chars")).otherwise(
+            F.length(_cut_text()).cast(docs.schema["n_chars"].dataType)
+        )
+    return marked.withColumns(columns).select(*docs.columns)
+
+
 CHECK = """
 with page as (select doc_id, coalesce(source, '') as host, text from documents),
 total as (select host, count(distinct text) as host_pages from page group by host),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import contamination, lines, near, pieces, quality
+from spoorline.llm import contamination, lines, near, pieces, privacy, quality, shards
 from spoorline.llm.catalog import query, table
 
 
@@ -35,3 +35,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_sentencepiece_codec")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"))
+
+
+@query("op9_rendezvous_sharding", shards.CHECK)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii_sanitisation")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.report(table(spark, sf_dir, "documents"))
