@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import contamination, lines, near, pieces, privacy, quality, shards
+from spoorline.llm import contamination, embeddings, lines, near, pieces, privacy, quality, shards
 from spoorline.llm.catalog import query, table
 
 
@@ -45,3 +45,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii_sanitisation")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_embedding_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
