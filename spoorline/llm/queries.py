@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import contamination, embeddings, lines, near, pieces, privacy, quality, shards
+from spoorline.llm import contamination, embeddings, lines, near, pages, pieces, privacy, quality, shards
 from spoorline.llm.catalog import query, table
 
 
@@ -50,3 +50,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_embedding_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_html_extraction")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
