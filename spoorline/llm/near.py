@@ -7,7 +7,8 @@ minimum) inside tasks, in tiles of bounded size, and only pairs that survive lea
 * first every member against the bucket's centre (its most copied member), one comparison per row;
 * then, where a bucket still holds several components, the members outside its largest component
   against all members of other components. Members of one component need no further comparison,
-  so a large group of near copies costs its size, not its square.
+  so a large group of near copies costs its size, not its square. What such a row could be linked
+  with leaves the task as one row per component part, and each part's sets are gathered once.
 
 After each batch of minima a pair is dropped when the posterior probability that its similarity
 reaches the threshold falls below the chosen miss probability. Survivors are verified on full sets.
@@ -121,27 +122,38 @@ def sketches(docs: DataFrame, p: NearParameters) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(arrow_map(sketch), SKETCH)
 
 
-def _survivors(queries, members, least: list[int], step: int):
-    """Index pairs (query, member) of different labels that pass every Bayesian step."""
-    q_sig, q_label = queries
-    m_sig, m_label = members
-    q, m = np.nonzero(q_label[:, None] != m_label[None, :])
+def _survivors(asking, asked, least: list[int], step: int):
+    """Index pairs (asking, asked) of different labels that pass every Bayesian step.
+
+    A pair of two rows that both ask in this bucket is taken once, from its smaller id.
+    """
+    q, m = np.nonzero(
+        (asking["label"][:, None] != asked["label"][None, :])
+        & (~asked["both"][None, :] | (asking["id"][:, None] < asked["id"][None, :]))
+    )
     equal = np.zeros(len(q), np.int32)
     for k, need in enumerate(least):
         part = slice(k * step, (k + 1) * step)
         for i in range(0, len(q), 1 << 14):
             cut = slice(i, i + (1 << 14))
-            equal[cut] += (q_sig[q[cut], part] == m_sig[m[cut], part]).sum(axis=1)
+            equal[cut] += (
+                asking["signature"][q[cut], part] == asked["signature"][m[cut], part]
+            ).sum(axis=1)
         stay = equal >= need
         q, m, equal = q[stay], m[stay], equal[stay]
     return q, m
 
 
-def compare(rows: DataFrame, p: NearParameters) -> DataFrame:
-    """Surviving pairs (a, b) of rows (bucket, tile, block, asks, id, label, signature).
+CANDIDATES = "asker bigint, label bigint, part int, members array<bigint>"
+
+
+def compare(rows: DataFrame, p: NearParameters, stars: bool) -> DataFrame:
+    """Candidates (asker, label, part, members) of rows (bucket, tile, block, asks, both, id, label, part, signature).
 
     Rows that ask are compared with all rows of their (bucket, tile, block) that do not and that have
-    another label. Groups are bounded by how the caller cuts tiles and blocks.
+    another label; groups are bounded by how the caller cuts tiles and blocks. What leaves a task is
+    not one row per pair but one per asker, label and part of that label's members. With ``stars``
+    the one row that asks is a bucket's centre, and the roles are exchanged: members ask the centre.
     """
     least, step, width = least_matches(p), p.batch, p.bands * p.rows
 
@@ -166,72 +178,100 @@ def compare(rows: DataFrame, p: NearParameters) -> DataFrame:
             last = cuts[-1] if len(cuts) else 0
             pending = {n: v[last:] for n, v in cols.items()}
             if last:
-                yield from judged({n: v[:last] for n, v in cols.items()}, cuts[:-1])
+                yield judged({n: v[:last] for n, v in cols.items()}, cuts[:-1])
         if pending is not None:
-            yield from judged(pending, np.zeros(0, np.int64))
+            yield judged(pending, np.zeros(0, np.int64))
 
-    def judged(cols, cuts) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
+    def judged(cols, cuts) -> pa.RecordBatch:
+        found = []
         edges = np.concatenate([[0], cuts, [len(cols["id"])]])
         for low, high in zip(edges[:-1], edges[1:], strict=True):
             asks = cols["asks"][low:high]
-            ids, label, sig = (cols[n][low:high] for n in ("id", "label", "signature"))
-            q, m = _survivors(
-                (sig[asks], label[asks]), (sig[~asks], label[~asks]), least, step
-            )
-            if len(q):
-                left.append(ids[asks][q])
-                right.append(ids[~asks][m])
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
-            )
+            asking = {n: v[low:high][asks] for n, v in cols.items()}
+            asked = {n: v[low:high][~asks] for n, v in cols.items()}
+            q, m = _survivors(asking, asked, least, step)
+            if stars:
+                found.append((asked["id"][m], asking["id"][q], asked["part"][m], asking["id"][q]))
+            else:
+                found.append((asking["id"][q], asked["label"][m], asked["part"][m], asked["id"][m]))
+        asker, label, part, member = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((part, label, asker))
+        asker, label, part, member = asker[order], label[order], part[order], member[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (asker[1:] != asker[:-1]) | (label[1:] != label[:-1]) | (part[1:] != part[:-1])
+        first = np.flatnonzero(fresh)
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.r_[first, len(order)], pa.int32()), pa.array(member, pa.int64())
+        )
+        return pa.RecordBatch.from_arrays(
+            [pa.array(asker[first]), pa.array(label[first]), pa.array(part[first], pa.int32()), lists],
+            names=["asker", "label", "part", "members"],
+        )
 
     ordered = (
-        rows.select("bucket", "tile", "block", "asks", "id", "label", "signature")
+        rows.select("bucket", "tile", "block", "asks", "both", "id", "label", "part", "signature")
         .repartition("bucket", "tile", "block")
         .sortWithinPartitions("bucket", "tile", "block")
     )
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    return ordered.mapInArrow(run, CANDIDATES)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, p: NearParameters) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity, judged in whole numbers."""
+def verified(candidates: DataFrame, members: DataFrame, docs: DataFrame, p: NearParameters) -> DataFrame:
+    """Links (a, b): for each candidate row, the first member whose full set reaches the similarity.
+
+    All members of a row have one label, that is, one component, so one link per row says it all.
+    ``members`` (label, part, id) holds every member named, once; a task holds the sets of one part.
+    Similarities are judged in whole numbers.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint64))
+        held: dict[int, np.ndarray] = {}
+        at = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sides = []
-            for column in ("text_a", "text_b"):
-                sets = []
-                for low, high, data, bounds in each_slice(batch, column):
-                    ids = batch.column(0).slice(low, high - low).to_pylist()
-                    words = Words(data, bounds, SPACED)
-                    for i, doc in enumerate(ids):
-                        if column == "text_a" and doc == held[0]:
-                            sets.append(held[1])
+            label, part, asks, ids = (batch.column(n).to_pylist() for n in ("label", "part", "asks", "id"))
+            lists = batch.column("members")
+            left, right = [], []
+            for low, high, data, bounds in each_slice(batch):
+                words = Words(data, bounds, SPACED)
+                for i in range(low, high):
+                    if (label[i], part[i]) != at:
+                        held, at = {}, (label[i], part[i])
+                    own = shingles(words.hash[words.first[i - low] : words.first[i - low + 1]], p.width)
+                    if not asks[i]:
+                        held[ids[i]] = own
+                        continue
+                    for member in lists[i].as_py():
+                        other = held[member]
+                        few, many = sorted((len(own), len(other)))
+                        if 100 * few < p.percent * many:
                             continue
-                        found = shingles(words.hash[words.first[i] : words.first[i + 1]], p.width)
-                        if column == "text_a":
-                            held = (doc, found)
-                        sets.append(found)
-                sides.append(sets)
-            linked = []
-            for x, y in zip(*sides, strict=True):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * shared >= p.percent * (len(x) + len(y) - shared))
+                        shared = len(np.intersect1d(own, other, assume_unique=True))
+                        if 100 * shared >= p.percent * (few + many - shared):
+                            left.append(ids[i])
+                            right.append(member)
+                            break
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)], names=["a", "b"]
-            ).filter(pa.array(linked))
-
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = kept(docs.select(F.col("doc_id").cast("bigint"), "text").join(ids, "doc_id", "left_semi"), "near-texts")
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    both = both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-    links = kept(both.mapInArrow(verify, "a bigint, b bigint"), "near-links")
+                [pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]
+            )
+
+    ids = candidates.select(F.col("asker").alias("id")).union(members.select("id")).distinct()
+    texts = kept(
+        docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(
+            ids, "id", "left_semi"
+        ),
+        "near-texts",
+    )
+    none = F.lit(None).cast("array<bigint>")
+    rows = (
+        members.select("label", "part", "id", F.lit(False).alias("asks"), none.alias("members"))
+        .unionByName(candidates.select("label", "part", F.col("asker").alias("id"), F.lit(True).alias("asks"), "members"))
+        .join(texts, "id")
+        .repartition("label", "part")
+        .sortWithinPartitions("label", "part", "asks")
+    )
+    links = kept(rows.mapInArrow(verify, "a bigint, b bigint"), "near-links")
     dropped(texts)
     return links
 
@@ -272,27 +312,42 @@ def near_duplicates(docs: DataFrame, p: NearParameters | None = None) -> DataFra
     signed = sketch.select(F.col("doc_id").alias("id"), "signature")
 
     # Every member against the centre of its bucket; a centre is copied to each tile of its bucket.
+    centre = F.col("id") == F.col("centre")
+    tile = F.pmod(F.xxhash64("id"), tiles).cast("int")
     spread = members.select(
         "bucket",
-        F.when(F.col("id") == F.col("centre"), F.sequence(F.lit(0), tiles - 1))
-        .otherwise(F.array(F.pmod(F.xxhash64("id"), tiles).cast("int")))
-        .alias("tile"),
-        (F.col("id") == F.col("centre")).alias("asks"),
+        F.explode(F.when(centre, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(tile))).alias("tile"),
+        F.lit(0).alias("block"),
+        centre.alias("asks"),
+        F.lit(False).alias("both"),
         "id",
+        F.col("id").alias("label"),
+        tile.alias("part"),
+    )
+    stars = kept(
+        compare(spread.join(signed, "id"), p, stars=True)
+        .groupBy("asker", "label")
+        .agg(F.min("part").alias("part"))
+        .withColumn("members", F.array("label")),
+        "near-candidates",
     )
-    spread = spread.withColumn("tile", F.explode("tile"))
-    spread = spread.withColumns({"block": F.lit(0), "label": F.col("id")}).join(signed, "id")
-    stars = kept(compare(spread, p), "near-pairs")
-    links = verified(stars, docs, p)
+    centres = stars.select("label", "part", F.col("label").alias("id")).distinct()
+    links = verified(stars, centres, docs, p)
     roots = kept(components(links), "near-roots")
 
     # Buckets that still hold several components.
-    labelled = members.select("bucket", "id", "size").join(
+    labels = members.select("id").distinct().join(
         roots.select(F.col("node").alias("id"), "root"), "id", "left"
+    ).select("id", F.coalesce("root", "id").alias("label"))
+    families = labels.groupBy("label").agg(F.count(F.lit(1)).alias("family"))
+    parts = F.ceil(F.col("family") / F.lit(p.tile)).cast("int")
+    labels = kept(
+        labels.join(families, "label").select(
+            "id", "label", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part")
+        ),
+        "near-labels",
     )
-    labelled = kept(
-        labelled.select("bucket", "id", "size", F.coalesce("root", "id").alias("label")), "near-labels"
-    )
+    labelled = kept(members.select("bucket", "id", "size").join(labels, "id"), "near-labels")
     parties = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("party"))
     mixed = (
         parties.groupBy("bucket")
@@ -305,23 +360,28 @@ def near_duplicates(docs: DataFrame, p: NearParameters | None = None) -> DataFra
     )
     open_rows = labelled.join(mixed, "bucket")
     blocks = F.ceil((F.col("size") - F.col("party")) / F.lit(p.tile)).cast("int")
-    tile = F.pmod(F.xxhash64("id"), tiles).cast("int")
     block = F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")
+    minor = F.col("label") != F.col("main")
     asked = open_rows.select(
         "bucket", tile.alias("tile"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
-        F.lit(False).alias("asks"), "id", "label",
+        F.lit(False).alias("asks"), minor.alias("both"), "id", "label", "part",
     )
-    asking = open_rows.filter("label <> main").select(
+    asking = open_rows.filter(minor).select(
         "bucket", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), block.alias("block"),
-        F.lit(True).alias("asks"), "id", "label",
+        F.lit(True).alias("asks"), F.lit(True).alias("both"), "id", "label", "part",
+    )
+    more = kept(
+        compare(asked.unionByName(asking).join(signed, "id"), p, stars=False)
+        .groupBy("asker", "label", "part")
+        .agg(F.array_distinct(F.flatten(F.collect_list("members"))).alias("members")),
+        "near-candidates",
     )
-    more = compare(asked.unionByName(asking).join(signed, "id"), p)
-    more = kept(more.join(stars, ["a", "b"], "left_anti"), "near-pairs")
     if not more.isEmpty():
-        found = verified(more, docs, p)
+        named = labels.join(more.select("label", "part").distinct(), ["label", "part"], "left_semi")
+        found = verified(more, named, docs, p)
         if not found.isEmpty():
             roots = kept(components(links.unionByName(found)), "near-roots")
-    for table in (members, labelled, stars, more):
+    for table in (members, labels, labelled, stars, more):
         dropped(table)
 
     owners = (
