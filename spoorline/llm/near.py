@@ -259,10 +259,10 @@ def verified(candidates: DataFrame, members: DataFrame, docs: DataFrame, p: Near
     ids = candidates.select(F.col("asker").alias("id")).union(members.select("id")).distinct()
     texts = kept(
         docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(
-            ids, "id", "left_semi"
+            ids.hint("merge"), "id", "left_semi"
         ),
         "near-texts",
-    )
+    ).hint("merge")
     none = F.lit(None).cast("array<bigint>")
     rows = (
         members.select("label", "part", "id", F.lit(False).alias("asks"), none.alias("members"))
@@ -309,7 +309,7 @@ def near_duplicates(docs: DataFrame, p: NearParameters | None = None) -> DataFra
         entries.select("bucket", "id").join(crowded, "bucket"), "near-members"
     )
     tiles = F.ceil(F.col("size") / F.lit(p.tile)).cast("int")
-    signed = sketch.select(F.col("doc_id").alias("id"), "signature")
+    signed = sketch.select(F.col("doc_id").alias("id"), "signature").hint("merge")
 
     # Every member against the centre of its bucket; a centre is copied to each tile of its bucket.
     centre = F.col("id") == F.col("centre")
