@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import contamination, embeddings, lines, near, pages, pieces, privacy, quality, shards
+from spoorline.llm import contamination, embeddings, lines, near, pages, pieces, privacy, quality, shards, tokenfiles
 from spoorline.llm.catalog import query, table
 
 
@@ -55,3 +55,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_html_extraction")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op5_token_id_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.stored_ids(spark, table(spark, sf_dir, "documents"))
