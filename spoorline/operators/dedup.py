@@ -147,8 +147,9 @@ def near_duplicate_pairs(
     """Near pairs (a < b, distance) of ``phash`` (image_id, dhash), lossless and linear in copies.
 
     Images with one identical hash appear as a star around the smallest id (distance 0); the
-    smallest id stands for all of them in pairs with other hashes. ``expand_near_pairs`` lists
-    every image-level pair where that listing is wanted.
+    smallest id stands for all of them in pairs with other hashes. ``near_links`` and
+    ``near_conflicts`` read this form for any subset of the images; ``expand_near_pairs`` lists every
+    image-level pair where that listing is wanted.
     """
     reps = durable(phash.groupBy("dhash").agg(F.min("image_id").alias("rep")).select("rep", "dhash"))
     across = hash_pairs(reps, max_distance, bucket_limit)
@@ -156,20 +157,94 @@ def near_duplicate_pairs(
     return across.unionByName(copies)
 
 
+def hash_classes(pairs: DataFrame) -> DataFrame:
+    """(image_id, class) of every image that near pairs name; a class holds the images of one hash.
+
+    The class is called by its smallest image, which need not be active any more.
+    """
+    pairs = _measured(pairs)
+    copies = pairs.filter("distance = 0").select(F.col("b").alias("image_id"), F.col("a").alias("class"))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("image_id"), "distance")
+    first = named.join(copies.select("image_id"), "image_id", "left_anti").select("image_id").distinct()
+    return first.select("image_id", F.col("image_id").alias("class")).unionByName(copies)
+
+
+def _measured(pairs: DataFrame) -> DataFrame:
+    """Pairs without a distance are links between different hashes."""
+    return pairs if "distance" in pairs.columns else pairs.withColumn("distance", F.lit(1))
+
+
+def _class_sides(manifest: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(image_id, side_id, class) of the manifest's images, and the first of each class and side."""
+    sides = manifest.select("image_id", side_id().alias("side_id"))
+    held = durable(sides.join(hash_classes(pairs), "image_id"))
+    return held, held.groupBy("class", "side_id").agg(F.min("image_id").alias("first"))
+
+
+def near_links(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (a, b) that connect, inside each identity side, the near duplicates in ``manifest``.
+
+    Centres are chosen among the manifest's own images of one hash and one side, so a link survives
+    the exclusion of any other image of its class. Linear in images and in pairs of hashes.
+    """
+    pairs = _measured(pairs)
+    held, firsts = _class_sides(manifest, pairs)
+    copies = held.join(firsts, ["class", "side_id"]).filter("image_id <> first")
+    across = (
+        pairs.filter("distance > 0").select(F.col("a").alias("class"), F.col("b").alias("other"))
+        .join(firsts.withColumnRenamed("first", "first_a"), "class")
+        .join(firsts.select(F.col("class").alias("other"), "side_id", F.col("first").alias("first_b")), ["other", "side_id"])
+    )
+    return copies.select(F.col("first").alias("a"), F.col("image_id").alias("b")).unionByName(
+        across.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    )
+
+
+def near_conflicts(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(image_id, side_id, other_id, other_side): every image that is near one of another identity side.
+
+    One row per conflicting image and conflicting side, with that side's smallest such image; the
+    image pairs themselves are listed by ``near_conflict_pairs``.
+    """
+    pairs = _measured(pairs)
+    held, firsts = _class_sides(manifest, pairs)
+    across = pairs.filter("distance > 0").select(F.col("a").alias("class"), F.col("b").alias("other"))
+    beside = across.unionByName(across.select(F.col("other").alias("class"), F.col("class").alias("other")))
+    beside = beside.unionByName(held.select("class", F.col("class").alias("other")).distinct())
+    others = firsts.select(F.col("class").alias("other"), F.col("side_id").alias("other_side"), F.col("first").alias("other_id"))
+    clashing = (
+        firsts.join(beside, "class").join(others, "other").filter("side_id <> other_side")
+        .groupBy("class", "side_id", "other_side").agg(F.min("other_id").alias("other_id"))
+    )
+    return held.join(clashing, ["class", "side_id"]).select("image_id", "side_id", "other_id", "other_side")
+
+
+def near_conflict_pairs(manifest: DataFrame, pairs: DataFrame, phash: DataFrame) -> DataFrame:
+    """Every near pair (a, b, side_a, side_b) of two identity sides: as large as that listing."""
+    sides = manifest.select("image_id", side_id().alias("side_id"))
+    listed = expand_near_pairs(pairs, phash.join(sides.select("image_id"), "image_id", "left_semi"))
+    named = listed.join(sides.toDF("a", "side_a"), "a").join(sides.toDF("b", "side_b"), "b")
+    return named.filter("side_a <> side_b").select("a", "b", "side_a", "side_b")
+
+
 def expand_near_pairs(pairs: DataFrame, phash: DataFrame) -> DataFrame:
-    """The image-level pairs between different hashes: its size is the size of that listing."""
-    members = with_group_facts(
-        phash.select("image_id", "dhash"), ["dhash"], [F.min("image_id").alias("rep")]
-    ).select("rep", "image_id")
-    across = pairs.filter("distance > 0")
-    left = members.toDF("a", "left_id")
-    right = members.toDF("b", "right_id")
-    listed = across.join(left, "a").join(right, "b")
-    return listed.select(
-        F.least("left_id", "right_id").alias("a"),
-        F.greatest("left_id", "right_id").alias("b"),
-        "distance",
-    ).unionByName(pairs.filter("distance = 0"))
+    """All near pairs (a < b, distance) of the images in ``phash``: as large as that listing.
+
+    ``pairs`` may come from more images than ``phash`` holds.
+    """
+    pairs = _measured(pairs)
+    classes = hash_classes(pairs)
+    members = phash.select("image_id").join(classes, "image_id")
+    left, right = members.toDF("a", "class"), members.toDF("b", "class")
+    copies = left.join(right, "class").filter("a < b").select("a", "b", F.lit(0).alias("distance"))
+    across = (
+        pairs.filter("distance > 0").toDF("class", "other", "distance")
+        .join(members.toDF("left_id", "class"), "class")
+        .join(members.toDF("right_id", "other"), "other")
+    )
+    return copies.unionByName(across.select(
+        F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), "distance"
+    ))
 
 
 def session_links(manifest: DataFrame) -> DataFrame:
@@ -179,11 +254,13 @@ def session_links(manifest: DataFrame) -> DataFrame:
     return _star(rows, ["side_id", "session"])
 
 
-def frame_links(manifest: DataFrame) -> DataFrame:
-    """Star links between images cut from one source frame of a dataset."""
+def frame_links(manifest: DataFrame, within_side: bool = False) -> DataFrame:
+    """Star links between images cut from one source frame of a dataset, or of each identity side."""
     frame = F.col("attributes")["source_frame"]
-    rows = manifest.filter(frame != "").select("image_id", "dataset_id", frame.alias("frame"))
-    return _star(rows, ["dataset_id", "frame"])
+    rows = manifest.filter(frame != "").select(
+        "image_id", "dataset_id", frame.alias("frame"), side_id().alias("side_id")
+    )
+    return _star(rows, ["dataset_id", "frame", *(["side_id"] if within_side else [])])
 
 
 def _star(rows: DataFrame, keys: list[str], at_most: int | None = None) -> DataFrame:
@@ -250,11 +327,19 @@ def label_conflicts(manifest: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def conflict_links(manifest: DataFrame, near_pairs: DataFrame) -> DataFrame:
-    """The two kinds of link that may clash: shared frames and near duplicates."""
-    frames = frame_links(manifest).withColumn("reason", F.lit("source frame"))
-    near = near_pairs.select("a", "b").withColumn("reason", F.lit("near duplicate"))
-    return frames.unionByName(near)
+def conflicts(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, reason, side_a, side_b): shared frames and near duplicates across identity sides.
+
+    Frames are a star per frame; near duplicates one row per conflicting image and other side.
+    """
+    frames = label_conflicts(manifest, frame_links(manifest).withColumn("reason", F.lit("source frame")))
+    near = near_conflicts(manifest, pairs)
+    return frames.unionByName(near.select(
+        F.least("image_id", "other_id").alias("a"), F.greatest("image_id", "other_id").alias("b"),
+        F.lit("near duplicate").alias("reason"),
+        F.when(F.col("image_id") < F.col("other_id"), F.col("side_id")).otherwise(F.col("other_side")).alias("side_a"),
+        F.when(F.col("image_id") < F.col("other_id"), F.col("other_side")).otherwise(F.col("side_id")).alias("side_b"),
+    ).distinct())
 
 
 def link_union(*links: DataFrame) -> DataFrame:

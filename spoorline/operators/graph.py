@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.operators.dedup import burst_pairs, frame_links, link_union
+from spoorline.operators.dedup import burst_pairs, frame_links, link_union, near_links
 from spoorline.operators.keys import side_id
 from spoorline.operators.skew import lookup, with_group_facts
 from spoorline.session import durable
@@ -62,7 +62,8 @@ def leakage_groups(
     """(image_id, side_id, group): images that may not be separated; group is g:<smallest id>.
 
     Sessions collapse first, so the graph holds one node per session rather than per image. Links
-    across identities are conflicts, reported by ``label_conflicts`` and never merged here.
+    across identities are conflicts, reported by ``conflicts`` and never merged here. ``near_pairs``
+    may name images that ``manifest`` leaves out.
     """
     session = F.coalesce("capture_session_id", F.lit("")).alias("session")
     rows = durable(manifest.select("image_id", side_id().alias("side_id"), session))
@@ -75,7 +76,7 @@ def leakage_groups(
             at_most=images,
         ).select("image_id", "side_id", "rep")
     )
-    links = [frame_links(manifest), near_pairs.select("a", "b")]
+    links = [frame_links(manifest, within_side=True), near_links(manifest, near_pairs)]
     if burst_seconds > 0:
         links.append(burst_pairs(manifest, burst_seconds))
     linked = durable(link_union(*links))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions.text import canonical_row
-from spoorline.operators.dedup import conflict_links, label_conflicts
+from spoorline.operators.dedup import conflicts
 from spoorline.operators.digest import content_hash, manifest_hash, near_pairs_hash
 from spoorline.operators.graph import leakage_groups
 from spoorline.operators.keys import individual, side_id
@@ -31,7 +31,18 @@ ASSIGNMENT_FIELDS = ["image_id", "individual", "side_id", "partition", "role", "
 
 
 class SplitError(ValueError):
-    pass
+    """``rows`` holds every offending row; the message names the first few and the total."""
+
+    def __init__(self, message: str, rows: DataFrame | None = None):
+        super().__init__(message)
+        self.rows = rows
+
+    @classmethod
+    def of(cls, rows: DataFrame, what: str, line: Column, shown: int = 10) -> SplitError:
+        total = rows.count()
+        first = [r["line"] for r in rows.select(line.alias("line")).orderBy("line").limit(shown).collect()]
+        more = f"; ... (+{total - len(first)} more)" if total > len(first) else ""
+        return cls(f"{what}: {'; '.join(first)}{more}", rows)
 
 
 @dataclass(frozen=True)
@@ -180,10 +191,9 @@ def build_split(
     """Assignment rows of the session-disjoint split; excluded images keep their reason."""
     params.check()
     active = active_rows(manifest, excluded)
-    conflicts = label_conflicts(active, conflict_links(active, near_pairs))
-    clash = conflicts.take(1)
-    if clash:
-        raise SplitError(f"label conflict between {clash[0]['a']} and {clash[0]['b']}")
+    clashes = durable(conflicts(active, near_pairs))
+    if not clashes.isEmpty():
+        raise SplitError.of(clashes, "label conflict", F.concat_ws(" and ", "a", "b"))
     groups = leakage_groups(active, near_pairs, params.burst_seconds)
     stamps = active.select(
         "image_id", individual().alias("individual"), "capture_timestamp_if_known"
@@ -435,11 +445,11 @@ def verify_split(
         )
     )
     rows = manifest.join(active.select("image_id").distinct(), "image_id", "left_semi")
-    conflicts = durable(label_conflicts(rows, conflict_links(rows, near_pairs)))
-    if not conflicts.isEmpty():
+    clashes = durable(conflicts(rows, near_pairs))
+    if not clashes.isEmpty():
         return out.unionByName(
             _rule(
-                conflicts,
+                clashes,
                 "label_conflict",
                 F.concat_ws(",", "a", "b"),
                 F.concat_ws(",", "side_a", "side_b"),

@@ -647,15 +647,31 @@ NEAR = """select p.image_id as a, q.image_id as b, cast(bit_count(xor(p.bits, q.
   on p.image_id < q.image_id and bit_count(xor(p.bits, q.bits)) <= 4"""
 
 
+# the compact form: a star per hash, and the first images of near hashes
+COMPACT = """select f.first as a, p.image_id as b, 0 as distance from phash_v p
+    join (select bits, min(image_id) as first from phash_v group by bits) f on f.bits = p.bits
+    where p.image_id <> f.first
+  union all select least(x.first, y.first), greatest(x.first, y.first),
+      cast(bit_count(xor(x.bits, y.bits)) as int)
+    from (select bits, min(image_id) as first from phash_v group by bits) x
+    join (select bits, min(image_id) as first from phash_v group by bits) y
+      on x.bits < y.bits and bit_count(xor(x.bits, y.bits)) <= 4"""
+
+
 def near(spark: SparkSession, sf: str) -> DataFrame:
     return durable(dedup.near_duplicate_pairs(view(spark, sf, "phash_v")))
 
 
-@query("near_duplicate_pairs", NEAR)
+@query("near_duplicate_pairs", COMPACT)
 def near_duplicate_pairs(spark, sf):
     return dedup.near_duplicate_pairs(view(spark, sf, "phash_v"))
 
 
+@query("expand_near_pairs", NEAR)
+def expand_near_pairs(spark, sf):
+    return dedup.expand_near_pairs(near(spark, sf), view(spark, sf, "phash_v"))
+
+
 @query(
     "exact_dedup",
     """with groups as (select file_sha256, min(relative_path) as kept,
@@ -703,17 +719,51 @@ def frame_links(spark, sf):
     return dedup.frame_links(manifest(spark, sf, "clash_v"))
 
 
+# excluded: the first image of most hashes
+LEFT_OUT = """(v % 10 in (0, 1, 6) or (v // 10) % 2 = 1 and v % 10 = 5)"""
+
+
+def left_out(rows: DataFrame) -> DataFrame:
+    v = F.substring("image_id", 5, 10).cast("bigint")
+    first = (v % 10).isin(0, 1, 6) | ((F.floor(v / 10) % 2 == 1) & (v % 10 == 5))
+    return rows.filter(first).select("image_id", F.lit("unusable").alias("reason"))
+
+
+CLASHES = f"""with sides as (select image_id, v, {SIDE} as side_id from clash_v where not {LEFT_OUT}),
+  near_ as ({NEAR}),
+  met as (select a, b, x.side_id as side_a, y.side_id as side_b from near_
+    join sides x on x.image_id = a join sides y on y.image_id = b where x.side_id <> y.side_id)"""
+
+
 @query(
     "label_conflicts",
-    f"""with links as (select a, b, 'source frame' as reason from ({FRAMES})
-    union all select a, b, 'near duplicate' from ({NEAR})),
-  sides as (select image_id, {SIDE} as side_id from clash_v)
-  select a, b, reason, x.side_id as side_a, y.side_id as side_b from links
-    join sides x on x.image_id = a join sides y on y.image_id = b where x.side_id <> y.side_id""",
+    CLASHES + """ select image_id, side_id, other_side, min(other_id) as other_id from (
+    select a as image_id, side_a as side_id, b as other_id, side_b as other_side from met
+    union all select b, side_b, a, side_a from met) group by 1, 2, 3""",
 )
 def label_conflicts(spark, sf):
     rows = manifest(spark, sf, "clash_v")
-    return dedup.label_conflicts(rows, dedup.conflict_links(rows, near(spark, sf)))
+    rows = split.active_rows(rows, left_out(rows))
+    return dedup.near_conflicts(rows, near(spark, sf))
+
+
+@query("label_conflict_pairs", CLASHES + " select a, b, side_a, side_b from met")
+def label_conflict_pairs(spark, sf):
+    rows = manifest(spark, sf, "clash_v")
+    rows = split.active_rows(rows, left_out(rows))
+    return dedup.near_conflict_pairs(rows, near(spark, sf), view(spark, sf, "phash_v"))
+
+
+@query(
+    "frame_conflicts",
+    f"""with sides as (select image_id, {SIDE} as side_id from clash_v)
+  select a, b, x.side_id as side_a, y.side_id as side_b from ({FRAMES})
+    join sides x on x.image_id = a join sides y on y.image_id = b where x.side_id <> y.side_id""",
+)
+def frame_conflicts(spark, sf):
+    rows = manifest(spark, sf, "clash_v")
+    links = dedup.frame_links(rows).withColumn("reason", F.lit("source frame"))
+    return dedup.label_conflicts(rows, links).drop("reason")
 
 
 BURST = 3600
@@ -745,7 +795,7 @@ def burst_pairs(spark, sf):
 
 @query(
     "link_union",
-    f"""select distinct a, b from (select a, b from ({NEAR}) union all
+    f"""select distinct a, b from (select a, b from ({COMPACT}) union all
     select m.first as a, x.image_id as b from manifest_v x join (
       select {SIDE} as side_id, capture_session_id as s, min(image_id) as first
       from manifest_v group by 1, 2) m
@@ -886,6 +936,50 @@ def build_split(spark, sf):
     return built(spark, sf)
 
 
+ACTIVE_SPLIT = SPLIT.replace(
+    "from manifest_v),\n  near_", f"from manifest_v where not {LEFT_OUT}),\n  near_"
+)
+
+
+def built_without(spark: SparkSession, sf: str) -> DataFrame:
+    rows = manifest(spark, sf)
+    return durable(split.build_split(rows, near(spark, sf), PARAMS, left_out(rows)))
+
+
+@query(
+    "build_split_excluded",
+    ACTIVE_SPLIT
+    + ASSIGNED
+    + f""" union all select image_id, dataset_id || ':' || individual_label, {SIDE}, 'excluded',
+    'excluded', '', 'unusable' from manifest_v where {LEFT_OUT}""",
+)
+def build_split_excluded(spark, sf):
+    return built_without(spark, sf)
+
+
+# every second image of a class moved to the other role: near copies on both sides of a split
+@query(
+    "verify_split_excluded",
+    ACTIVE_SPLIT
+    + """, moved as (select image_id, grp, case when role in ('gallery', 'query_known') and
+      cast(substr(image_id, 5, 10) as bigint) % 10 in (4, 8) then case role when 'gallery'
+        then 'query_known' else 'gallery' end else role end as role from assigned)
+  select grp as entity, min(role) || ',' || max(role) as detail from moved group by grp
+    having min(role) <> max(role)""",
+)
+def verify_split_excluded(spark, sf):
+    rows = built_without(spark, sf)
+    pairs, images = near(spark, sf), manifest(spark, sf)
+    other = F.when(F.col("role") == "gallery", "query_known").otherwise("gallery")
+    moves = F.col("role").isin("gallery", "query_known") & (
+        F.substring("image_id", 5, 10).cast("bigint") % 10
+    ).isin(4, 8)
+    moved = durable(rows.withColumn("role", F.when(moves, other).otherwise(F.col("role"))))
+    header = split.seal(moved, images, pairs, PARAMS)
+    found = split.verify_split(moved, header, images, pairs)
+    return found.filter("rule = 'group_roles'").select("entity", "detail")
+
+
 DIAGNOSTIC = f"""with recursive members as (select image_id, {SIDE} as side_id,
     dataset_id || ':' || individual_label as individual, 'i:' || image_id as grp,
     capture_timestamp_if_known from manifest_v)""" + partition_sql("members") + ELIGIBLE + UNKNOWN + """,
@@ -1081,7 +1175,7 @@ def content_hash(spark, sf):
 @query(
     "near_pairs_hash",
     f"""select cast(sum(c) as bigint) as n, {TREE} as digest from (
-  select sha256('["' || a || '","' || b || '"]') as h, count(*) as c from ({NEAR}) group by 1)""",
+  select sha256('["' || a || '","' || b || '"]') as h, count(*) as c from ({COMPACT}) group by 1)""",
 )
 def near_pairs_hash(spark, sf):
     return digest.near_pairs_hash(near(spark, sf))

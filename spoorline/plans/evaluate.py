@@ -39,9 +39,10 @@ def ingest(labels: DataFrame, files: DataFrame, provenance: DataFrame) -> tuple[
     checked(labels, validate_label_paths(labels, files))
     sized = labels.join(files, "relative_path")
     kept, dropped, conflicts = exact_dedup(sized)
-    clash = conflicts.orderBy("file_sha256", "relative_path").take(1)
-    if clash:
-        raise ValueError(f"conflicting labels for identical file {clash[0]['file_sha256'][:12]}")
+    if not conflicts.isEmpty():
+        raise SplitError.of(
+            conflicts, "conflicting labels for identical files", F.concat_ws(" ", "file_sha256", "relative_path")
+        )
     facts = ["file_sha256", "width", "height"]
     return build_manifest(
         kept.drop(*facts), kept.select("relative_path", *facts), provenance
@@ -62,12 +63,12 @@ def make_split(
     violations = verify_split(
         assignments, header, manifest, pairs, burst_seconds=params.burst_seconds
     )
-    found = violations.take(1)
-    if found:
-        raise SplitError(f"split violates {found[0]['rule']}: {found[0]['entity']}")
-    missing = degenerate_partitions(assignments).take(1)
-    if missing:
-        raise SplitError(f"{missing[0]['partition']} has no {missing[0]['role']} images")
+    violations = durable(violations)
+    if not violations.isEmpty():
+        raise SplitError.of(violations, "split violates", F.concat_ws(": ", "rule", "entity"))
+    missing = degenerate_partitions(assignments)
+    if not missing.isEmpty():
+        raise SplitError.of(missing, "no images for", F.concat_ws(" ", "partition", "role"))
     return assignments, header
 
 

@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 from conftest import image, manifest_of, rows
 
-from spoorline.operators import dedup, graph
+from spoorline.operators import dedup, graph, split
 
 
 def phash_of(spark, values):
@@ -120,7 +120,7 @@ def test_conflicts_are_reported_not_merged(spark):
     images = [image("a"), image("b", side="right"), image("c", label="x2")]
     rows_ = manifest_of(spark, images)
     near = spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string")
-    found = dedup.label_conflicts(rows_, dedup.conflict_links(rows_, near))
+    found = dedup.conflicts(rows_, near)
     assert [r[:2] for r in rows(found)] == [("a", "b"), ("a", "c")]
     assert groups_of(spark, images, [("a", "b"), ("a", "c")]) == {
         "a": "g:a",
@@ -144,3 +144,42 @@ def test_exact_dedup(spark):
     assert rows(kept, "relative_path") == [("a.jpg",)]
     assert rows(dropped) == [("a.jpg", "b.jpg")]
     assert rows(conflicts, "relative_path") == [("c.jpg",), ("d.jpg",)]
+
+
+def test_links_survive_the_exclusion_of_a_class_representative(spark):
+    phash = spark.createDataFrame([(i, 5) for i in "abc"] + [("d", 4), ("e", 99)], "image_id string, dhash bigint")
+    pairs = dedup.near_duplicate_pairs(phash, 2)
+    rest = manifest_of(spark, [image(i, session=f"s{i}") for i in "bcde"])
+    groups = {r["image_id"]: r["group"] for r in graph.leakage_groups(rest, pairs).collect()}
+    assert groups == {"b": "g:b", "c": "g:b", "d": "g:b", "e": "g:e"}
+    other = manifest_of(spark, [image("b", session="s1"), image("c", label="x2", session="s2")])
+    assert rows(dedup.near_conflicts(other, pairs), "image_id", "other_id") == [("b", "c"), ("c", "b")]
+    listed = dedup.expand_near_pairs(pairs, phash.filter("image_id <> 'a'"))
+    assert rows(listed, "a", "b", "distance") == [("b", "c", 0), ("b", "d", 1), ("c", "d", 1)]
+
+
+def test_no_copy_on_both_sides_of_a_split_after_exclusion(spark):
+    images = [image(f"{p}{i}", label=p, session=f"{p}{i}") for p in "mnop" for i in "abcd"]
+    hash_of = {(p, x): random.Random(f"{p}{x}").getrandbits(62) for p in "mnop" for x in (False, True)}
+    phash = spark.createDataFrame(
+        [(f"{p}{i}", hash_of[p, i == "d"]) for p in "mnop" for i in "abcd"],
+        "image_id string, dhash bigint",
+    )
+    excluded = spark.createDataFrame([(f"{p}a", "bad") for p in "mnop"], "image_id string, reason string")
+    pairs = dedup.near_duplicate_pairs(phash, 2)
+    params = split.SplitParameters(3, 0.0, 0.5, 0.0)
+    out = split.build_split(manifest_of(spark, images), pairs, params, excluded)
+    role = {r["image_id"]: r["role"] for r in out.collect()}
+    assert all(role[f"{p}b"] == role[f"{p}c"] != "excluded" for p in "mnop")
+    assert all(role[f"{p}a"] == "excluded" for p in "mnop")
+
+
+def test_conflicts_are_all_in_the_error(spark):
+    images = [image("a"), image("b"), image("c", label="x2"), image("d", label="x3")]
+    phash = spark.createDataFrame([(i, 5) for i in "abcd"], "image_id string, dhash bigint")
+    with pytest.raises(split.SplitError) as caught:
+        split.build_split(
+            manifest_of(spark, images), dedup.near_duplicate_pairs(phash, 2), split.SplitParameters(3, 0.0, 0.5, 0.0)
+        )
+    named = {i for r in caught.value.rows.collect() for i in (r["a"], r["b"])}
+    assert named == set("abcd") and "a and c" in str(caught.value)
