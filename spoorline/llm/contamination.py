@@ -25,7 +25,7 @@ from spoorline.llm.words import ALNUM, Words, arrow_map, each_slice
 
 WINDOW = 13
 BLOCK_ROWS = 200_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 class FmIndex:
