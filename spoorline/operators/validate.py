@@ -953,49 +953,79 @@ def immutable_audit(old: DataFrame, new: DataFrame, key: str, guarded: Sequence[
     return errors(new.join(before, key), key, rules)
 
 
+_NUMBER = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+_RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
+
+
 def validate_patch_fields(patches: DataFrame) -> DataFrame:
-    """``patches``: patch_id, body (JSON text of one edit request)."""
-    body = F.col("body")
-    keys = F.json_object_keys(body)
-    location = F.get_json_object(body, "$.location")
-    location_set = F.array_contains(keys, "location")
-    location_null = body.rlike(r'"location"\s*:\s*null')
-    unknown = F.size(F.array_except(keys, F.array(*[F.lit(k) for k in PATCHABLE]))) > 0
-    location_keys = F.json_object_keys(location)
-    allowed = F.array(
-        *[F.lit(k) for k in ("latitude", "longitude", "accuracyMeters", "source")]
-    )
-    missing = F.size(
-        F.array_except(
-            F.array(F.lit("latitude"), F.lit("longitude"), F.lit("source")),
-            F.coalesce(location_keys, F.array().cast("array<string>")),
-        )
-    ) > 0
-    present = location_set & ~location_null
+    """``patches``: patch_id, body (JSON text of one edit request).
+
+    Fields are typed: texts or null, a time that is never null, and a location that is null or a
+    whole point with its source, in range. Of a repeated key the last value counts.
+    """
+    fields = F.from_json("body", ", ".join(f"{k} variant" for k in PATCHABLE))
+    parts = ("latitude", "longitude", "accuracyMeters", "source")
+    rows = patches.select("patch_id", "body", F.json_object_keys("body").alias("keys"), fields.alias("f"))
+
+    def kind(column: str) -> Column:
+        """Type of a JSON value; VOID for null, and null where the field is absent."""
+        return F.coalesce(F.schema_of_variant(column), F.when(F.col(column).isNotNull(), "OBJECT<>"))
+
+    rows = rows.select(
+        "patch_id",
+        "keys",
+        *[kind(f"f.{k}").alias(f"k_{k}") for k in PATCHABLE],
+        F.try_variant_get("f.capturedAt", "$", "string").alias("captured"),
+        F.json_object_keys(F.to_json("f.location")).alias("location_keys"),
+        *[F.try_variant_get("f.location", f"$.{c}", "variant").alias(c) for c in parts],
+    )
+    rows = rows.select(
+        "patch_id", "keys", "captured", "location_keys",
+        *[f"k_{k}" for k in PATCHABLE],
+        *[F.schema_of_variant(c).alias(f"k_{c}") for c in parts],
+        *[F.try_variant_get(c, "$", "string" if c == "source" else "double").alias(c) for c in parts],
+    )
+    known = F.array(*[F.lit(k) for k in PATCHABLE])
+    place = F.col("k_location").startswith("OBJECT")
+    lacking = place & ~F.coalesce(
+        F.forall(F.array("k_latitude", "k_longitude", "k_source"), lambda t: t != "VOID"), F.lit(False)
+    )
+    mistyped = place & (
+        F.exists(F.array("k_latitude", "k_longitude", "k_accuracyMeters"), lambda t: ~t.rlike(_NUMBER) & (t != "VOID"))
+        | ((F.col("k_source") != "STRING") & (F.col("k_source") != "VOID"))
+    )
+    wrong_place = F.coalesce(mistyped, F.lit(False)) | ((F.col("k_location") != "VOID") & ~place)
+    alien = place & (F.size(F.array_except("location_keys", F.array(*[F.lit(c) for c in parts]))) > 0)
+    whole = F.coalesce(place & ~lacking & ~F.coalesce(mistyped, F.lit(False)), F.lit(False))
+    checked = rows.withColumns(
+        {
+            "lat": F.when(whole, F.col("latitude")).otherwise(0.0),
+            "lon": F.when(whole, F.col("longitude")).otherwise(0.0),
+            "accuracy_meters": F.when(whole, F.col("accuracyMeters")),
+            "source": F.when(whole, F.col("source")).otherwise(LOCATION_SOURCES[0]),
+        }
+    )
+    time = F.col("k_capturedAt")
+    no_time = (time == "STRING") & (
+        ~F.col("captured").rlike(_RFC3339) | F.try_to_timestamp(F.substring("captured", 1, 19)).isNull()
+    )
+    texts = [k for k in PATCHABLE if k not in ("capturedAt", "location")]
     return errors(
-        patches,
+        checked,
         "patch_id",
         [
-            (keys.isNull(), "body", "object", "body must be a JSON object"),
-            (unknown, "body", "unknown_field", "body has a field that cannot be changed"),
-            (
-                body.rlike(r'"capturedAt"\s*:\s*null'),
-                "capturedAt",
-                "null",
-                "capturedAt cannot be null",
-            ),
-            (
-                present & (location_keys.isNull() | missing),
-                "location",
-                "incomplete",
-                "location fields cannot be null",
-            ),
-            (
-                present & (F.size(F.array_except(location_keys, allowed)) > 0),
-                "location",
-                "unknown_field",
-                "location has an unknown field",
-            ),
+            (F.col("keys").isNull(), "body", "object", "body must be a JSON object"),
+            (F.size(F.array_except("keys", known)) > 0, "body", "unknown_field", "body has a field that cannot be changed"),
+            (time == "VOID", "capturedAt", "null", "capturedAt cannot be null"),
+            (((time != "VOID") & (time != "STRING")) | no_time, "capturedAt", "type", "capturedAt must be a time"),
+            *[
+                (~F.col(f"k_{k}").isin("STRING", "VOID"), k, "type", f"{k} must be text or null")
+                for k in texts
+            ],
+            (wrong_place, "location", "type", "location has a value of the wrong type"),
+            (lacking & ~F.coalesce(mistyped, F.lit(False)), "location", "incomplete", "location fields cannot be null"),
+            (alien, "location", "unknown_field", "location has an unknown field"),
+            *location_bad(),
         ],
     )
 

@@ -527,23 +527,50 @@ def immutable_audit(spark, sf):
     return found.select("entity_id", "field")
 
 
-BODIES = """case n % 9 when 0 then '{"parkId": null}' when 1 then '{"status": "DRAFT"}'
-  when 2 then '{"capturedAt": null}' when 3 then '[1]'
-  when 4 then '{"location": {"latitude": 1, "longitude": 2, "source": "GPS"}}'
-  when 5 then '{"location": {"latitude": 1}}' when 6 then '{"location": null, "notes": "x"}'
-  when 7 then '{"location": {"latitude": 1, "longitude": 2, "source": "GPS", "alt": 3}}'
-  else '{"notes": "n", "zoneId": "z"}' end"""
+BODIES = {
+    0: '{"parkId": null}',
+    1: '{"status": "DRAFT"}',
+    2: '{"capturedAt": null}',
+    3: "[1]",
+    4: '{"location": {"latitude": 1, "longitude": 2, "source": "GPS"}}',
+    5: '{"location": {"latitude": 1}}',
+    6: '{"location": null, "notes": "x"}',
+    7: '{"location": {"latitude": 1, "longitude": 2, "source": "GPS", "alt": 3}}',
+    8: '{"notes": "n", "zoneId": "z"}',
+    9: '{"location": {"latitude": null, "longitude": 1, "source": "GPS"}}',
+    10: '{"notes": 5}',
+    11: '{"capturedAt": "not a time"}',
+    12: '{"location": {"latitude": 999, "longitude": 1, "source": "WIFI"}}',
+    13: '{"notes": {"capturedAt": null}}',
+    14: '{"notes": 5, "notes": "last"}',
+    15: '{"location": [1, 2]}',
+    16: '{"capturedAt": "2024-02-29T10:00:00.5+02:00", "behavior": null}',
+    17: '{"location": {"latitude": "1", "longitude": 2, "source": "GPS"}, "capturedAt": 7}',
+    18: '{"location": {"latitude": 1, "longitude": 181, "accuracyMeters": -1, "source": "GPS"}}',
+    19: "not json",
+}
+# what each body is refused for
+REFUSED = {
+    1: ["body:unknown_field"], 2: ["capturedAt:null"], 3: ["body:object"], 5: ["location:incomplete"],
+    7: ["location:unknown_field"], 9: ["location:incomplete"], 10: ["notes:type"], 11: ["capturedAt:type"],
+    12: ["lat:range", "source:enum"], 13: ["notes:type"], 15: ["location:type"],
+    17: ["capturedAt:type", "location:type"], 18: ["accuracy_meters:range", "lon:range"], 19: ["body:object"],
+}
+_REFUSALS = ", ".join(
+    f"({k}, '{x.partition(':')[0]}', '{x.partition(':')[2]}')" for k, xs in REFUSED.items() for x in xs
+)
 
 
 @query(
     "validate_patch_fields",
-    """select patch_id as entity_id, case n % 9 when 3 then 'object' when 2 then 'null'
-  when 5 then 'incomplete' else 'unknown_field' end as code
-  from patches_v where n % 9 in (1, 2, 3, 5, 7)""",
+    f"""select patch_id as entity_id, r.field, r.code from patches_v
+  join (values {_REFUSALS}) r(k, field, code) on r.k = n % {len(BODIES)}""",
 )
 def validate_patch_fields(spark, sf):
-    bodies = view(spark, sf, "patches_v").select("patch_id", F.expr(BODIES).alias("body"))
-    return validate.validate_patch_fields(bodies).select("entity_id", "code")
+    listed = F.array(*[F.lit(BODIES[k]) for k in sorted(BODIES)])
+    body = F.get(listed, (F.col("n") % len(BODIES)).cast("int")).alias("body")
+    bodies = view(spark, sf, "patches_v").select("patch_id", body)
+    return validate.validate_patch_fields(bodies).select("entity_id", "field", "code")
 
 
 # --- filters and lookups ------------------------------------------------------------------------------------------

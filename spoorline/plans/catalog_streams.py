@@ -13,11 +13,20 @@ from spoorline.sources.adapters import micros_to_time, table, view
 from spoorline.streaming import twins
 
 
-def stream_of(spark: SparkSession, sf: str, name: str) -> dict[str, DataFrame]:
-    """The table as a file stream with the schema of its batch form."""
-    schema = table(spark, sf, name).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return {name: source.parquet(sf)}
+FILES_PER_BATCH = 64
+
+
+def stream_of(
+    spark: SparkSession, sf: str, name: str, files_per_batch: int = FILES_PER_BATCH
+) -> dict[str, DataFrame]:
+    """The table as a file stream with the schema of its batch form.
+
+    A table is one file or a folder of part files; the pattern matches either. A micro-batch reads
+    a bounded number of files.
+    """
+    source = spark.readStream.schema(table(spark, sf, name).schema)
+    source = source.option("maxFilesPerTrigger", files_per_batch)
+    return {name: source.parquet(f"{sf}/{name}.parque[t]")}
 
 
 @query("stream_attach_quota", QUOTA.replace("m.id, ", "").replace(
