@@ -20,29 +20,29 @@ from spoorline.session import durable
 BITS = 64
 
 
-def exact_dedup(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(kept, dropped, conflicts) of labelled files.
+def exact_outcomes(labelled: DataFrame) -> DataFrame:
+    """The labelled files with ``outcome`` (kept, dropped or conflict) and the ``kept`` path of their content.
 
     Per content hash the smallest path is kept; a hash whose copies disagree on label, side or
     session is a conflict and neither kept nor dropped.
     """
     label = F.struct("individual_label", "side", "capture_session_id")
-    marked = with_group_facts(
-        labelled,
-        ["file_sha256"],
-        [
-            F.min("relative_path").alias("_kept"),
-            F.min(label).alias("_low"),
-            F.max(label).alias("_high"),
-        ],
-    )
-    clash = F.col("_low") != F.col("_high")
-    first = F.col("relative_path") == F.col("_kept")
-    kept = marked.filter(~clash & first).select(*labelled.columns)
-    dropped = marked.filter(~clash & ~first).select(
-        F.col("_kept").alias("kept"), F.col("relative_path").alias("dropped")
+    facts = [F.min("relative_path").alias("kept"), F.min(label).alias("_low"), F.max(label).alias("_high")]
+    marked = with_group_facts(labelled, ["file_sha256"], facts)
+    outcome = (
+        F.when(F.col("_low") != F.col("_high"), "conflict")
+        .when(F.col("relative_path") == F.col("kept"), "kept")
+        .otherwise("dropped")
     )
-    conflicts = marked.filter(clash).select("file_sha256", "relative_path")
+    return marked.withColumn("outcome", outcome).drop("_low", "_high")
+
+
+def exact_dedup(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept, dropped, conflicts) of labelled files, by ``exact_outcomes``."""
+    marked = exact_outcomes(labelled)
+    kept = marked.filter("outcome = 'kept'").select(*labelled.columns)
+    dropped = marked.filter("outcome = 'dropped'").select("kept", F.col("relative_path").alias("dropped"))
+    conflicts = marked.filter("outcome = 'conflict'").select("file_sha256", "relative_path")
     return kept, dropped, conflicts
 
 
@@ -263,11 +263,11 @@ def frame_links(manifest: DataFrame, within_side: bool = False) -> DataFrame:
     return _star(rows, ["dataset_id", "frame", *(["side_id"] if within_side else [])])
 
 
-def _star(rows: DataFrame, keys: list[str], at_most: int | None = None) -> DataFrame:
+def _star(rows: DataFrame, keys: list[str]) -> DataFrame:
     several = F.col("_members") > 1
     facts = [F.min("image_id").alias("a"), F.count(F.lit(1)).alias("_members")]
     return (
-        with_group_facts(rows, keys, facts, at_most=at_most, having=several)
+        with_group_facts(rows, keys, facts, having=several)
         .filter(F.col("image_id") != F.col("a"))
         .select("a", F.col("image_id").alias("b"))
     )
@@ -313,14 +313,14 @@ def burst_pairs(manifest: DataFrame, seconds: float) -> DataFrame:
         .filter(F.col("next_us") - F.col("last_us") <= width)
         .select(F.least("rep", "next_rep").alias("a"), F.greatest("rep", "next_rep").alias("b"))
     )
-    return _star(rows, keys, at_most=rows.count()).unionByName(bridges)
+    return _star(rows, keys).unionByName(bridges)
 
 
 def label_conflicts(manifest: DataFrame, links: DataFrame) -> DataFrame:
     """Links (a, b, reason) whose ends carry different identities; unknown ids are ignored."""
     sides = manifest.select("image_id", side_id().alias("side_id"))
     held = durable(links)
-    named = lookup(held, "a", sides.toDF("a", "side_a"), at_most=held.count())
+    named = lookup(held, "a", sides.toDF("a", "side_a"))
     named = named.join(sides.toDF("b", "side_b"), "b")
     return named.filter(F.col("side_a") != F.col("side_b")).select(
         "a", "b", "reason", "side_a", "side_b"

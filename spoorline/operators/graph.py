@@ -37,12 +37,12 @@ def components(edges: DataFrame) -> DataFrame:
         nearest = both.groupBy("u").agg(F.min("v").alias("low"))
         nearest = nearest.select("u", F.least("u", "low").alias("low"))
         large = (
-            lookup(both, "u", nearest, at_most=2 * mark[0])
+            lookup(both, "u", nearest)
             .filter("v > u")
             .select(F.col("v").alias("u"), F.col("low").alias("v"))
         )
         lowest = large.groupBy("u").agg(F.min("v").alias("low"))
-        moved = lookup(large, "u", lowest, at_most=2 * mark[0]).select(
+        moved = lookup(large, "u", lowest).select(
             F.col("v").alias("u"), F.col("low").alias("v")
         )
         small = moved.filter("u <> v").unionByName(lowest.select("u", F.col("low").alias("v")))
@@ -67,13 +67,11 @@ def leakage_groups(
     """
     session = F.coalesce("capture_session_id", F.lit("")).alias("session")
     rows = durable(manifest.select("image_id", side_id().alias("side_id"), session))
-    images = rows.count()
     sessions = durable(
         with_group_facts(
             rows,
             ["side_id", "session"],
-            [F.min("image_id").alias("rep")],
-            at_most=images,
+            [F.min("image_id").alias("rep")]
         ).select("image_id", "side_id", "rep")
     )
     links = [frame_links(manifest, within_side=True), near_links(manifest, near_pairs)]
@@ -83,13 +81,13 @@ def leakage_groups(
     left = sessions.toDF("a", "side_a", "rep_a")
     right = sessions.toDF("b", "side_b", "rep_b")
     crossing = (
-        lookup(linked, "a", left, at_most=linked.count())
+        lookup(linked, "a", left)
         .join(right, "b")
         .filter((F.col("side_a") == F.col("side_b")) & (F.col("rep_a") != F.col("rep_b")))
         .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     )
     roots = components(crossing)
-    grouped = lookup(sessions, "rep", roots, "node", how="left", at_most=images)
+    grouped = lookup(sessions, "rep", roots, "node", how="left")
     return grouped.select(
         "image_id",
         "side_id",

@@ -227,9 +227,8 @@ def with_place_facts(log: DataFrame, parks: DataFrame, zones: DataFrame) -> Data
     """Local facts of every edit: does the park exist, which park has the zone, what fails."""
     park, zone = place_tables(parks, zones)
     held = durable(log)
-    size = held.count()
-    rows = durable(lookup(held, "park_id", park, how="left", at_most=size))
-    return edit_facts(lookup(rows, "zone_id", zone, how="left", at_most=size))
+    rows = durable(lookup(held, "park_id", park, how="left"))
+    return edit_facts(lookup(rows, "zone_id", zone, how="left"))
 
 
 def place_tables(parks: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -436,7 +435,6 @@ def replay_outcomes(log: DataFrame, parks: DataFrame, zones: DataFrame) -> DataF
     """
     known = log.filter(F.col("op").isin("create", "patch", "submit"))
     rows = durable(with_place_facts(known, parks, zones).withColumn("_create", create_failure()))
-    size = rows.count()
     born = (
         rows.filter((F.col("op") == "create") & F.col("_create").isNull())
         .groupBy("encounter_id")
@@ -446,15 +444,14 @@ def replay_outcomes(log: DataFrame, parks: DataFrame, zones: DataFrame) -> DataF
         lookup(
             rows.filter(F.col("op") == "submit").select("encounter_id", "seq"),
             "encounter_id",
-            born,
-            at_most=size,
+            born
         )
         .filter(F.col("seq") > F.col("born"))
         .groupBy("encounter_id")
         .agg(F.min("seq").alias("closed"))
     )
     bounds = born.join(closed, "encounter_id", "left")
-    placed = durable(lookup(rows, "encounter_id", bounds, how="left", at_most=size))
+    placed = durable(lookup(rows, "encounter_id", bounds, how="left"))
     op, seq = F.col("op"), F.col("seq")
     alive = F.col("born").isNotNull() & (seq >= F.col("born"))
     draft = alive & (F.col("closed").isNull() | (seq < F.col("closed")))

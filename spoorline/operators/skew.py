@@ -1,7 +1,8 @@
 """Building blocks that keep one hot key from landing in one task.
 
 A window partitioned by a key sends the whole key to one task. These helpers give the same answers
-from partial aggregates, range partitions and broadcasts whose size has a proven bound.
+from partial aggregates, range partitions and broadcasts whose size has a proven bound. Joins are
+plain: adaptive execution splits the partitions of hot keys.
 """
 
 from __future__ import annotations
@@ -13,36 +14,17 @@ from pyspark.sql import functions as F
 
 from spoorline.session import durable
 
-HOT_ROWS = 2_000_000  # a key above this is hot; a table of N rows has fewer than N / HOT_ROWS
-
 
 def with_group_facts(
-    df: DataFrame,
-    keys: Sequence[str],
-    facts: Sequence[Column],
-    hot_rows: int = HOT_ROWS,
-    at_most: int | None = None,
-    having: Column | None = None,
+    df: DataFrame, keys: Sequence[str], facts: Sequence[Column], having: Column | None = None
 ) -> DataFrame:
     """Add per-group aggregates to every row (keys must not be null).
 
-    The aggregates combine map-side. Hot keys are then joined by broadcast, which is safe because
-    fewer than rows / hot_rows of them exist; their rows never shuffle to one place. All other keys
-    take the ordinary shuffled join. When no key is hot, adaptive execution drops that branch. A
-    caller that knows its row count passes ``at_most``: below hot_rows no key can be hot.
-    ``having`` keeps only rows of some groups, and filters the groups before they are joined.
+    One aggregate, which combines before the shuffle, and one join; ``having`` keeps only rows of
+    some groups, and filters the groups before they are joined.
     """
-    keys = list(keys)
-    grouped = df.groupBy(*keys).agg(*facts, F.count(F.lit(1)).alias("_key_rows"))
-    if having is not None:
-        grouped = grouped.filter(having)
-    if at_most is not None and at_most <= hot_rows:
-        return df.join(grouped.drop("_key_rows"), keys, "inner")
-    hot = F.broadcast(grouped.filter(F.col("_key_rows") > hot_rows))
-    cool = grouped.filter(F.col("_key_rows") <= hot_rows)
-    spread = df.join(hot, keys, "inner")
-    rest = df.join(hot.select(*keys), keys, "left_anti").join(cool, keys, "inner")
-    return rest.unionByName(spread).drop("_key_rows")
+    grouped = df.groupBy(*keys).agg(*facts)
+    return df.join(grouped if having is None else grouped.filter(having), list(keys), "inner")
 
 
 def hash_ordered_numbers(
@@ -138,33 +120,9 @@ def lookup(
     facts: DataFrame,
     facts_key: str | None = None,
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    at_most: int | None = None,
 ) -> DataFrame:
-    """Join rows to a table that is unique on its key, even when one key fills the rows.
-
-    Only the facts of hot keys are broadcast, and fewer than rows / hot_rows keys can be hot. In a
-    left join, rows with a null key get null facts without being shuffled to one place. A caller
-    that knows its row count passes ``at_most``: below hot_rows no key can be hot.
-    """
+    """Join rows to a table that is unique on its key; the planner picks how, and splits hot keys."""
     keys = [key] if isinstance(key, str) else list(key)
     if facts_key and facts_key != keys[0]:
         facts = facts.withColumnRenamed(facts_key, keys[0])
-    if at_most is not None and at_most <= hot_rows:
-        return rows.join(facts, keys, how)
-    absent = None
-    if how == "left":
-        present = F.lit(True)
-        for k in keys:
-            present = present & F.col(k).isNotNull()
-        absent = rows.filter(~present).withColumns(
-            {f.name: F.lit(None).cast(f.dataType) for f in facts.schema if f.name not in keys}
-        )
-        rows = rows.filter(present)
-    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_key_rows")).filter(F.col("_key_rows") > hot_rows)
-    hot = F.broadcast(hot.select(*keys))
-    hot_facts = F.broadcast(facts.join(hot, keys, "left_semi"))
-    spread = rows.join(hot, keys, "left_semi").join(hot_facts, keys, how)
-    rest = rows.join(hot, keys, "left_anti").join(facts, keys, how)
-    out = rest.unionByName(spread)
-    return out if absent is None else out.unionByName(absent)
+    return rows.join(facts, keys, how)

@@ -159,11 +159,10 @@ def assign_roles(
     held = durable(
         groups.withColumn("individual", F.regexp_extract("side_id", r"(?s)^(.*):[^:]*\z", 1))
     )
-    rows = held.count()
     counted = with_group_facts(
-        held, ["side_id"], [F.count(F.lit(1)).alias("_groups")], at_most=rows
+        held, ["side_id"], [F.count(F.lit(1)).alias("_groups")]
     )
-    named = lookup(counted, "individual", unknown, at_most=rows)
+    named = lookup(counted, "individual", unknown)
     n_query = _query_count(F.col("_groups"), params.query_fraction)
     query = F.col("place") > F.col("_groups") - n_query if last else F.col("place") <= n_query
     role = (
@@ -207,7 +206,7 @@ def build_split(
     )
     roles = assign_roles(order_groups(members, params.seed), unknown, params)
     # groups never cross identities, so the group alone names its row
-    placed = lookup(members, "group", roles.drop("side_id"), at_most=members.count())
+    placed = lookup(members, "group", roles.drop("side_id"))
     out = placed.withColumn("reason", F.lit("")).select(*ASSIGNMENT_FIELDS)
     if excluded is None:
         return out

@@ -682,19 +682,9 @@ def expand_near_pairs(spark, sf):
     case when labels = 1 then kept end as kept from files_v join groups using (file_sha256)""",
 )
 def exact_dedup(spark, sf):
-    kept, dropped, conflicts = dedup.exact_dedup(view(spark, sf, "files_v"))
-    path = F.col("relative_path")
-    return (
-        kept.select(F.lit("kept").alias("outcome"), path, path.alias("kept"))
-        .unionByName(
-            dropped.select(F.lit("dropped").alias("outcome"), F.col("dropped").alias("relative_path"), "kept")
-        )
-        .unionByName(
-            conflicts.select(
-                F.lit("conflict").alias("outcome"), path, F.lit(None).cast("string").alias("kept")
-            )
-        )
-    )
+    marked = dedup.exact_outcomes(view(spark, sf, "files_v"))
+    kept = F.when(F.col("outcome") != "conflict", F.col("kept"))
+    return marked.select("outcome", "relative_path", kept.alias("kept"))
 
 
 @query(
