@@ -124,7 +124,8 @@ def evaluate(
     described = manifest.select(
         F.col("image_id").alias("query_id"),
         F.map_concat(
-            "attributes",
+            # a manifest's own attributes of these names give way to the computed ones
+            F.map_filter("attributes", lambda k, _: ~k.isin("side", "head_pixels")),
             F.create_map(
                 F.lit("side"),
                 F.col("side"),

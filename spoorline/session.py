@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and the benchmark; clusters bring their own."""
+    """A session for tests and the benchmark; clusters bring their own.
+
+    It names its own shared folder: on one machine, a temporary folder is shared by all tasks.
+    """
+    shared = tempfile.mkdtemp(prefix="spark-")
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("spoorline")
@@ -20,6 +24,8 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", shared)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 

@@ -149,9 +149,14 @@ def read_files(
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     )
     wanted = suffixes if suffixes is not None else IMAGE_SUFFIXES
-    base = F.lit(os.path.abspath(root).rstrip("/") + "/")
-    path = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
-    rows = files.withColumn("relative_path", F.replace(path, base, F.lit("")))
+    # The root as the file system itself writes it, so that any scheme and authority compare alike.
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(place).toString().rstrip("/") + "/"
+    own = F.col("path").startswith(base)
+    rows = files.withColumn(
+        "relative_path", F.when(own, F.substring("path", len(base) + 1, 1 << 30)).otherwise(F.col("path"))
+    )
     if wanted:
         rows = rows.filter(suffix("relative_path").isin(*wanted))
     kept = ["content"] if content else []

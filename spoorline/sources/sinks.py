@@ -38,14 +38,26 @@ def plan_store(files: DataFrame) -> DataFrame:
 
 
 def write_store(files: DataFrame, path: str) -> None:
-    """One row of bytes per content, partitioned by dataset and digest prefix."""
+    """One row of bytes per content, partitioned by dataset and digest prefix.
+
+    Contents that the store holds already are not written again, so ingesting twice changes nothing.
+    Bytes that do not hash to their name are refused before anything is written.
+    """
     planned = plan_store(files)
+    wrong = store_collisions(planned)
+    if not wrong.isEmpty():
+        named = ", ".join(r["target"] for r in wrong.select("target").distinct().orderBy("target").limit(10).collect())
+        raise ValueError(f"content does not match its digest: {named}")
     one = planned.groupBy("dataset_id", "file_sha256").agg(
         F.min("target").alias("target"), F.first("content").alias("content")
     )
-    one.withColumn("sha2", F.substring("file_sha256", 1, 2)).write.mode("append").partitionBy(
-        "dataset_id", "sha2"
-    ).parquet(path)
+    spark = files.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        held = spark.read.parquet(path).select("dataset_id", "file_sha256")
+        one = one.join(held, ["dataset_id", "file_sha256"], "left_anti")
+    cut = one.withColumn("sha2", F.substring("file_sha256", 1, 2))
+    cut.repartition("dataset_id", "sha2").write.mode("append").partitionBy("dataset_id", "sha2").parquet(path)
 
 
 def store_collisions(store: DataFrame) -> DataFrame:

@@ -22,15 +22,12 @@ def bests_of(spark, values, letter="q"):
 
 def test_best_photo_per_identity_and_tie_order(spark):
     scores = spark.createDataFrame(
-        [("q", "b", 0.2), ("q", "b", 0.9), ("q", "a", 0.5), ("q", "c", 0.9)],
+        [("q", "k", 0.15), ("q", "k", 0.35), ("q", "m", 0.35), ("q", "d", 0.35), ("q", "x", 0.8), ("q", "m", 0.1)],
         "query_id string, side_id string, score double",
     )
     ranked = ranking.rank_identities(ranking.best_per_identity(scores))
-    assert [(r[1], r[2]) for r in sorted(ranked.collect(), key=lambda r: r["rank"])] == [
-        ("b", 0.9),
-        ("c", 0.9),
-        ("a", 0.5),
-    ]
+    order = [(r[1], r[2]) for r in sorted(ranked.collect(), key=lambda r: r["rank"])]
+    assert order == [("x", 0.8), ("d", 0.35), ("k", 0.35), ("m", 0.35)]
 
 
 def test_true_rank_counts_and_reports_absent_truth(spark):
@@ -46,11 +43,13 @@ def test_true_rank_counts_and_reports_absent_truth(spark):
 
 
 def test_closed_set_hand_case(spark):
-    row = metrics.closed_set_metrics(ranks_of(spark, [1, 2, 4, 1])).first()
-    assert (row["n"], row["top1_rate"], row["top3_rate"], row["top5_rate"]) == (4, 0.5, 0.75, 1.0)
-    assert row["mrr"] == pytest.approx(0.6875)
-    curve = metrics.cmc_curve(ranks_of(spark, [1, 2, 4, 1]), 4)
-    assert [r[1] for r in rows(curve)] == [0.5, 0.75, 0.75, 1.0]
+    places = [3, 1, 6, 1, 2, 8, 1, 5]
+    row = metrics.closed_set_metrics(ranks_of(spark, places)).first()
+    rates = (row["n"], row["top1_rate"], row["top3_rate"], row["top5_rate"])
+    assert rates == (8, 3 / 8, 5 / 8, 6 / 8)
+    assert row["mrr"] == pytest.approx((3 + 1 / 2 + 1 / 3 + 1 / 5 + 1 / 6 + 1 / 8) / 8)
+    curve = metrics.cmc_curve(ranks_of(spark, places), 8)
+    assert [r[1] * 8 for r in rows(curve)] == [3, 4, 5, 5, 6, 7, 7, 8]
 
 
 def test_wilson_values(spark):
@@ -63,18 +62,20 @@ def test_wilson_values(spark):
     assert math.isnan(empty["rate"])
 
 
-SCORES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
+# fifty scores, 0.02 apart, in no order
+SCORES = [(7 * i % 50) / 50 for i in range(50)]
 
 
 def test_calibration(spark):
     unknown = bests_of(spark, SCORES)
-    row = metrics.calibrate_threshold(unknown, 0.10).first()
-    assert row["n"] == 10 and row["boundary"] == 0.9
-    assert row["threshold"] == math.nextafter(0.9, math.inf)
-    assert metrics.calibrate_threshold(unknown, 0.0).first()["threshold"] > 0.95
-    tied = bests_of(spark, [0.5, 0.5, 0.5, 0.5, 0.1])
-    threshold = metrics.threshold_value(metrics.calibrate_threshold(tied, 0.25))
-    assert sum(s >= threshold for s in [0.5, 0.5, 0.5, 0.5, 0.1]) == 0
+    row = metrics.calibrate_threshold(unknown, 0.06).first()
+    assert row["n"] == 50 and row["boundary"] == 0.92
+    assert row["threshold"] == math.nextafter(0.92, math.inf)
+    assert sum(s >= row["threshold"] for s in SCORES) == 3
+    assert metrics.calibrate_threshold(unknown, 0.0).first()["threshold"] > 0.98
+    tied = [0.7] * 6 + [0.25, 0.3, 0.9]
+    threshold = metrics.threshold_value(metrics.calibrate_threshold(bests_of(spark, tied), 0.5))
+    assert sum(s >= threshold for s in tied) == 1
 
 
 def test_calibration_refusals(spark):
@@ -87,16 +88,16 @@ def test_calibration_refusals(spark):
 
 def test_open_set_hand_case(spark):
     row = metrics.open_set_metrics(
-        ranks_of(spark, [1, 2, 1]),
-        bests_of(spark, [0.9, 0.7, 0.3]),
-        bests_of(spark, [0.6, 0.2], "u"),
-        0.5,
+        ranks_of(spark, [1, 1, 4, 2, 1]),
+        bests_of(spark, [0.45, 0.31, 0.62, 0.77, 0.4]),
+        bests_of(spark, [0.12, 0.4, 0.39, 0.05], "u"),
+        0.4,
     ).first()
-    assert row["known_acceptance_rate"] == pytest.approx(2 / 3)
-    assert row["false_rejection_rate"] == pytest.approx(1 / 3)
-    assert row["top1_after_rate"] == pytest.approx(1 / 3)
-    assert row["top3_after_rate"] == pytest.approx(2 / 3)
-    assert row["unknown_false_accept_rate"] == 0.5
+    assert row["known_acceptance_rate"] == pytest.approx(4 / 5)
+    assert row["false_rejection_rate"] == pytest.approx(1 / 5)
+    assert row["top1_after_rate"] == pytest.approx(2 / 5)
+    assert row["top3_after_rate"] == pytest.approx(3 / 5)
+    assert row["unknown_false_accept_rate"] == 1 / 4
 
 
 def test_strata_flag_small_groups(spark):

@@ -163,6 +163,15 @@ def test_ingest_flow_and_store(spark, photos, tmp_path):
     store = str(tmp_path / "store")
     sinks.write_store(found.withColumn("dataset_id", F.lit("herps")), store)
     held = spark.read.parquet(store)
+    once = held.count()
+    sinks.write_store(found.withColumn("dataset_id", F.lit("herps")), store)
+    held = spark.read.parquet(store)
+    assert held.count() == once
+    forged = found.withColumns({"dataset_id": F.lit("herps"), "content": F.lit(b"other")})
+    with pytest.raises(ValueError, match="does not match"):
+        sinks.write_store(forged, store)
+    named = rows(src.read_files(spark, f"file://{root}"), "relative_path")
+    assert named == rows(found, "relative_path")
     assert sinks.store_collisions(held).count() == 0
     assert {r["status"] for r in sinks.verify_store(manifest, held).collect()} == {"ok"}
     with pytest.raises(src.RefusedError, match="file not found"):
