@@ -7,32 +7,30 @@ thousand digests, and any change to any row still changes the root.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions.text import canonical_row, json_text
 from spoorline.operators.keys import MANIFEST_FIELDS
 
-FAN_IN_DIGITS = 3  # up to 16**3 digests under one node
+DEPTHS = (9, 6, 3, 0)  # hex digits that name a node at each level, the same at every size
 
 
 def content_hash(df: DataFrame, text: Column) -> DataFrame:
-    """One row (n, digest) over the multiset of row texts."""
+    """One row (n, digest) over the multiset of row texts; no row for no rows.
+
+    A node above the leaves has at most 16**3 children; the lowest nodes hold few leaves up to some
+    10**13 distinct rows.
+    """
     leaves = df.groupBy(F.sha2(text, 256).alias("h")).agg(F.count(F.lit(1)).alias("c"))
-    distinct = leaves.count()
     level = leaves.select("h", F.concat_ws(":", "h", F.col("c").cast("string")).alias("t"), "c")
-    depth = max(0, math.ceil(math.log(max(distinct, 1) / 4096, 16))) if distinct > 4096 else 0
-    while True:
-        level = level.groupBy(F.substring("h", 1, depth).alias("h")).agg(
+    for depth in DEPTHS:
+        nodes = level.groupBy(F.substring("h", 1, depth).alias("h")).agg(
             F.sha2(F.array_join(F.array_sort(F.collect_list("t")), "\n"), 256).alias("d"),
             F.sum("c").alias("c"),
         )
-        if depth == 0:
-            return level.select(F.col("c").cast("bigint").alias("n"), F.col("d").alias("digest"))
-        level = level.select("h", F.concat_ws(":", "h", "d").alias("t"), "c")
-        depth = max(0, depth - FAN_IN_DIGITS)
+        level = nodes.select("h", F.concat_ws(":", "h", "d").alias("t"), "c", "d")
+    return level.select(F.col("c").cast("bigint").alias("n"), F.col("d").alias("digest"))
 
 
 def manifest_hash(manifest: DataFrame) -> DataFrame:

@@ -1150,22 +1150,40 @@ def active_rows(spark, sf):
     return active.select("image_id", F.lit("").alias("reason")).unionByName(excluded)
 
 
-TREE = """sha256(string_agg(h || ':' || cast(c as string), chr(10) order by h))"""
+def tree_sql(leaves: str) -> str:
+    """(n, digest) by the hash tree over ``leaves`` (h, c)."""
+    level = "string_agg(t, chr(10) order by t)"
+    return f"""select cast(sum(c) as bigint) as n, sha256({level}) as digest from (
+    select k || ':' || sha256({level}) as t, sum(c) as c from (
+      select substr(k, 1, 3) as k, t, c from (
+        select k, k || ':' || sha256({level}) as t, sum(c) as c from (
+          select substr(k, 1, 6) as k, t, c from (
+            select k, k || ':' || sha256({level}) as t, sum(c) as c from (
+              select substr(h, 1, 9) as k, h || ':' || cast(c as string) as t, c from ({leaves}))
+            group by k)) group by k)) group by k)"""
 
 
 @query(
     "content_hash",
-    f"""select cast(sum(c) as bigint) as n, {TREE} as digest from (
-  select sha256({CANONICAL}) as h, count(*) as c from manifest_v group by 1)""",
+    tree_sql(f"select sha256({CANONICAL}) as h, count(*) as c from manifest_v group by 1"),
 )
 def content_hash(spark, sf):
     return digest.manifest_hash(manifest(spark, sf))
 
 
+@query(
+    "content_hash_wide",
+    tree_sql("select sha256(id || '|' || sha256) as h, count(*) as c from media_v group by 1"),
+)
+def content_hash_wide(spark, sf):
+    text = F.concat("id", F.lit("|"), "sha256")
+    return digest.content_hash(view(spark, sf, "media_v"), text)
+
+
 @query(
     "near_pairs_hash",
-    f"""select cast(sum(c) as bigint) as n, {TREE} as digest from (
-  select sha256('["' || a || '","' || b || '"]') as h, count(*) as c from ({COMPACT}) group by 1)""",
+    tree_sql(f"""select sha256('["' || a || '","' || b || '"]') as h, count(*) as c
+      from ({COMPACT}) group by 1"""),
 )
 def near_pairs_hash(spark, sf):
     return digest.near_pairs_hash(near(spark, sf))
@@ -1179,9 +1197,9 @@ ROW_TEXT = """'{"group":"' || grp || '","image_id":"' || image_id || '","individ
 @query(
     "seal",
     SPLIT
-    + f""" select cast(sum(c) as bigint) as images, {TREE} as assignments_sha256,
-  'SESSION-DISJOINT' as label from (select sha256({ROW_TEXT}) as h, count(*) as c
-    from assigned group by 1)""",
+    + " select n as images, digest as assignments_sha256, 'SESSION-DISJOINT' as label from ("
+    + tree_sql(f"select sha256({ROW_TEXT}) as h, count(*) as c from assigned group by 1")
+    + ")",
 )
 def seal(spark, sf):
     rows = durable(built(spark, sf))
