@@ -373,16 +373,27 @@ def verify_split(
     header: DataFrame,
     manifest: DataFrame,
     near_pairs: DataFrame,
-    representative: bool = True,
-    burst_seconds: float = 0.0,
 ) -> DataFrame:
-    """Every violated rule as (rule, entity, detail), rechecked from the rows themselves."""
+    """Every violated rule as (rule, entity, detail), rechecked from the rows themselves.
+
+    Whether the split claims to be representative, and its burst length, are what the seal covers.
+    """
+    sealed = header.first()
+    representative = sealed["representative"]
+    burst_seconds = json.loads(sealed["parameters"])["burst_seconds"]
     out = _rule(
         verify_seal(assignments, header).filter(~F.col("intact")),
         "seal",
         F.col("split_sha256"),
         F.lit("seal does not match the content"),
     )
+    now = manifest_hash(manifest).first()
+    changed = ~F.col("manifest_sha256").eqNullSafe(F.lit(now["digest"] if now else None))
+    out = out.unionByName(
+        _rule(
+            header.filter(changed), "manifest", F.col("manifest_sha256"), F.lit("manifest is not the sealed one")
+        )
+    )
     join = split_manifest_join(assignments, manifest)
     out = out.unionByName(_rule(join, "coverage", F.col("image_id"), F.col("problem")))
     known = manifest.select("image_id", "capture_session_id")

@@ -60,9 +60,7 @@ def make_split(
     pairs = durable(near_duplicate_pairs(phash, max_distance))
     assignments = durable(build_split(manifest, pairs, params, excluded))
     header = seal(assignments, manifest, pairs, params)
-    violations = verify_split(
-        assignments, header, manifest, pairs, burst_seconds=params.burst_seconds
-    )
+    violations = verify_split(assignments, header, manifest, pairs)
     violations = durable(violations)
     if not violations.isEmpty():
         raise SplitError.of(violations, "split violates", F.concat_ws(": ", "rule", "entity"))
