@@ -136,6 +136,8 @@ class PageLines(HTMLParser):
             return True
         if "hidden" in attributes or attributes.get("aria-hidden") == "true":
             return True
+        if "display:none" in re.sub(r"\s", "", attributes.get("style") or "").lower():
+            return True
         if (attributes.get("role") or "").lower() in ROLES:
             return True
         names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".strip()

@@ -36,6 +36,7 @@ CLUTTER = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head
 <section class="related-posts"><p>Read more of this kind of text in our other long and fine articles.</p></section>
 <aside><p>A sidebar text that is as long as any paragraph of the article itself, or longer.</p></aside>
 <form><label>Name</label><textarea>write here a long message to the authors of the page</textarea></form>
+<div style="Display: none"><p>A hidden block of many words that no reader of the page ever sees.</p></div>
 <script>var a = "<p>not text</p>";</script><!-- <p>nor this</p> -->
 <footer><p>Copyright &copy; all of us, with a line that is long enough to look like text.</p></footer></body></html>"""
 
