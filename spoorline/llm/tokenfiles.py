@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -98,13 +99,24 @@ def pretoken_starts(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+def _byte_letters() -> str:
+    """The letter that byte-level models write for each byte: itself if printable, else the next from U+0100."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in own else next(others)) for b in range(256))
+
+
 class IdEncoder:
-    """Ids of texts by a tokenizer file; remembers the ids of pre-tokens."""
+    """Ids of texts by a tokenizer file; remembers the ids of pre-tokens.
+
+    The library's model encodes a pre-token written in byte letters; its whole pipeline would cut
+    the pre-token out again and keep offsets that nobody reads.
+    """
 
     def __init__(self, path: str, remembered: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = Tokenizer.from_file(path).model  # special strings in a text are ordinary text
+        self.letters = _byte_letters()
         self.remembered = remembered
         self.forget()
 
@@ -133,13 +145,14 @@ class IdEncoder:
         fresh = np.flatnonzero(index < 0)
         if len(fresh):
             words = [text[starts[i] : ends[i]] for i in sample[fresh]]
-            found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+            letters = (w.encode().decode("latin-1").translate(self.letters) for w in words)
+            found = [[t.id for t in self.model.tokenize(w)] for w in letters]
             base = len(self.first) - 1
             self.place.update(zip(unique[fresh].tolist(), range(base, base + len(fresh)), strict=True))
             index[fresh] = np.arange(base, base + len(fresh))
             sizes = np.array([len(x) for x in found])
             self.first = np.r_[self.first, self.first[-1] + np.cumsum(sizes)]
-            self.flat = np.r_[self.flat, np.concatenate([np.array(x, np.uint16) for x in found])]
+            self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(found), np.uint16)]
         token = index[inverse]
         sizes = self.first[token + 1] - self.first[token]
         upto = np.r_[0, np.cumsum(sizes)]
@@ -183,27 +196,29 @@ class Mixer:
         self.cells = 4 * np.arange(blocks)
         self.base = _SLOTS * np.arange(blocks)
         self.table = [np.full(blocks * _SLOTS, _NONE << 2, np.int32) for _ in range(2)]
-        self.rate = [np.tile(np.array(_STARTING), blocks) for _ in range(2)]
+        self.rate = [np.tile(np.array(_STARTING, np.int32), blocks) for _ in range(2)]
         self.before = np.zeros(blocks, np.int64)
         self.slot = [self.base, self.base]
 
     def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(order-2 id, its weight, order-1 id, its weight); order 0 has what is left of 2**12."""
-        self.entry = [np.take(t, s) for t, s in zip(self.table, self.slot, strict=True)]
+        self.entry = [t.take(s) for t, s in zip(self.table, self.slot, strict=True)]
         self.guess = [e >> 2 for e in self.entry]
-        self.cell = [self.cells + (e & 3) for e in self.entry]
-        self.weight = [np.take(r, c) for r, c in zip(self.rate, self.cell, strict=True)]
+        self.trust = [e & 3 for e in self.entry]
+        self.cell = [self.cells + t for t in self.trust]
+        self.weight = [r.take(c) for r, c in zip(self.rate, self.cell, strict=True)]
         two, one = self.guess
         return two, self.weight[0], one, self.weight[1] * (two != one)
 
-    def update(self, ids: np.ndarray) -> None:
-        fresh = ids << 2
+    def update(self, ids: np.ndarray, small: np.ndarray) -> None:
+        """``small`` holds the ids as 32-bit numbers."""
+        fresh = small << 2
         for k in range(2):
-            hit = self.guess[k] == ids
+            hit = self.guess[k] == small
             rate = self.weight[k]
-            self.rate[k][self.cell[k]] = rate + ((np.where(hit, 2000, 24) - rate) >> 4)
-            entry = self.entry[k]
-            self.table[k][self.slot[k]] = np.where(hit, entry + ((entry & 3) < 3), fresh)
+            goal = hit * np.int32(1976) + np.int32(24)
+            self.rate[k][self.cell[k]] = rate + ((goal - rate) >> 4)
+            self.table[k][self.slot[k]] = np.where(hit, self.entry[k] + (self.trust[k] < 3), fresh)
         one = ids * 40503
         self.slot = [
             self.base + (((one + self.before) >> 3) & (_SLOTS - 1)), self.base + ((one >> 4) & (_SLOTS - 1))
@@ -218,38 +233,43 @@ def encode_blocks(ids: np.ndarray, block: int, freq: np.ndarray, below: np.ndarr
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(blocks, block).T)
     low, span = np.zeros(blocks, np.uint64), np.full(blocks, (1 << 64) - 1, np.uint64)
-    words = np.zeros((blocks, 2 * block + 8), np.int32)  # a carry may make a word 2**16 until the end
+    words = np.zeros((2 * block + 8, blocks), np.int32)  # a carry may make a word 2**16 until the end
     at = np.zeros(blocks, np.int64)
     mixer = Mixer(blocks)
-    for own in grid:
+    for own, small in zip(grid, grid.astype(np.int32), strict=True):
         two, w2, one, w1 = mixer.predict()
-        c2, c1 = w2 << _BITS0, w1 << _BITS0
+        c2, c1 = w2.astype(np.int64) << _BITS0, w1.astype(np.int64) << _BITS0
         w0 = (1 << _WEIGHT) - w2 - w1
-        hit2, hit1 = two == own, (one == own) & (w1 > 0)
-        start = np.where(hit2, 0, np.where(hit1, c2, c2 + c1 + w0 * below[own]))
-        size = np.where(hit2, c2, np.where(hit1, c1, w0 * freq[own]))
+        hit2, hit1 = two == small, (one == small) & (w1 > 0)
+        start = np.where(hit1, c2, c2 + c1 + w0 * below.take(own))
+        size = np.where(hit1, c1, w0 * freq.take(own))
+        sure = np.flatnonzero(hit2)
+        start[sure], size[sure] = 0, c2[sure]
         unit = span >> np.uint64(32)
         before = low
-        low = low + unit * start.astype(np.uint64)
-        span = unit * size.astype(np.uint64)
+        low = low + unit * start.view(np.uint64)
+        span = unit * size.view(np.uint64)
         carry = np.flatnonzero(low < before)
-        words[carry, at[carry] - 1] += 1
+        words[at[carry] - 1, carry] += 1
         go = np.flatnonzero(span < _LEAST)
         while len(go):
-            words[go, at[go]] = (low[go] >> np.uint64(48)).astype(np.int32)
+            part = low[go]
+            words[at[go], go] = part >> np.uint64(48)
             at[go] += 1
-            low[go] <<= np.uint64(16)
-            span[go] <<= np.uint64(16)
-            go = go[span[go] < _LEAST]
-        mixer.update(own)
+            low[go] = part << np.uint64(16)
+            wide = span[go] << np.uint64(16)
+            span[go] = wide
+            go = go[wide < _LEAST]
+        mixer.update(own, small)
     every = np.arange(blocks)
     for _ in range(4):
-        words[every, at] = (low >> np.uint64(48)).astype(np.int32)
+        words[at, every] = low >> np.uint64(48)
         at += 1
         low <<= np.uint64(16)
-    for column in range(words.shape[1] - 1, 0, -1):
-        words[:, column - 1] += words[:, column] >> 16
-    return [(words[i, : at[i]] & 0xFFFF).astype(np.uint16) for i in range(blocks)]
+    for k in range(len(words) - 1, 0, -1):
+        words[k - 1] += words[k] >> 16
+    whole = (words.T & 0xFFFF).astype(np.uint16)
+    return [whole[i, : at[i]] for i in range(blocks)]
 
 
 def decode_blocks(
@@ -269,31 +289,33 @@ def decode_blocks(
     mixer = Mixer(blocks)
     for t in range(block):
         two, w2, one, w1 = mixer.predict()
-        c2, c1 = w2 << _BITS0, w1 << _BITS0
+        c2, c1 = w2.astype(np.int64) << _BITS0, w1.astype(np.int64) << _BITS0
         both = c2 + c1
         unit = np.maximum(span >> np.uint64(32), np.uint64(1))
-        value = (code // unit).astype(np.int64)
+        value = (code // unit).view(np.int64)
         hit2 = value < c2
-        own = np.where(hit2, two, one).astype(np.int64)
+        small = np.where(hit2, two, one)
         start = np.where(hit2, 0, c2)
         size = np.where(hit2, c2, c1)
         free = np.flatnonzero(value >= both)
-        w0 = (1 << _WEIGHT) - (w2 + w1)[free]
-        inner = np.minimum((value[free] - both[free]) // w0, len(symbol) - 1)
-        found = symbol[inner]
-        own[free] = found
-        start[free] = both[free] + w0 * below[found]
-        size[free] = w0 * freq[found]
-        code -= unit * start.astype(np.uint64)
-        span = unit * size.astype(np.uint64)
+        over = both[free]
+        w0 = (1 << _WEIGHT) - (over >> _BITS0)
+        found = symbol[np.minimum((value[free] - over) // w0, len(symbol) - 1)]
+        small[free] = found
+        start[free] = over + w0 * below.take(found)
+        size[free] = w0 * freq.take(found)
+        code -= unit * start.view(np.uint64)
+        span = unit * size.view(np.uint64)
         go = np.flatnonzero(span < _LEAST)
         while len(go):
-            code[go] = (code[go] << np.uint64(16)) | padded[np.minimum(at[go], top)]
-            at[go] += 1
-            span[go] <<= np.uint64(16)
-            go = go[(span[go] < _LEAST) & (span[go] > 0)]
-        out[t] = own
-        mixer.update(own)
+            place = at[go]
+            code[go] = (code[go] << np.uint64(16)) | padded.take(np.minimum(place, top))
+            at[go] = place + 1
+            wide = span[go] << np.uint64(16)
+            span[go] = wide
+            go = go[(wide < _LEAST) & (wide > 0)]
+        out[t] = small
+        mixer.update(small.astype(np.int64), small)
     return out.T.reshape(-1)[:count]
 
 
@@ -437,7 +459,8 @@ def read_ids(manifest: DataFrame, target: str) -> DataFrame:
     )
     parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids"))
     parts = parts.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(*upto)), F.lit(0)).alias("ahead"))
-    files = manifest.select("part", "piece", "file").repartition("file")
+    # The manifest is small, so the number of tasks must be named: one for each file, up to a bound.
+    files = manifest.select("part", "piece", "file").repartition(min(max(manifest.count(), 1), 20_000))
     return (
         files.mapInArrow(read, READ)
         .join(pieces.join(parts, "part"), ["part", "piece"])
