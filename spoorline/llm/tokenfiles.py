@@ -2,7 +2,8 @@
 
 **Ids.** The tokenizers library splits a text into pre-tokens and encodes each on its own, so each
 distinct pre-token is encoded by the library once per worker and remembered within bounds; texts are
-cut into pre-tokens by character class, a slice at a time.
+cut into pre-tokens by character class, a slice at a time. The added tokens of the tokenizer file are
+cut out before that, as the library does, and have their own ids.
 
 **Coder.** A block of ids is coded on its own: two tables of the block predict the next id from the
 last one (order 1) and the last two (order 2), with a confidence per entry; adaptive success rates
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import unicodedata
 import uuid
@@ -25,7 +27,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -106,16 +108,32 @@ def _byte_letters() -> str:
     return "".join(chr(b if b in own else next(others)) for b in range(256))
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """(content, id) of the added tokens of a tokenizer file; such a token is one id wherever it stands."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens") or []
+    for token in tokens:
+        if any(token.get(k) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"added token {token['content']!r} takes in its surroundings")
+    return tuple((t["content"], t["id"]) for t in tokens)
+
+
 class IdEncoder:
     """Ids of texts by a tokenizer file; remembers the ids of pre-tokens.
 
+    ``added`` are the tokens to cut out first; without them their strings are ordinary text.
+
     The library's model encodes a pre-token written in byte letters; its whole pipeline would cut
     the pre-token out again and keep offsets that nobody reads.
     """
 
-    def __init__(self, path: str, remembered: int):
+    def __init__(self, path: str, remembered: int, added: tuple[tuple[str, int], ...] = ()):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.model = Tokenizer.from_file(path).model  # special strings in a text are ordinary text
+        self.model = Tokenizer.from_file(path).model
+        self.added = dict(added)
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("|".join(map(re.escape, longest)))
         self.letters = _byte_letters()
         self.remembered = remembered
         self.forget()
@@ -125,13 +143,25 @@ class IdEncoder:
         self.first = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint16)
 
+    def _added_at(self, text: str, edges: np.ndarray) -> np.ndarray:
+        """First code point and end of every added token, one after the other; none reaches over an edge."""
+        if not any(a in text for a in self.added):
+            return np.zeros(0, np.int64)
+        ends = edges.tolist()
+        found = (m.span() for low, high in pairwise(ends) for m in self.cut.finditer(text, low, high))
+        return np.fromiter(chain.from_iterable(found), np.int64)
+
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text's ids) of UTF-8 bytes."""
         text = data.tobytes().decode("utf-8", "replace")
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         glyphs = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
         edges = glyphs[bounds]
-        starts = pretoken_starts(points, edges)
+        tokens = self._added_at(text, edges)
+        starts = pretoken_starts(points, np.r_[edges, tokens] if len(tokens) else edges)
+        if len(tokens):  # a start strictly inside an added token follows its first code point only
+            inside = np.searchsorted(tokens, starts, "right") % 2 == 1
+            starts = starts[~inside | np.isin(starts, tokens[::2])]
         n = len(points)
         up, down = _power(n + 1)
         sums = np.zeros(n + 1, np.uint64)
@@ -145,8 +175,9 @@ class IdEncoder:
         fresh = np.flatnonzero(index < 0)
         if len(fresh):
             words = [text[starts[i] : ends[i]] for i in sample[fresh]]
-            letters = (w.encode().decode("latin-1").translate(self.letters) for w in words)
-            found = [[t.id for t in self.model.tokenize(w)] for w in letters]
+            # Every added token was cut out, so a pre-token that equals one is one.
+            letters = (w if w in self.added else w.encode().decode("latin-1").translate(self.letters) for w in words)
+            found = [[self.added[w]] if w in self.added else [t.id for t in self.model.tokenize(w)] for w in letters]
             base = len(self.first) - 1
             self.place.update(zip(unique[fresh].tolist(), range(base, base + len(fresh)), strict=True))
             index[fresh] = np.arange(base, base + len(fresh))
@@ -162,7 +193,7 @@ class IdEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, remembered: int) -> IdEncoder:
-    return IdEncoder(path, remembered)
+    return IdEncoder(path, remembered, added_tokens(path))
 
 
 # --- coder ---

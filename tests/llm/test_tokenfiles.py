@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from spoorline.llm.tokenfiles import (
-    MODEL, FileParameters, IdEncoder, packed, read_ids, stored_ids, unpacked, write_ids,
+    MODEL, FileParameters, IdEncoder, added_tokens, packed, read_ids, stored_ids, unpacked, write_ids,
 )
 
 
@@ -98,3 +98,20 @@ def test_files_are_whole_and_in_order(spark, small_documents, tmp_path):
         order += unpacked((tmp_path / "ids" / row.file).read_bytes())[0]
     assert order == sorted(order) and len(order) == small_documents.count()
     assert read_ids(manifest, target).count() == len(order)
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    loaded = Tokenizer.from_file(MODEL)
+    rng = random.Random(9)
+    end = "<|endoftext|>"
+    bits = [end, end, "<|endo", "ftext|>", "<|", "|>", " ", "  ", "\n", "a", "'", "s", "'s", "12", "é", "日本", "!", "endoftext"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(2000)]
+    texts += [f"a{end}b", end, 3 * end, f" {end} ", "a<|endo", "ftext|>b", "", f"it{end}'s"]
+    expected = [e.ids for e in loaded.encode_batch(texts, add_special_tokens=False)]
+    for remembered in (10, 1 << 20):
+        own = IdEncoder(MODEL, remembered, added_tokens(MODEL))
+        assert encode_all(own, texts) == expected
+        assert encode_all(own, texts) == expected
+    rows = list(enumerate([*texts[:20], f"a{end}b", None, "after"]))
+    out = result(stored_ids(spark, spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert out == expected_rows(loaded, rows) and out[20][1] == 4
