@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spoorline.llm import contamination, lines, near, pieces, quality
+from spoorline.llm.store import kept
 from spoorline.session import shared_dir
 
 
@@ -22,9 +24,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    stays = near.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows are told apart by a key of their own, written with them, so null and repeated ids do no
+    harm; a row without an id stays if nothing with an id is in its group.
+    """
+    rows = kept(docs.withColumn("_row", F.monotonically_increasing_id()), "near-input")
+    found = near.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))
+    stays = groups.groupBy("component_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

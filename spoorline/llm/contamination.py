@@ -187,7 +187,8 @@ def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(arrow_map(cut), "phrase binary, item_id bigint").distinct()
 
 
-HITS = "doc_id bigint, n_words bigint, words array<int>, chars array<int>, items array<bigint>"
+#: A row is known by its doc_id and text_key: hits follow from the text, so rows equal in both need no telling apart.
+HITS = "doc_id bigint, text_key bigint, n_words bigint, words array<int>, chars array<int>, items array<bigint>"
 
 
 def _hits(docs: DataFrame, phrases: Phrases) -> DataFrame:
@@ -226,21 +227,22 @@ def _hits(docs: DataFrame, phrases: Phrases) -> DataFrame:
 
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(low, rows),
+                    batch.column("doc_id").slice(low, rows),
+                    batch.column("text_key").slice(low, rows),
                     pa.array(np.diff(words.first), pa.int64()),
                     listed(2 * span_at, span_words.ravel(), pa.int32()),
                     listed(2 * span_at, span_chars.ravel(), pa.int32()),
                     listed(item_at, pair[:, 1], pa.int64()),
                 ],
-                names=["doc_id", "n_words", "words", "chars", "items"],
+                names=["doc_id", "text_key", "n_words", "words", "chars", "items"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     return rows.mapInArrow(arrow_map(find), HITS)
 
 
-def _merged(hits: DataFrame) -> DataFrame:
-    """Hit rows of several phrase blocks as one row per document."""
+def _merged(hits: DataFrame, blocks: int) -> DataFrame:
+    """Hit rows of several phrase blocks, each with one per input row, as one per input row."""
 
     def union(lists: list) -> list:
         spans = sorted(p for flat in lists for p in zip(flat[::2], flat[1::2], strict=True))
@@ -256,7 +258,7 @@ def _merged(hits: DataFrame) -> DataFrame:
         rows = batch.to_pydict()
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), batch.column(1),
+                batch.column(0), batch.column(1), batch.column(2),
                 pa.array([union(x) for x in rows["words"]], pa.list_(pa.int32())),
                 pa.array([union(x) for x in rows["chars"]], pa.list_(pa.int32())),
                 pa.array(rows["items"], pa.list_(pa.int64())),
@@ -264,25 +266,27 @@ def _merged(hits: DataFrame) -> DataFrame:
             names=batch.schema.names,
         )
 
-    grouped = hits.groupBy("doc_id").agg(
+    grouped = hits.groupBy("doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"),
-        F.collect_list("words").alias("words"),
-        F.collect_list("chars").alias("chars"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.collect_set("words").alias("words"),
+        F.collect_set("chars").alias("chars"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        (F.count(F.lit(1)) / blocks).cast("bigint").alias("rows"),
     )
-    return grouped.mapInArrow(arrow_map(merge), HITS)
+    each = grouped.withColumn("rows", F.explode(F.sequence(F.lit(1), "rows"))).drop("rows")
+    return each.mapInArrow(arrow_map(merge), HITS)
 
 
 def hits(
     docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """(doc_id, n_words, words, chars, items) for every document.
+    """(doc_id, text_key, n_words, words, chars, items) for every document, null and repeated ids too.
 
     ``words`` and ``chars`` are flat lists start, end, start, end of merged hit spans, in words and in
     code points; ``items`` are the items with an occurring window. Null texts have no words. Repeated
     or equal items each count. A phrase block has about ``block_rows`` (phrase, item) rows, which
-    bounds what a task is sent. Other columns are ignored; an empty benchmark hits nothing. Several
-    blocks need unique doc_ids.
+    bounds what a task is sent. Other columns are ignored; an empty benchmark hits nothing.
+    ``text_key`` is a hash of the text.
     """
     phrases = kept(windows(benchmark, width), "phrases")
     blocks = max(1, -(-phrases.count() // block_rows))
@@ -294,7 +298,7 @@ def hits(
         rows = [(bytes(r[0]), r[1]) for r in phrases.filter(block == b).collect()]
         own = _hits(docs, Phrases.of(rows))
         found = own if found is None else found.unionByName(own)
-    return _merged(found)
+    return _merged(found, blocks)
 
 
 def _sum_of_spans(column: str):
@@ -327,22 +331,27 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataF
     """The documents, same columns, with the merged hit spans cut from the contaminated ones.
 
     Documents that are not contaminated stay as they are. A text cut to nothing stays as an empty
-    text. ``n_chars``, where present, follows a changed text. doc_id is expected to be unique.
+    text. ``n_chars``, where present, follows a changed text. doc_id may be null or repeated.
     """
     found = hits(docs, benchmark, **parameters).withColumn("n_hit", _sum_of_spans("words"))
-    spans = found.filter(_contaminated()).select(F.col("doc_id").alias("_doc"), F.col("chars").alias("_chars"))
+    spans = (
+        found.filter(_contaminated())
+        .select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), F.col("chars").alias("_chars"))
+        .dropDuplicates(["_doc", "_text"])
+    )
     ends = F.transform("_chars", lambda x, i: F.when(i % 2 == 1, x))
     stays = F.concat(F.array(F.lit(0)), F.filter(ends, lambda x: x.isNotNull()))
     starts = F.filter(F.transform("_chars", lambda x, i: F.when(i % 2 == 0, x)), lambda x: x.isNotNull())
     upto = F.concat(starts, F.array(F.length("text")))
     pieces = F.transform(F.arrays_zip(stays.alias("a"), upto.alias("b")), lambda s: F.substring(F.col("text"), s["a"] + 1, s["b"] - s["a"]))
-    joined = docs.join(spans, F.col("doc_id").cast("bigint") == F.col("_doc"), "left")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_text"))
+    joined = docs.join(spans, same, "left")
     changed = joined.withColumn(
-        "text", F.when(F.col("_doc").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
+        "text", F.when(F.col("_chars").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
     )
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = changed.withColumn(
-            "n_chars", F.when(F.col("_doc").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
+            "n_chars", F.when(F.col("_chars").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind))
         )
     return changed.select(*docs.columns)

@@ -39,18 +39,23 @@ def _marked(docs: DataFrame, host: str, ratio: float, least_pages: int) -> DataF
         .filter((F.col("pages") >= max(2, least_pages)) & (F.col("pages") > F.col("host_pages") * F.lit(ratio)))
         .select("host", "line_key")
     )
+    # What goes follows from host and text, so ids may be null or repeated: rows equal in all three need no telling apart.
+    site = F.coalesce(F.col(host).cast("string"), F.lit(""))
+    page = F.xxhash64(site, "text")
     keys = docs.select(
         F.col("doc_id").alias("_doc"),
-        F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
+        page.alias("_page"),
+        site.alias("host"),
         F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _key))).alias("line_key"),
     )
     # A document has few flagged lines: on average at most its host's lines per page over `ratio`.
     goes = (
         keys.join(flagged, ["host", "line_key"])
-        .groupBy("_doc")
+        .groupBy("_doc", "_page")
         .agg(F.collect_set("line_key").alias("_goes"))
     )
-    return docs.join(goes, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (page == F.col("_page"))
+    return docs.join(goes, same, "left").drop("_doc", "_page")
 
 
 def _staying() -> Column:
@@ -72,7 +77,7 @@ def dedup_lines(
     host's distinct pages and on ``least_pages`` of them at least (never fewer than two); blank lines
     always stay. Every occurrence goes. A null host is the host with the empty name; a null text
     stays null with zero lines; a text of boilerplate only becomes empty. Other columns are ignored.
-    One row per input row; doc_id is expected to be unique.
+    One row per input row; doc_id may be null or repeated.
     """
     marked = _marked(docs.select("doc_id", host, "text"), host, ratio, least_pages)
     lines = F.split("text", "\n")

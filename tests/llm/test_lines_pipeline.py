@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from test_contamination import brute as contaminated_by_search
@@ -80,3 +80,44 @@ def test_stages_keep_columns_and_survive_odd_and_empty_tables(spark, cluttered):
             assert out.count() <= docs.count()
             docs = spark.createDataFrame(out.collect(), docs.schema)
     assert contamination.decontaminated(cluttered, cluttered.select("doc_id", "text").toDF("item_id", "text")).count() == 18
+
+
+def test_null_and_repeated_ids_in_every_stage(spark):
+    schema = "doc_id bigint, text string, source string, n_chars bigint"
+    ids = [None, None, 4, 4, None]
+
+    def run(stage, rows):
+        return Counter((r.doc_id, r.text) for r in stage(spark, spark.createDataFrame(rows, schema), SF).collect())
+
+    pages = [(ids[i % 5], f"menu\nbody {i}", "h", 0) for i in range(20)] + [(None, "menu\nx", "solo", 0)]
+    pages += [pages[0], pages[2]]
+    expected = Counter((d, t.removeprefix("menu\n") if h == "h" else t) for d, t, h, _ in pages)
+    assert run(corpus_pipeline.line_dedup, pages) == expected
+    cut = Counter((r.doc_id, r.n_dropped) for r in lines.dedup_lines(spark.createDataFrame(pages, schema)).collect())
+    assert cut == Counter((d, int(h == "h")) for d, _, h, _ in pages)
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    texts = [(None, a), (9, a), (3, f"{a} z"), (None, b), (None, b), (None, c), (7, d), (7, e), (7, e), (None, None)]
+    left = run(corpus_pipeline.near_dedup, [(i, t, "h", 0) for i, t in texts])
+    assert left == Counter([(3, f"{a} z"), (None, b), (None, c), (7, d), (7, e), (None, None)])
+
+    passage, other = (" ".join(f"{x}{i}" for i in range(15)) for x in "pq")
+    texts = [(None, f"{passage} x"), (None, f"{passage} y {other}"), (5, f"z {passage}"), (5, f"{other} w"), (5, "clean"),
+             (None, "clean"), (None, None), (None, f"{passage} x")]
+    rows = [(i, t, "h", 0) for i, t in texts]
+    bench = spark.createDataFrame([(1, passage), (2, other)], "item_id bigint, text string")
+    expected = Counter((i, t and t.replace(passage, "").replace(other, "")) for i, t in texts)
+    docs = spark.createDataFrame(rows, schema)
+    reports = []
+    for size in (1, 2, 200_000):
+        out = contamination.decontaminated(docs, bench, block_rows=size)
+        assert Counter((r.doc_id, r.text) for r in out.collect()) == expected
+        reports.append(Counter(tuple(r) for r in contamination.contamination(docs, bench, block_rows=size).collect()))
+    assert reports[0] == reports[1] == reports[2] and sum(reports[0].values()) == len(texts)
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(d, t, "h", 0) for t, own in docs.select("text", "doc_id").collect() for d in (own, None)]
+    left = run(corpus_pipeline.quality_classifier, rows)
+    assert Counter(t for d, t in left.elements() if d is None) == Counter(t for d, t in left.elements() if d is not None)
+    coded = corpus_pipeline.tokenisation(spark, spark.createDataFrame(rows, schema), SF)
+    assert coded.filter("doc_id is null").count() == docs.count()
