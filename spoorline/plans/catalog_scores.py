@@ -125,7 +125,7 @@ def descriptor_ratio_match(spark, sf):
 def ransac_inliers(spark, sf):
     """Inliers of one homography among the matched points of each image pair."""
     found = similarity.descriptor_matches(
-        descriptors(spark, sf, "query_id", "k = 9"), descriptors(spark, sf, "gallery_id", "k = 8")
+        descriptors(spark, sf, "query_id", "k >= 6"), descriptors(spark, sf, "gallery_id", "k < 6")
     )
     return similarity.ransac_inliers(found, threshold=5.0)
 

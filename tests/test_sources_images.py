@@ -245,3 +245,33 @@ def test_descriptor_matches_and_homography(spark):
     assert rows(similarity.descriptor_ratio_match(q, g)) == [("q", "g", 12), ("q", "lone", 0)]
     inliers = similarity.ransac_inliers(similarity.descriptor_matches(q, g), threshold=2.0)
     assert rows(inliers) == [("q", "g", 10)]
+
+
+def test_registered_inliers_read_every_query_and_gallery_image(spark, tmp_path):
+    from spoorline.plans import catalog_scores
+    from spoorline.plans.registry import QUERIES
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(20, 64))
+    base[[6, 17, 19]] = base[[0, 13, 15]] + 0.001  # near copies across the two sides
+    data = [(i, v.tolist()) for i, v in enumerate(base)]
+    spark.createDataFrame(data, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    images = {"q": {}, "g": {}}
+    for side, name, condition in (("q", "query_id", "k >= 6"), ("g", "gallery_id", "k < 6")):
+        for r in catalog_scores.descriptors(spark, str(tmp_path), name, condition).collect():
+            images[side].setdefault(r[name], {})[r.kp_id] = ((r.x, r.y), np.array(r.descriptor))
+    assert len(images["q"]) == 8 and len(images["g"]) == 12
+    expected = {}
+    for q, own in images["q"].items():
+        for g, theirs in images["g"].items():
+            pairs = []
+            for xy, d in own.values():
+                near = sorted((float(np.linalg.norm(d - e)), k) for k, (_, e) in theirs.items())
+                if near[0][0] < 0.8 * near[1][0]:
+                    pairs.append((xy, theirs[near[0][1]][0]))
+            if len(pairs) >= 4:
+                expected[q, g] = len(pairs)
+    out = {(r.query_id, r.gallery_id): r.inliers for r in QUERIES["ransac_inliers"](spark, str(tmp_path)).collect()}
+    assert out.keys() == expected.keys() and all(0 <= n <= expected[k] for k, n in out.items())
+    copies = {(f"img-{q:010d}", f"img-{g:010d}") for q, g in ((6, 0), (17, 13), (19, 15))}
+    assert copies <= out.keys() and all(out[c] == 8 for c in copies)
