@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
-from conftest import image, manifest_of, rows
+from support import image, manifest_of, rows
 
 from spoorline.operators import dedup, graph, split
 

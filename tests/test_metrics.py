@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from spoorline.functions.stats import rate, wilson_interval

@@ -1,6 +1,6 @@
 """Helpers against plain joins and sorts, with a third of the rows under one key."""
 
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from spoorline.operators.skew import (

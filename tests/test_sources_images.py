@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import image, manifest_of, rows
+from support import image, manifest_of, rows
 from pyspark.sql import functions as F
 
 from spoorline.operators import digest, images, similarity

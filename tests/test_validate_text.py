@@ -1,5 +1,5 @@
 import pytest
-from conftest import image, manifest_of, rows
+from support import image, manifest_of, rows
 from pyspark.sql import functions as F
 
 from spoorline.functions import text as tx
