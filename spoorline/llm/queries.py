@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import contamination, embeddings, lines, near, pages, pieces, privacy, quality, shards, tokenfiles
+from spoorline.llm import (
+    contamination,
+    dialogue,
+    embeddings,
+    lines,
+    maxscore,
+    merkle,
+    near,
+    pages,
+    pieces,
+    privacy,
+    quality,
+    shards,
+    tokenfiles,
+)
 from spoorline.llm.catalog import query, table
 
 
@@ -60,3 +74,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_id_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.stored_ids(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest", merkle.CHECK)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair", dialogue.CHECK)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_exact_topk", maxscore.CHECK)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
