@@ -190,7 +190,7 @@ def _emitted(found: Iterator[dict], schema: pa.Schema, size: int = 512) -> Itera
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _summary(key: tuple, rows: list[dict]) -> dict:
+def _summary(key: tuple, rows: list[dict], segment: int) -> dict:
     """What one segment of turns amounts to, whatever stands before and after it."""
     firsts = {r["pos"] for r in rows if r["mark"] == 1}
     turns = [r for r in rows if r["mark"] == 0]
@@ -203,7 +203,7 @@ def _summary(key: tuple, rows: list[dict]) -> dict:
         kinds.append((r["initial"], fault in ("blank", "duplicate"), fault == "truncated"))
     costs: list[int | None] = [None] * 16
     audits: list[str | None] = [None] * 16
-    entries, alone = range(4), key[1] == 0 and len(turns) < SEGMENT
+    entries, alone = range(4), key[1] == 0 and len(turns) < segment
     if key[1] == 0:
         entries = (START,)
     for entry in entries:
@@ -247,8 +247,11 @@ def joined(a: dict, b: dict) -> dict:
     }
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _emitted((_summary(k, rows) for k, rows in _grouped(batches, ["conv", "part"])), SUMMARY)
+def _summaries(segment: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _emitted((_summary(k, rows, segment) for k, rows in _grouped(batches, ["conv", "part"])), SUMMARY)
+
+    return run
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,8 +314,9 @@ def repair_report(ordered: DataFrame) -> DataFrame:
     firsts = ordered.groupBy("conv", "role", F.sha2(F.col("text").cast("binary"), 256)).agg(F.min("pos").alias("pos"))
     marks = firsts.select("conv", part, "pos", F.lit(1).alias("mark"))
     found = _in_order(
-        light.unionByName(marks, allowMissingColumns=True), ["conv", "part"], ["pos", "mark"], _summaries, SUMMARY_DDL
-    )
+        light.unionByName(marks, allowMissingColumns=True), ["conv", "part"], ["pos", "mark"], _summaries(SEGMENT),
+        SUMMARY_DDL,
+    )
     found = kept(found, "segments")
     while (found.agg(F.max("part")).first()[0] or 0) > 0:
         above = found.withColumn("above", F.expr(f"part div {FAN}"))

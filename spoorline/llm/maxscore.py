@@ -104,12 +104,12 @@ def _product(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.array([max(-LAST - 1, min(LAST, int(x))) for x in whole], np.int64)
 
 
-def _packed(k: int):
+def _packed(k: int, size: int):
     """Packs each shard, and its queries with the k-th best score in their own shard as a floor."""
 
     def pack(shard: int, ids: list, asked: list, blobs: list) -> Iterator[pa.RecordBatch]:
         dense = _dense(blobs)
-        base = shard * SHARD
+        base = shard * size
         which = np.flatnonzero(asked)
         out = [{
             "kind": 1, "shard": shard, "ids": ids, "places": [base], "floors": [], "width": dense.shape[1],
@@ -294,7 +294,7 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 10, scale: float = 1024.0)
         .repartition("shard")
         .sortWithinPartitions("shard", "place")
         .select("shard", "id", "asked", "weights")
-        .mapInArrow(_packed(k), PACK_DDL),
+        .mapInArrow(_packed(k, SHARD), PACK_DDL),
         "shards",
     )
     size = packed.agg(F.max("shard").alias("last"), F.sum(F.when(F.col("kind") == 0, F.size("ids"))).alias("asked")).first()
