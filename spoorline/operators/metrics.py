@@ -6,6 +6,7 @@ Every function aggregates a per-query table; the results are one row or one row
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spoorline.functions.stats import rate, share, wilson_interval
 from spoorline.operators.keys import with_keys
-from spoorline.operators.skew import ordered_numbers, running_total
+from spoorline.operators.skew import running_total
 from spoorline.session import durable
 
 DEFAULT_KS = (1, 3, 5)
@@ -42,7 +43,7 @@ def closed_set_metrics(ranks: DataFrame, ks: Sequence[int] = DEFAULT_KS) -> Data
 
 
 def cmc_curve(ranks: DataFrame, gallery_size: int) -> DataFrame:
-    """(k, share) for k = 1..gallery_size: a histogram and a two-level running sum."""
+    """(k, share) for k = 1..gallery_size: a histogram and a running sum over a tree of spans."""
     spark = ranks.sparkSession
     n = ranks.count()
     histogram = ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("hits"))
@@ -50,25 +51,82 @@ def cmc_curve(ranks: DataFrame, gallery_size: int) -> DataFrame:
     filled = grid.join(histogram, F.col("k") == F.col("rank"), "left").select(
         "k", F.coalesce("hits", F.lit(0)).alias("hits")
     )
-    return running_total(filled, "k", "hits", "within").select(
+    return running_total(filled, "k", "hits", "within", gallery_size).select(
         "k", share("within", F.lit(n)).alias("share")
     )
 
 
+DIGIT = 16
+FEW = 4096
+
+
+def _order_key(value: str) -> Column:
+    """A long that orders as the double does; NaN is last."""
+    bits = F.expr(f"cast(java_method('java.lang.Double', 'doubleToLongBits', {value}) as bigint)")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+def _key_value(key: int) -> float:
+    bits = key ^ ((1 << 63) - 1) if key < 0 else key
+    return struct.unpack(">d", struct.pack(">q", bits))[0]
+
+
+def selected(counts: DataFrame, targets: dict[str, int]) -> dict[str, float]:
+    """The values at 1-based ascending ranks, from (_key, _n): counts of distinct order keys.
+
+    Selection by digits: each round counts the keys below each prefix still in question by their next
+    ``DIGIT`` bits, and the digit that holds the rank joins the prefix. Nothing is sorted or moved;
+    the driver sees at most 2**DIGIT counts a prefix, or the last ``FEW`` keys themselves.
+    """
+    open_ = {name: (0, 0, rank) for name, rank in targets.items()}  # prefix, its bits, rank inside
+    found: dict[str, float] = {}
+    while open_:
+        ahead: dict[tuple[int, int], list] = {}
+        for prefix, bits in {(p, b) for p, b, _ in open_.values()}:
+            shift = 64 - bits - DIGIT
+            rows = counts if not bits else counts.filter(F.shiftright("_key", 64 - bits) == F.lit(prefix))
+            digit = F.shiftright("_key", shift) if shift else F.col("_key")
+            grouped = rows.groupBy(digit.cast("bigint").alias("next")).agg(
+                F.sum("_n").alias("n"), F.count(F.lit(1)).alias("keys")
+            )
+            ahead[prefix, bits] = sorted(tuple(r) for r in grouped.collect())
+        short: dict[tuple[int, int], list] = {}
+        for name, (prefix, bits, rank) in list(open_.items()):
+            for following, n, keys in ahead[prefix, bits]:
+                if rank <= n:
+                    open_[name] = (following, bits + DIGIT, rank)
+                    if keys <= FEW:
+                        short.setdefault((following, bits + DIGIT), []).append(name)
+                    break
+                rank -= n
+        for (prefix, bits), names in short.items():
+            at = F.shiftright("_key", 64 - bits) if bits < 64 else F.col("_key")
+            rows = sorted(tuple(r) for r in counts.filter(at == F.lit(prefix)).select("_key", "_n").collect())
+            for name in names:
+                rank = open_.pop(name)[2]
+                for key, n in rows:
+                    if rank <= n:
+                        found[name] = _key_value(key)
+                        break
+                    rank -= n
+    return found
+
+
 def value_at_ranks(
     df: DataFrame, value: str, ranks: Callable[[int], dict[str, int]]
 ) -> DataFrame:
-    """One row: n and the values at 1-based ascending ranks, which ``ranks`` derives from n."""
-    values = durable(df.select(F.col(value).alias("_v")).filter(F.col("_v").isNotNull()))
-    n = values.count()
+    """One row: n and the values at 1-based ascending ranks, which ``ranks`` derives from n.
+
+    Values are doubles. Equal ones are counted before the shuffle, so ties cost one row a task.
+    """
+    double = df.select((F.col(value).cast("double") + F.lit(0.0)).alias("_v")).filter(F.col("_v").isNotNull())
+    counts = double.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = durable(counts.select(_order_key("_v").alias("_key"), "_n"))
+    n = counts.agg(F.sum("_n")).first()[0] or 0
     wanted = ranks(n)
-    numbered = ordered_numbers(values, [], [F.col("_v")], "_rank").filter(
-        F.col("_rank").isin(*set(wanted.values()))
-    )
-    return numbered.agg(
-        F.lit(n).cast("bigint").alias("n"),
-        *[F.max(F.when(F.col("_rank") == at, F.col("_v"))).alias(k) for k, at in wanted.items()],
-    )
+    found = selected(counts, wanted) if n else {}
+    schema = ", ".join(["n bigint", *(f"{k} double" for k in wanted)])
+    return df.sparkSession.createDataFrame([(n, *(found.get(k) for k in wanted))], schema)
 
 
 def calibrate_threshold(unknown_best: DataFrame, target_far: float = 0.05) -> DataFrame:
@@ -280,7 +338,6 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def latency_summary(df: DataFrame, column: str) -> DataFrame:
     """One row: median, nearest-rank p95 (half-even index) and max; zeros when empty."""
-    n = F.col("n")
     picked = value_at_ranks(
         df,
         column,

@@ -91,27 +91,24 @@ def ordered_numbers(
     )
 
 
-def running_total(df: DataFrame, position: str, value: str, name: str, span: int = 4096) -> DataFrame:
-    """Running sum over a dense integer position: inside spans, then over span totals."""
+def running_total(
+    df: DataFrame, position: str, value: str, name: str, length: int, span: int = 4096
+) -> DataFrame:
+    """Running sum over a dense integer position up to ``length``, as a tree of spans.
+
+    Each window holds at most ``span`` rows: of one span, or of the totals of ``span`` spans, whose
+    own running sum is taken the same way one level up.
+    """
+    inside = Window.partitionBy("_span").orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = df.withColumn("_span", F.floor(F.col(position) / F.lit(span)))
-    totals = cut.groupBy("_span").agg(F.sum(value).alias("_total"))
-    before = (
-        Window.partitionBy(F.lit(0)).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = totals.select(
-        "_span", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start")
-    )
-    inside = (
-        Window.partitionBy("_span")
-        .orderBy(position)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        cut.withColumn("_local", F.sum(value).over(inside))
-        .join(starts, "_span")
-        .withColumn(name, F.col("_local") + F.col("_start"))
-        .drop("_span", "_local", "_start")
+    local = cut.withColumn(name, F.sum(value).over(inside))
+    if length < span:  # all positions, from 0 or 1, are in the first span
+        return local.drop("_span")
+    totals = cut.groupBy("_span").agg(F.sum(value).alias("_total")).withColumnRenamed("_span", "_at")
+    before = running_total(totals, "_at", "_total", "_upto", length // span, span).select(
+        F.col("_at").alias("_span"), (F.col("_upto") - F.col("_total")).alias("_start")
     )
+    return local.join(before, "_span").withColumn(name, F.col(name) + F.col("_start")).drop("_span", "_start")
 
 
 def lookup(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spoorline.functions.stats import rate as rate_of
 from spoorline.functions.stats import wilson_interval as wilson_of
-from spoorline.operators import decision, ranking, similarity
+from spoorline.operators import decision, ranking, scorers, similarity
 from spoorline.operators import metrics as mt
 from spoorline.plans.registry import query, r6, rounded
 from spoorline.session import durable
@@ -100,25 +100,63 @@ def descriptors(spark: SparkSession, sf: str, name: str, condition: str) -> Data
     )
 
 
-@query(
-    "descriptor_ratio_match",
-    """with cut as (select image_id, k, kp, vector[kp * 8 + 1 : kp * 8 + 8] as d
+def keypoints(spark: SparkSession, sf: str, name: str, condition: str) -> DataFrame:
+    """The same descriptors as one array an image."""
+    return descriptors(spark, sf, name, condition).groupBy(name).agg(
+        F.sort_array(F.collect_list(F.struct("kp_id", "x", "y", "descriptor"))).alias("keypoints")
+    )
+
+
+MATCHES = """cut as (select image_id, side_id, k, kp, vector[kp * 8 + 1 : kp * 8 + 8] as d
     from features_v, (select unnest(range(8)) as kp) t(kp)),
   near as (select q.image_id as query_id, g.image_id as gallery_id, q.kp,
-      list_distance(q.d, g.d) as dist,
-      row_number() over (partition by q.image_id, g.image_id, q.kp
-        order by list_distance(q.d, g.d), g.kp) as place
-    from cut q join cut g on q.k = 9 and g.k = 8),
-  two as (select query_id, gallery_id, kp, max(dist) filter (where place = 1) as d1,
-      max(dist) filter (where place = 2) as d2 from near where place <= 2 group by 1, 2, 3)
-  select query_id, gallery_id, cast(case when count(*) filter (where d1 < 0.8 * d2) >= 4
-    then count(*) filter (where d1 < 0.8 * d2) else 0 end as int) as good_matches
-  from two group by 1, 2""",
+      list_sort(list(list_distance(q.d, g.d)))[1:2] as dist
+    from cut q join cut g on q.k >= 6 and g.k < 6 group by 1, 2, 3),
+  counted as (select query_id, gallery_id, count(*) filter (where dist[1] < 0.8 * dist[2]) as n
+    from near group by 1, 2),
+  matched as (select query_id, gallery_id, case when n >= 4 then n else 0 end as n from counted)"""
+
+
+@query(
+    "descriptor_ratio_match",
+    f"with {MATCHES} select query_id, gallery_id, cast(n as int) as good_matches from matched",
 )
 def descriptor_ratio_match(spark, sf):
     return similarity.descriptor_ratio_match(
-        descriptors(spark, sf, "query_id", "k = 9"), descriptors(spark, sf, "gallery_id", "k = 8")
+        descriptors(spark, sf, "query_id", "k >= 6"), descriptors(spark, sf, "gallery_id", "k < 6")
+    )
+
+
+@query(
+    "evaluate_descriptors",
+    f"""with {MATCHES},
+  named as (select query_id, q.side_id as truth, g.side_id, n from matched
+    join features_v q on q.image_id = query_id join features_v g on g.image_id = gallery_id),
+  best as (select query_id, truth, side_id, max(n) as score from named group by 1, 2, 3),
+  ranked as (select *, row_number() over (partition by query_id order by score desc, side_id) as rank,
+    max(score) over (partition by query_id) as top from best)
+  select query_id, cast(rank as bigint) as rank, cast(top as double) as best from ranked where side_id = truth""",
+)
+def evaluate_descriptors(spark, sf):
+    """Ranks by descriptor matches instead of cosine, through the same blocks."""
+    return descriptor_ranks(spark, sf, scorers.MatchScorer())
+
+
+@query("evaluate_homography")
+def evaluate_homography(spark, sf):
+    """Ranks by matches that agree with one homography."""
+    return descriptor_ranks(spark, sf, scorers.HomographyScorer())
+
+
+def descriptor_ranks(spark: SparkSession, sf: str, scorer: scorers.Scorer) -> DataFrame:
+    sides = view(spark, sf, "features_v").select("image_id", "side_id")
+    asked = keypoints(spark, sf, "query_id", "k >= 6").join(
+        sides.withColumnsRenamed({"image_id": "query_id", "side_id": "truth"}), "query_id"
+    )
+    shown = keypoints(spark, sf, "gallery_id", "k < 6").join(
+        sides.withColumnRenamed("image_id", "gallery_id"), "gallery_id"
     )
+    return similarity.true_rank_blocks(asked, shown, scorer=scorer)
 
 
 @query("ransac_inliers")

@@ -17,6 +17,7 @@ from spoorline.operators.metrics import (
     stratify_all_attributes,
     threshold_value,
 )
+from spoorline.operators.scorers import COSINE, Scorer
 from spoorline.operators.similarity import true_rank_blocks
 from spoorline.operators.split import (
     SplitError,
@@ -90,25 +91,26 @@ def evaluate(
     preprocessing: str = "original",
     target_far: float = 0.05,
     threshold: float | None = None,
+    scorer: Scorer = COSINE,
 ) -> Evaluation:
     """Score one partition of a split against its gallery.
 
-    ``features``: image_id, vector (unit length). VALIDATION calibrates the threshold; TEST must be
-    given the calibrated one and uses it unchanged.
+    ``features``: image_id and the scorer's columns (for cosine, ``vector`` of unit length). VALIDATION
+    calibrates the threshold; TEST must be given the calibrated one and uses it unchanged.
     """
     if partition == "test" and threshold is None:
         raise ValueError("TEST reuses the threshold calibrated on VALIDATION")
-    rows = assignments.filter(F.col("partition") == partition).join(features, "image_id")
+    rows = assignments.filter(F.col("partition") == partition).join(features.select("image_id", *scorer.columns), "image_id")
     gallery = rows.filter(F.col("role") == "gallery").select(
-        F.col("image_id").alias("gallery_id"), "side_id", "vector"
+        F.col("image_id").alias("gallery_id"), "side_id", *scorer.columns
     )
     known = F.col("role") == "query_known"
     queries = rows.filter(F.col("role").isin("query_known", "query_unknown")).select(
         F.col("image_id").alias("query_id"),
-        "vector",
+        *scorer.columns,
         F.when(known, F.col("side_id")).alias("truth"),
     )
-    ranked = durable(true_rank_blocks(queries, gallery))
+    ranked = durable(true_rank_blocks(queries, gallery, scorer=scorer))
     # a known query always has a rank: its identity has gallery images in a verified split
     is_known = queries.filter(F.col("truth").isNotNull()).select("query_id")
     known_rows = durable(ranked.join(is_known, "query_id"))

@@ -150,3 +150,24 @@ def test_compare_lists_reports_uneven_length_once(spark):
         ("r.cmc.length", "length differs"),
         ("r.tags[0]", "value differs"),
     ]
+
+
+def test_selection_with_ties_and_odd_values(spark):
+    """Nine tenths tie; negative, zero, infinite and NaN values keep their order; every rank is right."""
+    import math
+
+    values = [0.25] * 900 + [0.25 + i * 1e-9 for i in range(1, 40)] + [-3.5, -0.0, 0.0, math.inf, -math.inf, math.nan, 1e-310]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "best double").repartition(7)
+    order = sorted(values, key=lambda v: (math.isnan(v), v if not math.isnan(v) else 0))
+    for few in (4096, 2):
+        before, metrics.FEW = metrics.FEW, few
+        try:
+            wanted = {f"r{i}": i for i in (1, 2, 3, 5, 6, 500, 906, 910, 930, len(values) - 1, len(values))}
+            row = metrics.value_at_ranks(df, "best", lambda n: wanted).first().asDict()
+        finally:
+            metrics.FEW = before
+        assert row.pop("n") == len(values)
+        for name, value in row.items():
+            expected = order[wanted[name] - 1]
+            assert value == expected or (math.isnan(value) and math.isnan(expected))
+    assert metrics.value_at_ranks(df.limit(0), "best", lambda n: {"x": 1}).first() == (0, None)

@@ -68,9 +68,8 @@ def test_hash_ordered_numbers(spark):
 
 
 def test_running_total(spark):
-    df = spark.range(1, 51).select(F.col("id").alias("p"), (F.col("id") % 4).alias("v"))
-    got = {r["p"]: r["t"] for r in running_total(df, "p", "v", "t", span=7).collect()}
-    total = 0
-    for p in range(1, 51):
-        total += p % 4
-        assert got[p] == total
+    """Three levels of spans, and a single one."""
+    df = spark.range(1, 401).select(F.col("id").alias("p"), (F.col("id") % 4).alias("v"))
+    for span in (7, 4096):
+        got = {r["p"]: r["t"] for r in running_total(df, "p", "v", "t", 400, span=span).collect()}
+        assert got == {p: sum(q % 4 for q in range(1, p + 1)) for p in range(1, 401)}

@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from support import image, manifest_of, rows
 from pyspark.sql import functions as F
@@ -275,3 +276,43 @@ def test_registered_inliers_read_every_query_and_gallery_image(spark, tmp_path):
     assert out.keys() == expected.keys() and all(0 <= n <= expected[k] for k, n in out.items())
     copies = {(f"img-{q:010d}", f"img-{g:010d}") for q, g in ((6, 0), (17, 13), (19, 15))}
     assert copies <= out.keys() and all(out[c] == 8 for c in copies)
+
+
+def test_scorers_give_the_ranks_of_pairwise_scores(spark):
+    """Descriptor and homography ranks through blocks equal ranks from every pair scored alone."""
+    from spoorline.operators import scorers
+
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(4, 10, 8))
+    points = rng.uniform(0, 100, (4, 10, 2))
+
+    def shot(side, noise):
+        keep = rng.permutation(10)[: rng.integers(1, 11)]
+        at = points[side][keep] @ (np.eye(2) + rng.normal(scale=0.05, size=(2, 2))) + rng.normal(scale=noise, size=(len(keep), 2))
+        return [(float(x), float(y), d.tolist()) for (x, y), d in zip(at, centre[side][keep] + rng.normal(scale=0.01, size=(len(keep), 8)), strict=True)]
+
+    kind = "array<struct<x:double,y:double,descriptor:array<double>>>"
+    gallery = [(f"g{i:02d}", f"s{i % 4}", None if i == 11 else shot(i % 4, 0.5)) for i in range(16)]
+    queries = [(f"q{i:02d}", None if i == 5 else f"s{i % 4}", shot(i % 4, 0.5)) for i in range(9)]
+    g = spark.createDataFrame(gallery, f"gallery_id string, side_id string, keypoints {kind}")
+    q = spark.createDataFrame(queries, f"query_id string, truth string, keypoints {kind}")
+    for scorer in (scorers.MatchScorer(), scorers.HomographyScorer()):
+        ready = lambda p: scorer.prepared(pd.DataFrame({"keypoints": [[dict(zip(("x", "y", "descriptor"), k, strict=True)) for k in p or []]]}))  # noqa: B023, E731
+        want = {}
+        for name, truth, mine in queries:
+            best = {}
+            for _, side, theirs in gallery:
+                score = scorer.scores(ready(mine), ready(theirs))[0, 0]
+                best[side] = max(best.get(side, 0.0), score)
+            order = sorted(best, key=lambda s: (-best[s], s))
+            want[name] = (order.index(truth) + 1 if truth else None, max(best.values()))
+        for size in (3, None):
+            ranked = similarity.true_rank_blocks(q, g, size, scorer)
+            assert {r.query_id: (r.rank, r.best) for r in ranked.collect()} == want
+
+
+def test_homography_of_points_without_area_has_no_inlier():
+    from spoorline.operators.scorers import homography_inliers
+
+    line = np.array([[float(i), 2.0 * i] for i in range(9)])
+    assert homography_inliers(line, line, 1.0, 50) == 0
