@@ -288,133 +288,196 @@ _EDIT_COLUMNS = [
     "reference_failure",
     "detail_failure",
 ]
-_OTHER = "\x00other"  # stands for any park no edit of a stretch names
-_ANY_ZONE = "\x00zone"
+# Marks in a stretch's effect; no id begins with a zero character.
+_OTHER = "\x00other"  # any park that the stretch does not name; as a result, the park it came with
+_SAME = "\x00zone"  # some zone; as a result, the zone it came with
+_NONE = "\x00none"  # no park, or no zone
 
 
-def _stretch_effect(rows: list) -> list[tuple[str | None, bool, str | None, str | None]]:
-    """What a stretch of edits does to each distinguishable entry state.
+class Effect:
+    """What a stretch of edits does to each distinguishable entry state, edit by edit.
 
     An edit only asks whether a zone is set and whether the park equals one it names, so entry
-    states fall into few classes: (park named in the stretch, or other, or none) x (zone or not).
-    A kept park or zone is returned as its placeholder.
+    states fall into few classes: (a park named so far, or other, or none) x (zone or not). A park
+    that is named for the first time has until then been one of the others, and leaves their class
+    with the state they have reached. Classes in one state move together, so an edit costs one step
+    per distinct state, and the memory follows the parks named, not the edits.
     """
-    edits = [edit_dict(r) for r in rows]
-    parks = {e["zone_park"] for e in edits} | {e["park_id"] for e in edits if e["park_set"]}
-    entries: list[Place] = [(None, None)]
-    for park in sorted(p for p in parks if p is not None) + [_OTHER]:
-        entries += [(park, None), (park, _ANY_ZONE)]
-    current = {entry: entry for entry in entries}
-    for edit in edits:
-        moved = {}
-        for state in set(current.values()):
-            kept = judge_place(state, edit) is not None
-            moved[state] = state if kept else merged_place(state, edit)
-        current = {entry: moved[state] for entry, state in current.items()}
-    return [(e[0], e[1] is not None, *current[e]) for e in entries]
+
+    def __init__(self) -> None:
+        self.others: dict[bool, Place] = {False: (_OTHER, None), True: (_OTHER, _SAME)}
+        self.named: set[str] = set()
+        self.classes: dict[Place, list[tuple[str, bool]]] = {(None, None): [(_NONE, False)]}
+
+    def _name(self, park: str | None) -> None:
+        if park is None or park in self.named:
+            return
+        self.named.add(park)
+        for zoned, state in self.others.items():
+            own = (park if state[0] == _OTHER else state[0], state[1])
+            self.classes.setdefault(own, []).append((park, zoned))
+
+    def apply(self, edit: dict) -> None:
+        self._name(edit["zone_park"])
+        if edit["park_set"]:
+            self._name(edit["park_id"])
+
+        def moved(state: Place) -> Place:
+            return state if judge_place(state, edit) is not None else merged_place(state, edit)
+
+        self.others = {zoned: moved(state) for zoned, state in self.others.items()}
+        classes: dict[Place, list[tuple[str, bool]]] = {}
+        for state, members in self.classes.items():
+            held = classes.setdefault(moved(state), members)
+            if held is not members:
+                small, large = sorted((held, members), key=len)
+                large.extend(small)
+                classes[moved(state)] = large
+        self.classes = classes
+
+    def rows(self) -> Iterator[tuple[str, bool, str, str]]:
+        """(park before, zone before, park after, zone after); none is a mark of its own."""
+        entries = [(entry, state) for state, members in self.classes.items() for entry in members]
+        entries += [((_OTHER, zoned), state) for zoned, state in self.others.items()]
+        for (park, zoned), (out_park, out_zone) in entries:
+            yield park, zoned, _NONE if out_park is None else out_park, _NONE if out_zone is None else out_zone
+
+
+_EFFECT = ["in_park", "in_zoned", "out_park", "out_zone"]
+_SUMMARY = ["part", "kind", "first", "last", "opens", "known", *_EFFECT]
+_SUMMARY_TYPE = (
+    "part int, kind string, first string, last string, opens boolean, known boolean, "
+    "in_park string, in_zoned boolean, out_park string, out_zone string"
+)
 
 
 def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per sorted partition: effect of the stretch before its first creation, and its last state."""
-    opening: list = []
-    first = last = None
+    """Per sorted partition: its span, the state it ends in where it is known, and the effect of the
+    edits before its first creation where its last encounter is still the one it opened with."""
+    effect = Effect()
+    first = last = part = None
+    opens = False
     state: Place | None = None
-    part = None
     for batch in batches:
         for row in batch.itertuples(index=False):
-            part = row.part
-            if first is None:
-                first = row.encounter_id
+            if part is None:
+                part, first, opens = row.part, row.encounter_id, row.op != "create"
             if row.encounter_id != last:
                 last, state = row.encounter_id, None
             edit = edit_dict(row)
             if row.op == "create":
                 state = merged_place((None, None), edit)
-            elif state is not None:
-                if judge_place(state, edit) is None:
-                    state = merged_place(state, edit)
-            else:
-                opening.append(row)
+            elif state is None:
+                effect.apply(edit)
+            elif judge_place(state, edit) is None:
+                state = merged_place(state, edit)
     if part is None:
         return
-    rows = []
-    effect = _stretch_effect(opening) if opening else []
-    for park, zoned, out_park, out_zone in effect:
-        rows.append((part, first, "effect", park, zoned, out_park, out_zone))
-    if state is not None:
-        rows.append((part, last, "state", None, False, *state))
-    if rows:
-        yield pd.DataFrame(rows, columns=_SUMMARY)
+    held = [_NONE if x is None else x for x in state] if state else [None, None]
+    rows = [(part, "span", first, last, opens, state is not None, None, None, *held)]
+    if opens and state is None:
+        rows += [(part, "effect", first, last, opens, False, *entry) for entry in effect.rows()]
+    yield pd.DataFrame(rows, columns=_SUMMARY)
 
 
-_SUMMARY = ["part", "encounter_id", "kind", "in_park", "in_zone", "out_park", "out_zone"]
-_SUMMARY_TYPE = (
-    "part int, encounter_id string, kind string, in_park string, in_zone boolean, "
-    "out_park string, out_zone string"
-)
+def _first_match(rows: DataFrame, tables: DataFrame, keys: list[str], park: str, zoned: Column) -> DataFrame:
+    """Rows with what an effect does to (park, zoned): by its own class, else by that of the others.
+
+    ``tables``: keys and the effect's columns. Adds out_park and out_zone with their marks resolved
+    against ``park`` and ``zone`` of the row.
+    """
+    rows = rows.withColumn("_zoned", zoned)
+    exact = tables.select(
+        *keys, F.col("in_park").alias(park), F.col("in_zoned").alias("_zoned"),
+        F.col("out_park").alias("_park"), F.col("out_zone").alias("_zone"),
+    )
+    other = tables.filter(F.col("in_park") == _OTHER).select(
+        *keys, F.col("in_zoned").alias("_zoned"), F.col("out_park").alias("_opark"), F.col("out_zone").alias("_ozone")
+    )
+    joined = rows.join(exact, [*keys, park, "_zoned"], "left").join(other, [*keys, "_zoned"], "left")
+    return joined.withColumns({"_park": F.coalesce("_park", "_opark"), "_zone": F.coalesce("_zone", "_ozone")})
+
+
+def _resolved(park: str, zone: str) -> list[Column]:
+    return [
+        F.when(F.col("_park") == _OTHER, F.col(park)).otherwise(F.col("_park")).alias("out_park"),
+        F.when(F.col("_zone") == _SAME, F.col(zone)).otherwise(F.col("_zone")).alias("out_zone"),
+    ]
 
 
-def _entry_states(summary: list) -> dict[int, Place]:
-    """Entry state of each partition that starts inside an encounter (a few rows per partition)."""
-    by_part: dict[int, dict] = {}
-    for row in summary:
-        found = by_part.setdefault(row["part"], {"effect": {}, "first": None, "state": None})
-        if row["kind"] == "effect":
-            found["first"] = row["encounter_id"]
-            found["effect"][(row["in_park"], row["in_zone"])] = (row["out_park"], row["out_zone"])
-        else:
-            found["state"] = (row["encounter_id"], (row["out_park"], row["out_zone"]))
-    entries: dict[int, Place] = {}
-    carried: tuple[str, Place] | None = None
-    for part in sorted(by_part):
-        found = by_part[part]
-        passed = None
-        if found["effect"] and carried and carried[0] == found["first"]:
-            entries[part] = park, zone = carried[1]
-            named = (park, zone is not None)
-            key = named if named in found["effect"] else (_OTHER, zone is not None)
-            out_park, out_zone = found["effect"][key]
-            passed = (
-                found["first"],
-                (park if out_park == _OTHER else out_park, zone if out_zone == _ANY_ZONE else out_zone),
-            )
-        carried = found["state"] or passed or carried
-    return entries
-
-
-def _judge(entries: dict[int, Place]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        state: Place = (None, None)
-        for batch in batches:
-            verdicts = []
-            for row in batch.itertuples(index=False):
-                if row.encounter_id != last:
-                    state = entries.get(row.part, (None, None)) if last is None else (None, None)
-                    last = row.encounter_id
-                edit = edit_dict(row)
-                if row.op == "create":
-                    verdicts.append(None)
-                    state = merged_place((None, None), edit)
-                    continue
-                failure = judge_place(state, edit)
-                if failure is None:
-                    state = merged_place(state, edit)
-                verdicts.append(failure)
-            yield pd.DataFrame(
-                {"encounter_id": batch["encounter_id"], "seq": batch["seq"], "failure": verdicts}
-            )
-
-    return run
+def entry_states(summary: DataFrame) -> DataFrame:
+    """(part, entry_park, entry_zone) of each partition that starts inside an encounter.
+
+    The state function of a partition maps entry to exit state. A partition points to the one before
+    it; one whose exit is known answers, and functions of two neighbours are composed, which doubles
+    the reach of every pointer: as many rounds as the logarithm of the longest run of partitions
+    inside one encounter. All of it stays in tables.
+    """
+    order = Window.orderBy("part")  # one row a partition of the log
+    spans = summary.filter("kind = 'span'").withColumn("at", F.lag("part").over(order))
+    need = spans.filter("opens").select("part", "at")
+    exits = spans.filter("known").select(F.col("part").alias("at"), "out_park", "out_zone")
+    done = durable(
+        need.join(exits, "at").select("part", F.col("out_park").alias("entry_park"), F.col("out_zone").alias("entry_zone"))
+    )
+    effects = summary.filter("kind = 'effect'").select(F.col("part").alias("at"), *_EFFECT)
+    pending = durable(need.join(effects, "at"))
+    while not pending.isEmpty():
+        answers = done.select(F.col("part").alias("at"), F.col("entry_park").alias("park"), F.col("entry_zone").alias("zone"))
+        reached = pending.select("part", "at").distinct().join(answers, "at")
+        applied = _first_match(reached, pending.drop("at"), ["part"], "park", F.col("zone") != _NONE)
+        found = applied.select("part", *_resolved("park", "zone")).toDF("part", "entry_park", "entry_zone")
+        left = pending.join(reached.select("part"), "part", "left_anti")
+        # what stands before each pending part: the function of the part it points to
+        earlier = left.select(F.col("part").alias("at"), F.col("at").alias("before"), *_EFFECT)
+        links = left.select("part", "at").distinct().join(earlier.select("at", "before").distinct(), "at")
+        first = links.join(earlier.drop("before"), "at").select("part", "before", *_EFFECT)
+        named = first.select("part", "before", "in_park", "in_zoned").unionByName(
+            left.join(links.select("part", "before"), "part").select("part", "before", "in_park", "in_zoned")
+        ).distinct()
+        once = _first_match(
+            named.withColumn("zone", F.when(F.col("in_zoned"), _SAME).otherwise(_NONE)),
+            first.drop("before"), ["part"], "in_park", F.col("in_zoned"),
+        ).select("part", "before", "in_park", "in_zoned", *_resolved("in_park", "zone"))
+        middle = once.withColumnsRenamed({"out_park": "park", "out_zone": "zone"})
+        twice = _first_match(middle, left.drop("at"), ["part"], "park", F.col("zone") != _NONE)
+        composed = twice.select("part", F.col("before").alias("at"), "in_park", "in_zoned", *_resolved("park", "zone"))
+        waiting = left.join(links.select("part"), "part", "left_anti").unionByName(composed)
+        done, pending = durable(done.unionByName(found)), durable(waiting)
+    return done
+
+
+def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Verdicts of one sorted partition, from the state in which its first encounter enters it."""
+    last = None
+    state: Place = (None, None)
+    for batch in batches:
+        verdicts = []
+        for row in batch.itertuples(index=False):
+            if row.encounter_id != last:
+                entry = (_text(row.entry_park), _text(row.entry_zone)) if last is None else (None, None)
+                state = tuple(None if x in (None, _NONE) else x for x in entry)
+                last = row.encounter_id
+            edit = edit_dict(row)
+            if row.op == "create":
+                verdicts.append(None)
+                state = merged_place((None, None), edit)
+                continue
+            failure = judge_place(state, edit)
+            if failure is None:
+                state = merged_place(state, edit)
+            verdicts.append(failure)
+        yield pd.DataFrame({"encounter_id": batch["encounter_id"], "seq": batch["seq"], "failure": verdicts})
 
 
 def place_failures(edits: DataFrame) -> DataFrame:
     """(encounter_id, seq, failure) of draft edits that touch the place.
 
-    The log is range-partitioned on (encounter, seq) and folded partition by partition. An
-    encounter that spans partitions is handled by first reducing each partition's opening stretch
-    to its effect on any entry state; the effects, a few rows per partition, are then chained.
-    So one encounter may hold any share of the log and still be judged in parallel.
+    The log is range-partitioned on (encounter, seq) and folded partition by partition. An encounter
+    that spans partitions is handled by first reducing each partition's opening stretch to its effect
+    on any entry state; ``entry_states`` chains the effects. So one encounter may hold any share of
+    the log and still be judged in parallel. The entry states are one row per partition of the log,
+    which bounds their broadcast.
     """
     ranged = durable(
         edits.select(*_EDIT_COLUMNS)
@@ -422,9 +485,9 @@ def place_failures(edits: DataFrame) -> DataFrame:
         .sortWithinPartitions("encounter_id", "seq")
         .withColumn("part", F.spark_partition_id())
     )
-    summary = ranged.mapInPandas(_summarise, _SUMMARY_TYPE).collect()
-    judge = _judge(_entry_states(summary))
-    return ranged.mapInPandas(judge, "encounter_id string, seq bigint, failure string")
+    summary = durable(ranged.mapInPandas(_summarise, _SUMMARY_TYPE))
+    entries = F.broadcast(entry_states(summary))
+    return ranged.join(entries, "part", "left").mapInPandas(_judge, "encounter_id string, seq bigint, failure string")
 
 
 def replay_outcomes(log: DataFrame, parks: DataFrame, zones: DataFrame) -> DataFrame:
