@@ -206,6 +206,19 @@ def merged_place(state: Place, edit: dict) -> Place:
     return park, zone
 
 
+_FIELDS = [
+    "park_set", "park_id", "park_known", "zone_set", "zone_id", "zone_park", "reference_failure", "detail_failure",
+]
+
+
+def _edits(batch: pd.DataFrame, *names: str) -> Iterator[tuple]:
+    """(edit, named columns) of every row; text columns hold strings or None."""
+    fields = zip(*(batch[c].to_numpy() for c in _FIELDS), strict=True)
+    others = zip(*(batch[c].to_numpy() for c in names), strict=True)
+    for values, rest in zip(fields, others, strict=True):
+        yield dict(zip(_FIELDS, values, strict=True)), *rest
+
+
 def _text(value: object) -> str | None:
     return value if isinstance(value, str) else None
 
@@ -226,8 +239,7 @@ def edit_dict(row: object) -> dict:
 def with_place_facts(log: DataFrame, parks: DataFrame, zones: DataFrame) -> DataFrame:
     """Local facts of every edit: does the park exist, which park has the zone, what fails."""
     park, zone = place_tables(parks, zones)
-    held = durable(log)
-    rows = durable(lookup(held, "park_id", park, how="left"))
+    rows = lookup(log, "park_id", park, how="left")
     return edit_facts(lookup(rows, "zone_id", zone, how="left"))
 
 
@@ -359,13 +371,12 @@ def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     opens = False
     state: Place | None = None
     for batch in batches:
-        for row in batch.itertuples(index=False):
+        for edit, at, encounter, op in _edits(batch, "part", "encounter_id", "op"):
             if part is None:
-                part, first, opens = row.part, row.encounter_id, row.op != "create"
-            if row.encounter_id != last:
-                last, state = row.encounter_id, None
-            edit = edit_dict(row)
-            if row.op == "create":
+                part, first, opens = at, encounter, op != "create"
+            if encounter != last:
+                last, state = encounter, None
+            if op == "create":
                 state = merged_place((None, None), edit)
             elif state is None:
                 effect.apply(edit)
@@ -417,9 +428,10 @@ def entry_states(summary: DataFrame) -> DataFrame:
     spans = summary.filter("kind = 'span'").withColumn("at", F.lag("part").over(order))
     need = spans.filter("opens").select("part", "at")
     exits = spans.filter("known").select(F.col("part").alias("at"), "out_park", "out_zone")
-    done = durable(
-        need.join(exits, "at").select("part", F.col("out_park").alias("entry_park"), F.col("out_zone").alias("entry_zone"))
-    )
+    done = need.join(exits, "at").select("part", F.col("out_park").alias("entry_park"), F.col("out_zone").alias("entry_zone"))
+    if summary.filter("kind = 'effect'").isEmpty():  # no encounter holds a whole partition
+        return done
+    done = durable(done)
     effects = summary.filter("kind = 'effect'").select(F.col("part").alias("at"), *_EFFECT)
     pending = durable(need.join(effects, "at"))
     while not pending.isEmpty():
@@ -453,13 +465,12 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     state: Place = (None, None)
     for batch in batches:
         verdicts = []
-        for row in batch.itertuples(index=False):
-            if row.encounter_id != last:
-                entry = (_text(row.entry_park), _text(row.entry_zone)) if last is None else (None, None)
-                state = tuple(None if x in (None, _NONE) else x for x in entry)
-                last = row.encounter_id
-            edit = edit_dict(row)
-            if row.op == "create":
+        for edit, encounter, op, *entry in _edits(batch, "encounter_id", "op", "entry_park", "entry_zone"):
+            if encounter != last:
+                known = [None if _text(x) in (None, _NONE) else x for x in entry]
+                state = (known[0], known[1]) if last is None else (None, None)
+                last = encounter
+            if op == "create":
                 verdicts.append(None)
                 state = merged_place((None, None), edit)
                 continue

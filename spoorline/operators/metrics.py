@@ -57,7 +57,7 @@ def cmc_curve(ranks: DataFrame, gallery_size: int) -> DataFrame:
 
 
 DIGIT = 16
-FEW = 4096
+FEW = 1 << DIGIT
 
 
 def _order_key(value: str) -> Column:
@@ -71,45 +71,53 @@ def _key_value(key: int) -> float:
     return struct.unpack(">d", struct.pack(">q", bits))[0]
 
 
-def selected(counts: DataFrame, targets: dict[str, int]) -> dict[str, float]:
-    """The values at 1-based ascending ranks, from (_key, _n): counts of distinct order keys.
+def selected(counts: DataFrame, ranks: Callable[[int], dict[str, int]]) -> tuple[int, dict[str, float]]:
+    """(n, the values at 1-based ascending ranks), from (_key, _n): counts of distinct order keys.
 
     Selection by digits: each round counts the keys below each prefix still in question by their next
     ``DIGIT`` bits, and the digit that holds the rank joins the prefix. Nothing is sorted or moved;
     the driver sees at most 2**DIGIT counts a prefix, or the last ``FEW`` keys themselves.
     """
-    open_ = {name: (0, 0, rank) for name, rank in targets.items()}  # prefix, its bits, rank inside
+
+    def digits(prefix: int, bits: int) -> list[tuple[int, int, int]]:
+        shift = 64 - bits - DIGIT
+        rows = counts if not bits else counts.filter(F.shiftright("_key", 64 - bits) == F.lit(prefix))
+        digit = F.shiftright("_key", shift) if shift else F.col("_key")
+        grouped = rows.groupBy(digit.cast("bigint").alias("next")).agg(
+            F.sum("_n").alias("n"), F.count(F.lit(1)).alias("keys")
+        )
+        return sorted(tuple(r) for r in grouped.collect())
+
+    def keys(prefix: int, bits: int) -> list[tuple[int, int]]:
+        at = F.shiftright("_key", 64 - bits) if bits < 64 else F.col("_key")
+        return sorted(tuple(r) for r in counts.filter(at == F.lit(prefix)).select("_key", "_n").collect())
+
+    seen = {(0, 0): digits(0, 0)}
+    total = sum(n for _, n, _ in seen[0, 0])
+    open_ = {name: (0, 0, rank) for name, rank in ranks(total).items()} if total else {}
     found: dict[str, float] = {}
     while open_:
-        ahead: dict[tuple[int, int], list] = {}
-        for prefix, bits in {(p, b) for p, b, _ in open_.values()}:
-            shift = 64 - bits - DIGIT
-            rows = counts if not bits else counts.filter(F.shiftright("_key", 64 - bits) == F.lit(prefix))
-            digit = F.shiftright("_key", shift) if shift else F.col("_key")
-            grouped = rows.groupBy(digit.cast("bigint").alias("next")).agg(
-                F.sum("_n").alias("n"), F.count(F.lit(1)).alias("keys")
-            )
-            ahead[prefix, bits] = sorted(tuple(r) for r in grouped.collect())
-        short: dict[tuple[int, int], list] = {}
+        for prefix, bits in {x[:2] for x in open_.values()} - seen.keys():
+            seen[prefix, bits] = digits(prefix, bits)
+        short: dict[tuple[int, int], list[str]] = {}
         for name, (prefix, bits, rank) in list(open_.items()):
-            for following, n, keys in ahead[prefix, bits]:
+            for following, n, distinct in seen[prefix, bits]:
                 if rank <= n:
                     open_[name] = (following, bits + DIGIT, rank)
-                    if keys <= FEW:
+                    if distinct <= FEW:
                         short.setdefault((following, bits + DIGIT), []).append(name)
                     break
                 rank -= n
-        for (prefix, bits), names in short.items():
-            at = F.shiftright("_key", 64 - bits) if bits < 64 else F.col("_key")
-            rows = sorted(tuple(r) for r in counts.filter(at == F.lit(prefix)).select("_key", "_n").collect())
+        for at, names in short.items():
+            last = keys(*at)
             for name in names:
                 rank = open_.pop(name)[2]
-                for key, n in rows:
+                for key, n in last:
                     if rank <= n:
                         found[name] = _key_value(key)
                         break
                     rank -= n
-    return found
+    return total, found
 
 
 def value_at_ranks(
@@ -122,11 +130,9 @@ def value_at_ranks(
     double = df.select((F.col(value).cast("double") + F.lit(0.0)).alias("_v")).filter(F.col("_v").isNotNull())
     counts = double.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
     counts = durable(counts.select(_order_key("_v").alias("_key"), "_n"))
-    n = counts.agg(F.sum("_n")).first()[0] or 0
-    wanted = ranks(n)
-    found = selected(counts, wanted) if n else {}
-    schema = ", ".join(["n bigint", *(f"{k} double" for k in wanted)])
-    return df.sparkSession.createDataFrame([(n, *(found.get(k) for k in wanted))], schema)
+    n, found = selected(counts, ranks)
+    schema = ", ".join(["n bigint", *(f"{k} double" for k in ranks(n))])
+    return df.sparkSession.createDataFrame([(n, *(found.get(k) for k in ranks(n)))], schema)
 
 
 def calibrate_threshold(unknown_best: DataFrame, target_far: float = 0.05) -> DataFrame:
