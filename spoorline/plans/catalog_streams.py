@@ -16,6 +16,11 @@ from spoorline.streaming import twins
 FILES_PER_BATCH = 64
 
 
+def whole_log(clock: DataFrame, per_ms: int = 1) -> twins.Arrival:
+    """The files of a table have no order of arrival, so its rows wait until its log is closed."""
+    return twins.Arrival(4 * 10**12 * per_ms, per_ms, clock)
+
+
 def stream_of(
     spark: SparkSession, sf: str, name: str, files_per_batch: int = FILES_PER_BATCH
 ) -> dict[str, DataFrame]:
@@ -34,16 +39,21 @@ def stream_of(
 ))
 def stream_attach_quota(spark, sf):
     media = view(spark, sf, "media_v", stream_of(spark, sf, "lineitem"))
-    stream = twins.stream_attach_quota(media.filter("status = 'READY'"))
-    return twins.run_to_table(stream, scratch(spark, "quota"))
+    ready = media.filter("status = 'READY'")
+    done = twins.drained(
+        spark, scratch(spark, "quota"), lambda clock: twins.stream_attach_quota(ready, arrival=whole_log(clock, 10**6))
+    )
+    return done.drop("late")
 
 
 @query("stream_seal_guard", ACCEPTED + " select seq, accepted, registered from judged")
 def stream_seal_guard(spark, sf):
     log = view(spark, sf, "seal_log_v", stream_of(spark, sf, "events"))
     requests = log.withColumn("registered_configs", F.array("config_sha256", "also_registered"))
-    done = twins.run_to_table(twins.stream_seal_guard(requests), scratch(spark, "guard"))
-    return done.withColumn("registered", F.array_join("registered", ","))
+    done = twins.drained(
+        spark, scratch(spark, "guard"), lambda clock: twins.stream_seal_guard(requests, whole_log(clock))
+    )
+    return done.drop("late").withColumn("registered", F.array_join("registered", ","))
 
 
 @query(
@@ -66,10 +76,13 @@ def stream_bootstrap(spark, sf):
 )
 def stream_replay_encounters(spark, sf):
     log = micros_to_time(view(spark, sf, "edit_log_v", stream_of(spark, sf, "events")))
-    stream = twins.stream_replay_encounters(
-        log, view(spark, sf, "parks_v"), view(spark, sf, "zones_v")
+    parks, zones = view(spark, sf, "parks_v"), view(spark, sf, "zones_v")
+    done = twins.drained(
+        spark,
+        scratch(spark, "edits"),
+        lambda clock: twins.stream_replay_encounters(log, parks, zones, whole_log(clock)),
     )
-    return twins.run_to_table(stream, scratch(spark, "edits"))
+    return done.drop("late")
 
 
 @query(

@@ -1,16 +1,21 @@
 """Structured Streaming forms of the order-dependent operators.
 
-Each gives, event by event, what its batch operator gives for the whole log. The rule of these
-logs is arrival order per entity, so state is keyed by the entity and a batch is worked through in
-``seq`` order; there is no watermark except for bursts, where it bounds how late a photo may come.
+Each gives, event by event, what its batch operator gives for the whole log. The rule of these logs
+is the order of ``seq`` per entity, whatever the order of arrival: a row waits in its entity's state
+until the watermark, the largest ``seq`` seen less the caller's lateness, has passed it, and is then
+folded in order. A row that comes after a later row of its entity was folded is not folded; it is
+returned with ``late`` set, so that nothing goes unseen. What still waits when a log ends is folded
+when the log is closed (``drained``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,7 +24,6 @@ from spoorline.operators.keys import side_id
 from spoorline.operators.lifecycle import (
     MAX_PHOTOS,
     create_failure,
-    edit_dict,
     edit_facts,
     judge_place,
     merged_place,
@@ -27,84 +31,147 @@ from spoorline.operators.lifecycle import (
 )
 from spoorline.operators.validate import is_aware, known_instant
 
-NO_TIMEOUT = GroupStateTimeout.NoTimeout
+CLOCK = "order_time timestamp"
+CLOSED = 9 * 10**12  # milliseconds of order time, later than any row
 
 
-def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """One entity's rows of one micro-batch, whose size the trigger bounds."""
-    return pd.concat(list(parts), ignore_index=True).sort_values("seq", kind="stable")
+@dataclass(frozen=True)
+class Arrival:
+    """How an ordered log arrives.
 
+    ``lateness``: how far behind the largest ``seq`` seen a row may come, in units of ``seq``.
+    ``per_ms``: units of ``seq`` in a millisecond of order time, the finest step of a watermark; every
+    seq must be from 0 to 5e12 of these. ``clock``: a stream of ``order_time`` that moves the
+    watermark on when no rows come.
+    """
 
-def stream_attach_quota(uploads: DataFrame, limit: int = MAX_PHOTOS) -> DataFrame:
-    """(encounter_id, seq, outcome); state: the photos an encounter holds."""
+    lateness: int = 0
+    per_ms: int = 1
+    clock: DataFrame | None = None
 
-    def run(
-        key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        out = []
-        for row in _in_order(parts).itertuples(index=False):
-            if row.sha256 in held:
-                outcome = "existing"
-            elif len(held) >= limit:
-                outcome = "refused"
-            else:
-                held.append(row.sha256)
-                outcome = "created"
-            out.append((key[0], row.seq, outcome))
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["encounter_id", "seq", "outcome"])
 
-    return (
-        uploads.select("encounter_id", "seq", "sha256")
-        .groupBy("encounter_id")
-        .applyInPandasWithState(
-            run,
-            "encounter_id string, seq bigint, outcome string",
-            "held array<string>",
-            "append",
-            NO_TIMEOUT,
-        )
-    )
+Row = dict
+Fold = Callable[[tuple, tuple, Row], tuple[tuple, tuple]]
 
 
-def stream_seal_guard(requests: DataFrame) -> DataFrame:
-    """(seq, accepted, registered); state: allowed configurations and their calibrations."""
+def folded_in_order(
+    log: DataFrame,
+    key: str,
+    columns: list[str],
+    arrival: Arrival,
+    start: tuple,
+    fold: Fold,
+    state: str,
+    output: str,
+) -> DataFrame:
+    """(output, late): ``fold(key, state, row) -> (state, output row)`` of each row in ``seq`` order.
 
-    def run(
-        key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        allowed, configs, calibrations = state.get if state.exists else ([], [], [])
-        allowed = list(allowed)
-        known = dict(zip(configs, calibrations, strict=True))
-        out = []
-        for row in _in_order(parts).itertuples(index=False):
-            if not allowed:
-                named = row.registered_configs
-                allowed = sorted({*(named if named is not None else []), row.config_sha256})
-            accepted = row.config_sha256 in allowed and (
-                known.setdefault(row.config_sha256, row.calibration_sha256)
-                == row.calibration_sha256
-            )
-            out.append((row.seq, accepted, allowed))
-        state.update((allowed, list(known), list(known.values())))
-        yield pd.DataFrame(out, columns=["seq", "accepted", "registered"])
+    The state holds the rows that wait, so its size follows the
+    lateness; ``done`` is the last ``seq`` that was folded. Every row travels with a second one that
+    holds only its time: the engine drops what is behind the watermark, and may drop that one.
+    """
+    payload = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    time = F.timestamp_millis(F.expr(f"seq div {int(arrival.per_ms)}"))
+    none = F.lit(None)
+    pair = F.array(
+        F.struct(F.col("seq"), payload.alias("payload"), none.cast("timestamp").alias("order_time")),
+        F.struct(none.cast("bigint").alias("seq"), none.cast("string").alias("payload"), time.alias("order_time")),
+    )
+    rows = log.select(F.col(key).cast("string").alias("entity"), F.explode(pair).alias("_")).select("entity", "_.*")
+    if arrival.clock is not None:
+        ticks = arrival.clock.select(
+            none.cast("string").alias("entity"), none.cast("bigint").alias("seq"), none.cast("string").alias("payload"), "order_time"
+        )
+        rows = rows.unionByName(ticks)
+    names, per_ms = [part.split()[0] for part in output.split(", ")], arrival.per_ms
+
+    def run(entity: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        passed = held.getCurrentWatermarkMs() * per_ms
+        *current, seqs, payloads, done = held.get if held.exists else (*start, [], [], None)
+        waiting = list(zip(seqs, payloads, strict=True))
+        current, out = tuple(current), []
+        if not held.hasTimedOut:
+            for part in parts:
+                real = part[part["payload"].notna()]
+                waiting += zip((int(x) for x in real["seq"]), real["payload"], strict=True)
+        if not waiting:
+            if not held.exists:
+                return
+            held.remove() if done is None else held.update((*current, [], [], done))
+            return
+        waiting.sort()
+        ready = [w for w in waiting if w[0] < passed]
+        waiting = waiting[len(ready) :]
+        for seq, text in ready:
+            row = json.loads(text)
+            late = done is not None and seq < done
+            if late:
+                out.append((*(row.get(n) for n in names), True))
+                continue
+            current, found = fold(entity, current, row)
+            done = seq
+            out.append((*found, False))
+        held.update((*current, [w[0] for w in waiting], [w[1] for w in waiting], done))
+        if waiting:
+            held.setTimeoutTimestamp(max(waiting[0][0], passed) // per_ms + 1)
+        yield pd.DataFrame(out, columns=[*names, "late"])
 
     return (
-        requests.select(
-            "split_sha256", "seq", "config_sha256", "calibration_sha256", "registered_configs"
-        )
-        .groupBy("split_sha256")
+        rows.withWatermark("order_time", f"{-(-arrival.lateness // arrival.per_ms)} milliseconds")
+        .groupBy("entity")
         .applyInPandasWithState(
             run,
-            "seq bigint, accepted boolean, registered array<string>",
-            "allowed array<string>, configs array<string>, calibrations array<string>",
+            f"{output}, late boolean",
+            f"{state}, waiting array<bigint>, payloads array<string>, done bigint",
             "append",
-            NO_TIMEOUT,
+            GroupStateTimeout.EventTimeTimeout,
         )
     )
 
 
+def stream_attach_quota(
+    uploads: DataFrame, limit: int = MAX_PHOTOS, arrival: Arrival = Arrival()
+) -> DataFrame:
+    """(encounter_id, seq, outcome, late); state: the photos an encounter holds."""
+
+    def fold(entity: tuple, state: tuple, row: Row) -> tuple[tuple, tuple]:
+        held = list(state[0])
+        if row["sha256"] in held:
+            outcome = "existing"
+        elif len(held) >= limit:
+            outcome = "refused"
+        else:
+            held.append(row["sha256"])
+            outcome = "created"
+        return (held,), (entity[0], row["seq"], outcome)
+
+    columns = ["encounter_id", "seq", "sha256"]
+    return folded_in_order(
+        uploads, "encounter_id", columns, arrival, ([],), fold,
+        "held array<string>", "encounter_id string, seq bigint, outcome string",
+    )
+
+
+def stream_seal_guard(requests: DataFrame, arrival: Arrival = Arrival()) -> DataFrame:
+    """(seq, accepted, registered, late); state: allowed configurations and their calibrations."""
+
+    def fold(entity: tuple, state: tuple, row: Row) -> tuple[tuple, tuple]:
+        allowed, configs, calibrations = (list(x) for x in state)
+        known = dict(zip(configs, calibrations, strict=True))
+        config, calibration = row["config_sha256"], row["calibration_sha256"]
+        if not allowed:
+            allowed = sorted({*(row["registered_configs"] or []), config})
+        accepted = config in allowed and known.setdefault(config, calibration) == calibration
+        return (allowed, list(known), list(known.values())), (row["seq"], accepted, allowed)
+
+    columns = ["seq", "config_sha256", "calibration_sha256", "registered_configs"]
+    return folded_in_order(
+        requests, "split_sha256", columns, arrival, ([], [], []), fold,
+        "allowed array<string>, configs array<string>, calibrations array<string>",
+        "seq bigint, accepted boolean, registered array<string>",
+    )
+
+
 def stream_bootstrap(logins: DataFrame) -> DataFrame:
     """Running first and last sign-in per external identity (update mode).
 
@@ -116,8 +183,10 @@ def stream_bootstrap(logins: DataFrame) -> DataFrame:
     )
 
 
-def stream_replay_encounters(log: DataFrame, parks: DataFrame, zones: DataFrame) -> DataFrame:
-    """(encounter_id, seq, outcome); state: status, park and zone of an encounter.
+def stream_replay_encounters(
+    log: DataFrame, parks: DataFrame, zones: DataFrame, arrival: Arrival = Arrival()
+) -> DataFrame:
+    """(encounter_id, seq, outcome, late); state: status, park and zone of an encounter.
 
     Parks and zones are static tables joined to the stream.
     """
@@ -126,41 +195,34 @@ def stream_replay_encounters(log: DataFrame, parks: DataFrame, zones: DataFrame)
     rows = edit_facts(known.join(park, "park_id", "left").join(zone, "zone_id", "left"))
     rows = rows.withColumn("create_failure", create_failure())
 
-    def run(
-        key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        status, park_id, zone_id = state.get if state.exists else ("NONE", None, None)
-        out = []
-        for row in _in_order(parts).itertuples(index=False):
-            edit = edit_dict(row)
-            if row.op == "create":
-                failure = row.create_failure if isinstance(row.create_failure, str) else None
-                outcome = failure or ("created" if status == "NONE" else "exists")
-                if outcome == "created":
-                    status = "DRAFT"
-                    park_id, zone_id = merged_place((None, None), edit)
-            elif status == "NONE":
-                outcome = "not_found"
-            elif row.op == "submit":
-                outcome = "submitted" if status == "DRAFT" else "unchanged"
-                status = "SUBMITTED"
-            elif status != "DRAFT":
-                outcome = "not_editable"
-            else:
-                outcome = judge_place((park_id, zone_id), edit) or "edited"
-                if outcome == "edited":
-                    park_id, zone_id = merged_place((park_id, zone_id), edit)
-            out.append((key[0], row.seq, outcome))
-        state.update((status, park_id, zone_id))
-        yield pd.DataFrame(out, columns=["encounter_id", "seq", "outcome"])
-
-    return rows.groupBy("encounter_id").applyInPandasWithState(
-        run,
-        "encounter_id string, seq bigint, outcome string",
-        "status string, park_id string, zone_id string",
-        "append",
-        NO_TIMEOUT,
-    )
+    def fold(entity: tuple, state: tuple, row: Row) -> tuple[tuple, tuple]:
+        status, park_id, zone_id = state
+        if row["op"] == "create":
+            outcome = row["create_failure"] or ("created" if status == "NONE" else "exists")
+            if outcome == "created":
+                status = "DRAFT"
+                park_id, zone_id = merged_place((None, None), row)
+        elif status == "NONE":
+            outcome = "not_found"
+        elif row["op"] == "submit":
+            outcome = "submitted" if status == "DRAFT" else "unchanged"
+            status = "SUBMITTED"
+        elif status != "DRAFT":
+            outcome = "not_editable"
+        else:
+            outcome = judge_place((park_id, zone_id), row) or "edited"
+            if outcome == "edited":
+                park_id, zone_id = merged_place((park_id, zone_id), row)
+        return (status, park_id, zone_id), (entity[0], row["seq"], outcome)
+
+    columns = [
+        "encounter_id", "seq", "op", "create_failure", "park_set", "park_id", "park_known", "zone_set", "zone_id",
+        "zone_park", "reference_failure", "detail_failure",
+    ]
+    return folded_in_order(
+        rows, "encounter_id", columns, arrival, ("NONE", None, None), fold,
+        "status string, park_id string, zone_id string", "encounter_id string, seq bigint, outcome string",
+    )
 
 
 def stream_burst_sessions(
@@ -211,3 +273,21 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
     running = writer.trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.parquet(path)
+
+
+def drained(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Drain an ordered stream into ``path``, close its log, and read everything back.
+
+    ``build(clock)`` gives the stream. The first run reads what the source holds; then the clock gets
+    a time after all others, and a second run from the same progress folds the rows that still wait.
+    """
+    ticks = f"{path}-clock"
+    times = spark.createDataFrame([], CLOCK)
+    times.write.mode("append").parquet(ticks)
+
+    def clock() -> DataFrame:
+        return spark.readStream.schema(CLOCK).parquet(ticks)
+
+    run_to_table(build(clock()), path)
+    spark.range(1).select(F.timestamp_millis(F.lit(CLOSED)).alias("order_time")).write.mode("append").parquet(ticks)
+    return run_to_table(build(clock()), path)
