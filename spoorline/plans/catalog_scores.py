@@ -592,9 +592,9 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "data_shortfalls",
     f"""with {RESULTS} select run, concat_ws('; ',
-    case when known < 20 then 'known Side-IDs ' || cast(known as string) || ' < 20' end,
-    case when images < 3 then 'images per known Side-ID ' || cast(images as string) || ' < 3' end,
-    case when unseen < 20 then 'unseen Side-IDs ' || cast(unseen as string) || ' < 20' end)
+    case when known < 20 then 'known identities ' || cast(known as string) || ' < 20' end,
+    case when images < 3 then 'images of the scarcest identity ' || cast(images as string) || ' < 3' end,
+    case when unseen < 20 then 'unseen identities ' || cast(unseen as string) || ' < 20' end)
   as shortfalls from results""",
 )
 def data_shortfalls(spark, sf):
@@ -619,22 +619,22 @@ def data_shortfalls(spark, sf):
     case when early then 'INSUFFICIENT DATA' when c = 'FAIL' or d = 'FAIL' then 'NO-GO'
       when c = 'NEAR' and d = 'NEAR' then 'NO-GO' when c = 'NEAR' or d = 'NEAR' or wide
       then 'CONDITIONAL GO' else 'GO' end as decision,
-    case when not counts then 'no mobile-like real Tier B evidence (' || evidence_label || ')'
+    case when not counts then 'this evidence does not count: (' || evidence_label || ')'
       when part <> 'test' or not representative
-        then 'decisions require the session-disjoint sealed TEST partition'
-      when short then 'Tier B below minimum: ' || concat_ws('; ',
-        case when known < 20 then 'known Side-IDs ' || cast(known as string) || ' < 20' end,
-        case when images < 3 then 'images per known Side-ID ' || cast(images as string) || ' < 3' end,
-        case when unseen < 20 then 'unseen Side-IDs ' || cast(unseen as string) || ' < 20' end)
-      when early then 'evidence is not trustworthy until Gates A and B pass'
-      when c = 'FAIL' and d = 'FAIL' then 'gate(s) C, D, E failed'
-      when c = 'FAIL' then 'gate(s) C, E failed' when d = 'FAIL' then 'gate(s) D failed'
+        then 'only a representative sealed test can decide'
+      when short then 'too little data: ' || concat_ws('; ',
+        case when known < 20 then 'known identities ' || cast(known as string) || ' < 20' end,
+        case when images < 3 then 'images of the scarcest identity ' || cast(images as string) || ' < 3' end,
+        case when unseen < 20 then 'unseen identities ' || cast(unseen as string) || ' < 20' end)
+      when early then 'gates A and B come first'
+      when c = 'FAIL' and d = 'FAIL' then 'failed: C, D, E'
+      when c = 'FAIL' then 'failed: C, E' when d = 'FAIL' then 'failed: D'
       when c = 'NEAR' and d = 'NEAR'
-        then 'more than one gate is only a near miss; not a single bounded weakness'
-      when c = 'NEAR' then 'one bounded weakness: retrieval'
-      when d = 'NEAR' then 'one bounded weakness: unknown safety'
-      when wide then 'point estimates support GO but the FAR 95% interval cannot exclude FAR > 0.1'
-      else 'all mandatory evidence gates passed' end as reason,
+        then 'two near misses are one too many'
+      when c = 'NEAR' then 'near miss in retrieval alone'
+      when d = 'NEAR' then 'near miss in open-set safety alone'
+      when wide then 'false accepts may still exceed 0.1 within their interval'
+      else 'every gate passed' end as reason,
     case when early then 0 else (top1 < 0.6)::int + (far <= 0.01)::int + wide::int end as n_notes
   from open""",
 )
