@@ -458,7 +458,7 @@ def write_ids(docs: DataFrame, target: str, path: str = MODEL, p: FileParameters
     return kept(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
-READ = "part int, piece int, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint"
+READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def read_ids(manifest: DataFrame, target: str) -> DataFrame:
@@ -473,13 +473,10 @@ def read_ids(manifest: DataFrame, target: str) -> DataFrame:
                 body = ids.astype("<u4").tobytes()
                 ends = 4 * np.cumsum(counts)
                 sums = [zlib.crc32(body[e - 4 * c : e]) for e, c in zip(ends, counts, strict=True)]
-                n = len(names)
+                start = row["start"] + ends // 4 - counts
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, row["part"]), pa.int32()), pa.array(np.full(n, row["piece"]), pa.int32()),
-                        pa.array(names, pa.int64()), pa.array(ends // 4 - counts), pa.array(counts), pa.array(sums, pa.int64()),
-                    ],
-                    names=["part", "piece", "doc_id", "before", "n_tokens", "ids_crc32"],
+                    [pa.array(names, pa.int64()), pa.array(start), pa.array(counts), pa.array(sums, pa.int64())],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
     # Totals by part and within a part: neither window gathers more than parts, or files of a part.
@@ -490,13 +487,20 @@ def read_ids(manifest: DataFrame, target: str) -> DataFrame:
     )
     parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids"))
     parts = parts.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(*upto)), F.lit(0)).alias("ahead"))
+    # A file's offset is joined to its name, so nothing is joined to documents after reading.
+    start = (F.col("ahead") + F.col("inside")).alias("start")
+    placed = manifest.select("part", "piece", "file").join(pieces, ["part", "piece"]).join(parts, "part")
     # The manifest is small, so the number of tasks must be named: one for each file, up to a bound.
-    files = manifest.select("part", "piece", "file").repartition(min(max(manifest.count(), 1), 20_000))
-    return (
-        files.mapInArrow(read, READ)
-        .join(pieces.join(parts, "part"), ["part", "piece"])
-        .select("doc_id", (F.col("ahead") + F.col("inside") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
-    )
+    files = placed.select("file", start).repartition(min(max(manifest.count(), 1), 20_000))
+    return files.mapInArrow(read, READ)
+
+
+def arrow_uri(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Hadoop resolves it to, as Arrow's file systems name it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toUri()
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(whole.getScheme(), whole.getScheme())
+    return f"{scheme}://{whole.getAuthority() or ''}{whole.getPath()}"
 
 
 def stored_ids(spark: SparkSession, docs: DataFrame, path: str = MODEL, p: FileParameters | None = None) -> DataFrame:
@@ -507,8 +511,6 @@ def stored_ids(spark: SparkSession, docs: DataFrame, path: str = MODEL, p: FileP
     empty and has the end id only. Null doc_ids come first; rows of one doc_id follow one another.
     Other columns are ignored; an empty table writes no file.
     """
-    target = place(spark, "token-files")
-    if "://" not in target and not target.startswith("file:"):
-        target = f"file://{os.path.abspath(target)}"
+    target = arrow_uri(spark, place(spark, "token-files"))
     manifest = write_ids(docs, target, path, p)
     return read_ids(manifest, target)
