@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.llm.store import components, kept
+from spoorline.operators.skew import ordered_numbers
 from spoorline.llm.words import arrow_map
 
 
@@ -283,24 +284,29 @@ def near_vectors(vectors: DataFrame, p: VectorParameters | None = None) -> DataF
     threshold. Vectors
     that are null, empty, zero, or hold a null or non-finite component are linked with nothing;
     shorter vectors count as padded with zeros. Equal vectors are one class, linked among itself
-    and counted copy by copy. vec_id is expected to be unique; other columns are ignored.
+    and counted copy by copy. Rows that share a vec_id are rows of their own, each with its own
+    links; ``component_id`` is the smallest vec_id of the group, null only if the group has none, and
+    ``kept`` tells whether the two are equal, two nulls included. Other columns are ignored.
     """
     p = p or VectorParameters()
     vectors = vectors.select("vec_id", "embedding")
     width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
     kind = "float32" if dict(vectors.dtypes)["embedding"] == "array<float>" else "float64"
     rows = kept(prepared(vectors, max(width, 1), kind), "vectors")
-    classes = kept(
+    grouped = (
         rows.filter("key is not null")
         .groupBy("key")
-        .agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("body").alias("body")),
-        "vector-classes",
+        .agg(F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("copies"), F.first("body").alias("body"))
     )
-    total = classes.count()
+    classes = kept(grouped.select("key", F.col("name").alias("id"), "name", "copies", "body"), "vector-classes")
+    total, named, distinct = classes.agg(F.count(F.lit(1)), F.count("id"), F.count_distinct("id")).first()
     if total == 0:
         return rows.select(
             "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
         )
+    if not total == named == distinct:  # null or shared ids: numbers in the order of the ids stand for them
+        order = [F.col("name").asc_nulls_last(), F.col("key").asc()]
+        classes = kept(ordered_numbers(classes.drop("id"), [], order, "id"), "vector-classes")
     # A bounded sample, as a documented parameter; every vector is indexed and searched below.
     fitted = classes.select("id", "body").orderBy(F.xxhash64("id"), "id").limit(p.most_fitted)
     bodies = [bytes(r["body"]) for r in fitted.collect()]
@@ -340,19 +346,25 @@ def near_vectors(vectors: DataFrame, p: VectorParameters | None = None) -> DataF
     found = kept(searched(dealt, quantiser, p, kind), "vector-links")
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(found.filter("b is not null").select("a", "b"))
+    if not total == named == distinct:
+        names = classes.select(F.col("id").alias("root"), F.col("name").alias("root_name"))
+        roots = roots.join(names, "root")
+    else:
+        roots = roots.withColumn("root_name", F.col("root"))
     known = (
-        classes.select("key", "id", "copies")
+        classes.select("key", "id", "name", "copies")
         .join(links.withColumnRenamed("a", "id"), "id", "left")
         .join(roots.withColumnRenamed("node", "id"), "id", "left")
         .select(
             "key",
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("root", "id").alias("component_id"),
+            F.coalesce("root_name", "name").alias("component_id"),
         )
     )
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return rows.select("vec_id", "key").join(known, "key", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"),
+        component.alias("component_id"),
+        component.eqNullSafe(F.col("vec_id")).alias("kept"),
     )

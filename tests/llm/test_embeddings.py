@@ -81,3 +81,19 @@ def test_unusable_equal_and_dense_vectors(spark):
     assert result(near_vectors(df, VectorParameters(per_list=8, tile=8, block=16))) == brute(rows)
     assert near_vectors(df.limit(0)).collect() == []
     assert result(near_vectors(df.filter("vec_id < 3"))) == {i: (0, i) for i in range(3)}
+
+
+@pytest.mark.parametrize("ids", [[1, 1, 2, 3, None, None, 7, 5, 6], [None] * 9, [4] * 9])
+def test_null_and_repeated_ids_are_rows_of_their_own(spark, ids):
+    """Links follow the rows; a group is named by its smallest id."""
+    x, y = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    vectors = [x, y, [1.0, 0.01, 0.1], [0.01, 1.0, 0.1], x, y, [0.0, 0.0, 1.0], None, [0.0, 0.0, 1.0]]
+    df = spark.createDataFrame(list(zip(ids, vectors, strict=True)), "vec_id bigint, embedding array<double>")
+    groups = [[0, 2, 4], [1, 3, 5], [6, 8], [7]]
+    expected = []
+    for rows in groups:
+        names = [ids[i] for i in rows if ids[i] is not None]
+        name = min(names, default=None)
+        expected += [(ids[i], len(rows) - 1, name, ids[i] == name) for i in rows]
+    key = lambda r: [(v is None, v or 0) for v in r]
+    assert sorted((tuple(r) for r in near_vectors(df).collect()), key=key) == sorted(expected, key=key)
