@@ -25,6 +25,8 @@ from spoorline.llm.words import ALNUM, Words, arrow_map, each_slice
 
 WINDOW = 13
 BLOCK_ROWS = 200_000
+#: Stands for items whose item_id is null, which count as one item.
+UNNAMED = -(1 << 63)
 SHARD_BYTES = 1 << 20
 
 
@@ -181,9 +183,8 @@ def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
                 [pa.array(phrases, pa.binary()), pa.array(owners, pa.int64())], names=["phrase", "item_id"]
             )
 
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(
-        "item_id is not null"
-    )
+    known = F.coalesce(F.col("item_id").cast("bigint"), F.lit(UNNAMED))
+    rows = benchmark.select(known.alias("item_id"), "text")
     return rows.mapInArrow(arrow_map(cut), "phrase binary, item_id bigint").distinct()
 
 
@@ -284,7 +285,7 @@ def hits(
 
     ``words`` and ``chars`` are flat lists start, end, start, end of merged hit spans, in words and in
     code points; ``items`` are the items with an occurring window. Null texts have no words. Repeated
-    or equal items each count. A phrase block has about ``block_rows`` (phrase, item) rows, which
+    or equal items each count; items with a null item_id are one item, ``UNNAMED``. A phrase block has about ``block_rows`` (phrase, item) rows, which
     bounds what a task is sent. Other columns are ignored; an empty benchmark hits nothing.
     ``text_key`` is a hash of the text.
     """
@@ -309,10 +310,11 @@ def _sum_of_spans(column: str):
 def contamination(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A document is contaminated if any word is hit and at least one in twenty is.
+    A document is contaminated if any word is hit and at least one in twenty is. The items with a
+    null item_id count as one, whose name in the digest is empty.
     """
     found = hits(docs, benchmark, **parameters).withColumn("n_hit", _sum_of_spans("words"))
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: F.when(x == UNNAMED, "").otherwise(x.cast("string")))), ",")
     return found.select(
         "doc_id",
         "n_words",

@@ -62,7 +62,7 @@ def test_short_equal_null_and_overlapping_items(spark, cluttered):
         "item_id bigint, text string",
     )
     expected = brute(
-        pairs(cluttered, "doc_id"), [(i, t) for i, t in pairs(bench, "item_id") if i is not None]
+        pairs(cluttered, "doc_id"), [("" if i is None else i, t) for i, t in pairs(bench, "item_id")]
     )
     assert result(contamination(cluttered, bench)) == expected
     assert result(contamination(cluttered, bench, block_rows=3)) == expected
@@ -100,3 +100,14 @@ def test_index_counts_and_locates():
         for phrase, a, b in zip(found, low, high, strict=True):
             places = [i for i in range(len(text) - n + 1) if tuple(text[i : i + n]) == phrase]
             assert sorted(index.locate(np.arange(a, max(a, b)))) == places
+
+
+def test_items_without_an_id_are_one_item(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta gamma"), (2, "alpha beta delta epsilon")], "doc_id bigint, text string")
+    bench = spark.createDataFrame(
+        [(None, "alpha beta gamma"), (None, "delta"), (5, "beta"), (6, None)], "item_id bigint, text string"
+    )
+    digest = hashlib.sha256(b",5").hexdigest()
+    for size in (200_000, 1):
+        rows = contamination(docs, bench, block_rows=size).collect()
+        assert sorted(map(tuple, rows)) == [(1, 3, 3, 2, digest, True), (2, 4, 2, 2, digest, True)]
