@@ -92,18 +92,19 @@ def _placed(gaps: str, matches: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, base): the valid base matches as an array of (start, rank, end, kind, value), ordered."""
+    """(doc_id, text, base): the valid base matches as an array of (start, rank, end, kind, value), ordered."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select(
         "doc_id",
+        "text",
         *[F.regexp_extract_all("text", F.lit(p), 0).alias(f"{k}_m") for k, p in KINDS.items()],
         *[
             F.when(F.col("text").rlike(p), F.split("text", p, -1)).otherwise(F.array().cast("array<string>")).alias(f"{k}_g")
             for k, p in KINDS.items()
         ],
     )
-    placed = rows.select("doc_id", *[_kind_spans(k).alias(k) for k in KINDS])
-    return placed.select("doc_id", F.array_sort(F.concat(*KINDS)).alias("base"))
+    placed = rows.select("doc_id", "text", *[_kind_spans(k).alias(k) for k in KINDS])
+    return placed.select("doc_id", "text", F.array_sort(F.concat(*KINDS)).alias("base"))
 
 
 def _kind_spans(kind: str) -> Column:
@@ -117,13 +118,9 @@ def _kind_spans(kind: str) -> Column:
     )
 
 
-def _context(docs: DataFrame, found: DataFrame, p: PrivacyParameters) -> DataFrame:
-    """(doc_id, page, entity, term, start, end): whole words within reach of each base span."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    held = found.filter(F.size("base") > 0).select("doc_id", "base")
-    spans = texts.join(held, "doc_id").select(
-        "doc_id", "text", F.xxhash64("text").alias("page"), F.explode("base").alias("s")
-    )
+def _context(found: DataFrame, p: PrivacyParameters) -> DataFrame:
+    """(row, page, entity, term, start, end): whole words within reach of each base span."""
+    spans = found.filter(F.size("base") > 0).select("row", "text", "page", F.explode("base").alias("s"))
     low = F.greatest(F.col("s.start") - p.reach, F.lit(0))
     left = F.col("text").substr(low + 1, F.col("s.start") - low)
     right = F.col("text").substr(F.col("s.end") + 1, F.lit(p.reach))
@@ -132,21 +129,21 @@ def _context(docs: DataFrame, found: DataFrame, p: PrivacyParameters) -> DataFra
     far = F.col("s.end") + p.reach < F.length("text")
     cut_right = F.when(far, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
     sides = spans.select(
-        "doc_id", "page",
+        "row", "page",
         F.concat(F.col("s.kind"), F.lit(":"), F.lower("s.value")).alias("entity"),
         F.explode(F.array(
             F.struct((F.col("s.start") - F.length(cut_left)).alias("at"), cut_left.alias("side")),
             F.struct(F.col("s.end").alias("at"), cut_right.alias("side")),
         )).alias("c"),
     ).select(
-        "doc_id", "page", "entity", F.col("c.at").alias("at"),
+        "row", "page", "entity", F.col("c.at").alias("at"),
         F.regexp_extract_all("c.side", F.lit(p.term), 0).alias("words"),
         F.split("c.side", p.term, -1).alias("gaps"),
     )
     return sides.select(
-        "doc_id", "page", "entity", "at", F.explode(_placed("gaps", "words")).alias("w")
+        "row", "page", "entity", "at", F.explode(_placed("gaps", "words")).alias("w")
     ).select(
-        "doc_id", "page", "entity", F.lower("w.value").alias("term"),
+        "row", "page", "entity", F.lower("w.value").alias("term"),
         (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"),
     )
 
@@ -155,10 +152,10 @@ def disclosures(docs: DataFrame, context: DataFrame, p: PrivacyParameters) -> Da
     """(entity, term, given): terms that reveal an entity, with the share of its information they give."""
     pairs = (
         context.groupBy("entity", "term")
-        .agg(F.count_distinct("doc_id").alias("n_te"), F.count_distinct("page").alias("pages"))
+        .agg(F.count_distinct("row").alias("n_te"), F.count_distinct("page").alias("pages"))
         .filter(F.col("pages") >= p.support)
     )
-    entities = context.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    entities = context.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(p.term), 0))
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -170,26 +167,34 @@ def disclosures(docs: DataFrame, context: DataFrame, p: PrivacyParameters) -> Da
 
 
 def protected_spans(docs: DataFrame, p: PrivacyParameters | None = None) -> DataFrame:
-    """(doc_id, base, terms): base spans, and (start, end, given) of words near them that reveal them.
+    """(doc_id, page, base, terms): base spans, and (start, end, given) of words near them that reveal them.
 
     Words that overlap a base span are left to it. Null texts count as empty; other columns are
-    ignored. doc_id is expected to be unique.
+    ignored. Rows of one doc_id, or of none, are documents of their own. ``page`` is a hash of the
+    text; rows of equal texts have equal spans.
     """
     p = p or PrivacyParameters()
     docs = docs.select("doc_id", "text")
-    found = kept(base_spans(docs), "privacy-base")
-    context = kept(_context(docs, found, p), "privacy-context")
+    base = base_spans(docs)
+    found = kept(
+        base.select(
+            F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("page"), "base",
+            F.when(F.size("base") > 0, F.col("text")).alias("text"),
+        ),
+        "privacy-base",
+    )
+    context = kept(_context(found, p), "privacy-context")
     terms = (
         context.join(disclosures(docs, context, p), ["entity", "term"])
-        .groupBy("doc_id", "start", "end").agg(F.max("given").alias("given"))
-        .groupBy("doc_id")
+        .groupBy("row", "start", "end").agg(F.max("given").alias("given"))
+        .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end", "given"))).alias("terms"))
     )
     clear = F.filter(
         "terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     )
-    return found.join(terms, "doc_id", "left").select(
-        "doc_id", "base",
+    return found.join(terms, "row", "left").select(
+        "doc_id", "page", "base",
         F.coalesce(clear, F.array().cast("array<struct<start:int,end:int,given:double>>")).alias("terms"),
     )
 
@@ -226,9 +231,10 @@ def sanitised(docs: DataFrame, p: PrivacyParameters | None = None) -> DataFrame:
 
     A word that gives all of an entity's information is removed; one that gives less becomes <word>.
     Of overlapping base spans the first, then the longest, is named and the rest of the others cut.
+    doc_id may be null or repeated: a row is known by its text.
     """
-    found = protected_spans(docs, p).select(
-        F.col("doc_id").alias("_doc"),
+    found = protected_spans(docs, p).dropDuplicates(["page"]).select(
+        F.col("page").alias("_page"),
         F.array_sort(F.concat(
             F.transform("base", lambda s: F.struct(
                 s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"),
@@ -252,5 +258,5 @@ def sanitised(docs: DataFrame, p: PrivacyParameters | None = None) -> DataFrame:
     clean = F.aggregate(
         "_cuts", start, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text)))
     )
-    joined = docs.join(found, docs["doc_id"] == F.col("_doc"), "left")
-    return joined.withColumn("text", F.when(F.size("_cuts") > 0, clean).otherwise(text)).select(*docs.columns)
+    joined = docs.join(found.filter(F.size("_cuts") > 0), F.xxhash64("text") == F.col("_page"), "left")
+    return joined.withColumn("text", F.when(F.col("_cuts").isNotNull(), clean).otherwise(text)).select(*docs.columns)

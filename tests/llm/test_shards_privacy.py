@@ -145,3 +145,13 @@ def test_weights(spark, tmp_path):
     shards.write_sharded(keys, str(tmp_path / "out"), [1, 1], key="id", files=2)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 8000 and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1}
+
+
+def test_repeated_and_null_ids_multiply_no_row(spark):
+    rows = [(1, "mail a@b.co now"), (1, "nothing here"), (1, "mail a@b.co now"), (None, "x@y.org"), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = [tuple(r) for r in privacy.sanitised(df).select("doc_id", "text").collect()]
+    expected = [(1, "mail <email> now"), (1, "nothing here"), (1, "mail <email> now"), (None, "<email>"), (None, None), (2, "")]
+    assert sorted(out, key=repr) == sorted(expected, key=repr)
+    found = privacy.report(df).select("doc_id", "n_email").collect()
+    assert sorted(((r.doc_id, r.n_email) for r in found), key=repr) == sorted([(1, 1), (1, 0), (1, 1), (None, 1), (None, 0), (2, 0)], key=repr)
