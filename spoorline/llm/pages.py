@@ -1,15 +1,19 @@
 """Main text of web pages by smoothed text-to-tag ratios.
 
 The standard library's parser streams a page's events once. Block elements cut it into lines, each
-with its text, its count of tags and the elements that enclose it; elements that hold no article text
-by their nature (menus, forms, notices, adverts, comments, ...) are passed over. The ratios of text to
-tags are smoothed along the page by a Gaussian and split in two clusters. The element that holds most
-of the high cluster is the content region, and every line of it stays, however short.
+with its text and its count of tags; what is never text for a reader (scripts, controls of forms,
+hidden parts) makes no line. The ratios of text to tags are smoothed along the page by a Gaussian,
+weighed down where the elements around a line are named or meant for something else (a menu, an
+advert, a footer, reader comments, ...), and split in two clusters. Content regions are grown around
+all lines of the high cluster; the short lines of a region stay with it, unless they weigh less than
+the region itself. All sums go up or down the tree once, so a page costs time in proportion to its
+length, however deep it is nested.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -28,20 +32,25 @@ BLOCK = frozenset(
     "summary table tbody tfoot thead tr ul".split()
 )
 SPACING = frozenset("br td th img wbr".split())
+#: Elements without text for a reader.
 PASSED = frozenset(
-    "script style noscript template head title nav footer aside form button select textarea label "
-    "option iframe object svg math canvas audio video dialog menu".split()
+    "script style noscript template head title button select textarea label option iframe object svg "
+    "math canvas audio video dialog".split()
 )
 CONTENT = frozenset(("article", "main"))
+#: What elements weigh, at most: a line has the least weight of the elements around it.
+MEANT = {"nav": 0.02, "menu": 0.02, "footer": 0.05, "aside": 0.05, "header": 0.05}
+BESIDE, COMPOUND, WITHIN, CLUTTER, MILD = 0.8, 0.2, 0.6, 0.05, 0.8
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Words in a class or id that name what is no article text.
+#: Words in a class or id that name what is no article text; the second kind may also name a part of one.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav "
     "navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies "
     "consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription "
-    "signup login share sharing social related recommended comment comments discussion replies reply "
-    "respond disqus pagination pager widget toolbar skip".split()
+    "signup login share sharing social related recommended comment comments replies reply respond "
+    "disqus pagination pager widget toolbar skip".split()
 )
+MILD_NAMES = frozenset(("discussion",))
 _MARKERS = frozenset(("has", "no", "with", "without", "is", "js"))
 #: A start tag of the key closes an open element of the values.
 _CLOSES = {t: frozenset(("p",)) for t in BLOCK - {"body", "html"}} | {
@@ -56,12 +65,18 @@ _CLOSES = {t: frozenset(("p",)) for t in BLOCK - {"body", "html"}} | {
 _SCOPE = frozenset("html body article main section div table ul ol dl td th nav aside header footer form".split())
 
 
-def _named(value: str) -> bool:
-    for name in re.split(r"\s+", value.lower()):
+def _name_weight(value: str, inside: bool) -> float:
+    """What the words of a class and id weigh; a compound name counts less, inside content even less."""
+    weight = 1.0
+    for name in value.lower().split():
         parts = re.split(r"[-_:]+", name)
-        if name in NAMES or (parts[0] not in _MARKERS and (parts[0] in NAMES or parts[-1] in NAMES)):
-            return True
-    return False
+        if name in NAMES:
+            weight = min(weight, CLUTTER)
+        elif name in MILD_NAMES:
+            weight = min(weight, MILD if inside else COMPOUND)
+        elif parts[0] not in _MARKERS and (parts[0] in NAMES or parts[-1] in NAMES):
+            weight = min(weight, WITHIN if inside else COMPOUND)
+    return weight
 
 
 @dataclass
@@ -69,27 +84,35 @@ class _Element:
     tag: str
     number: int
     passed: bool
+    content: bool
 
 
 @dataclass
 class Line:
-    """One block of a page: its text pieces, its tags, and the numbers of the elements around it."""
+    """One block of a page: the element it is in, its text pieces, and its tags."""
 
-    path: tuple[int, ...]
+    element: int
     pieces: list[str] = field(default_factory=list)
     tags: int = 0
+    linked: int = 0
     text: str = ""
 
 
 class PageLines(HTMLParser):
-    """Collects the lines of a page and the numbers of its article and main elements."""
+    """Collects the lines of a page, and per element its parent, tag, weight and kind.
+
+    Elements are numbered in page order from 1, so a parent has a smaller number; 0 is the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[_Element] = []
+        self.open: Counter[str] = Counter()
         self.lines: list[Line] = []
-        self.content: set[int] = set()
-        self.count = 0
+        self.tag = [""]
+        self.parent = [0]
+        self.weight = [1.0]
+        self.content = [False]
         self.waiting = 0
         self.line: Line | None = None
 
@@ -102,12 +125,17 @@ class PageLines(HTMLParser):
                 self.waiting += self.line.tags
         self.line = None
 
+    def close_from(self, i: int) -> None:
+        for e in self.stack[i:]:
+            self.open[e.tag] -= 1
+        del self.stack[i:]
+
     def handle_starttag(self, tag: str, attributes) -> None:
         closes = _CLOSES.get(tag)
-        if closes:
+        if closes and any(self.open[t] for t in closes):
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i].tag in closes:
-                    del self.stack[i:]
+                    self.close_from(i)
                     break
                 if self.stack[i].tag in _SCOPE:
                     break
@@ -118,30 +146,34 @@ class PageLines(HTMLParser):
         self.note_tag()
         if tag in VOID:
             return
-        self.count += 1
-        passed = bool(self.stack) and self.stack[-1].passed
-        if not passed:
-            passed = self.is_passed(tag, dict(attributes))
-        if not passed and (tag in CONTENT or dict(attributes).get("role") == "main"):
-            self.content.add(self.count)
-        self.stack.append(_Element(tag, self.count, passed))
-
-    def is_passed(self, tag: str, attributes: dict) -> bool:
-        if tag in PASSED:
-            return True
-        if tag in ("html", "body", "main"):
-            return False
-        inside = any(e.number in self.content for e in self.stack)
-        if tag == "header" and not inside:
-            return True
+        above = self.stack[-1] if self.stack else _Element("", 0, False, False)
+        named = dict(attributes)
+        passed = above.passed or tag in PASSED or self.is_hidden(named)
+        content = above.content or tag in CONTENT or (named.get("role") or "").lower() == "main"
+        self.parent.append(above.number)
+        self.tag.append(tag)
+        self.content.append(content)
+        self.weight.append(min(self.weight[above.number], self.own_weight(tag, named, above.content)))
+        self.stack.append(_Element(tag, len(self.parent) - 1, passed, content))
+        self.open[tag] += 1
+
+    @staticmethod
+    def is_hidden(attributes: dict) -> bool:
         if "hidden" in attributes or attributes.get("aria-hidden") == "true":
             return True
-        if "display:none" in re.sub(r"\s", "", attributes.get("style") or "").lower():
-            return True
+        return "display:none" in re.sub(r"\s", "", attributes.get("style") or "").lower()
+
+    @staticmethod
+    def own_weight(tag: str, attributes: dict, inside: bool) -> float:
+        if tag in ("html", "body", "main"):
+            return 1.0
+        if tag == "header" and inside:  # the heading of an article, whatever it is called
+            return 1.0
+        weight = MEANT.get(tag, 1.0)
         if (attributes.get("role") or "").lower() in ROLES:
-            return True
-        names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".strip()
-        return bool(names) and _named(names)
+            weight = min(weight, CLUTTER)
+        names = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
+        return min(weight, _name_weight(names, inside)) if not names.isspace() else weight
 
     def handle_startendtag(self, tag: str, attributes) -> None:
         self.handle_starttag(tag, attributes)
@@ -151,10 +183,12 @@ class PageLines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.end_line()
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i].tag == tag:
                 self.note_tag()
-                del self.stack[i:]
+                self.close_from(i)
                 return
 
     def note_tag(self) -> None:
@@ -167,9 +201,14 @@ class PageLines(HTMLParser):
         if self.stack and self.stack[-1].passed:
             return
         if self.line is None:
-            self.line = Line((0, *(e.number for e in self.stack)), tags=self.waiting)  # 0 is the page
+            block = self.stack[-1].number if self.stack else 0
+            while block and self.tag[block] not in BLOCK:
+                block = self.parent[block]
+            self.line = Line(block, tags=self.waiting)
             self.waiting = 0
         self.line.pieces.append(data)
+        if self.open["a"]:
+            self.line.linked += len(data)
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """`<![` opens a comment up to the next `>`, as in browsers; the base class fails on unknown names."""
@@ -199,34 +238,81 @@ def high_cluster(values: np.ndarray) -> np.ndarray:
     return values >= threshold
 
 
+GROWTH = 0.25
+LEAST = 1.0
+
+
+def _form_weights(page: PageLines, sizes: np.ndarray) -> None:
+    """A form that holds most of a page's text is the page; any other is no article text."""
+    held = np.zeros(len(page.parent))
+    np.add.at(held, [x.element for x in page.lines], sizes)
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+    for e in range(1, len(held)):
+        own = CLUTTER if page.tag[e] == "form" and held[e] < 0.5 * held[0] else 1.0
+        page.weight[e] = min(page.weight[e], own, page.weight[page.parent[e]])
+
+
+def _regions(page: PageLines, sizes: np.ndarray, high: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The least weight among the regions around each element, infinite where there is none.
+
+    A region starts at the element that holds a high line's block, and at the outermost article or
+    main element around it. It grows to the element above while that adds little low text for the
+    high text there; the whole body is a region only if its high lines are all in one place.
+    """
+    n, parent = len(page.parent), page.parent
+    rich, poor, lines = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+    marked = np.zeros(n, bool)
+    outer = [0] * n
+    for e in range(1, n):
+        outer[e] = outer[parent[e]] or (e if page.content[e] else 0)
+    for line, size, good, weight in zip(page.lines, sizes, high, weights, strict=True):
+        lines[line.element] += 1
+        if good:
+            rich[line.element] += size
+            marked[parent[line.element] if lines[line.element] == 1 else line.element] = True
+            marked[outer[line.element]] |= bool(outer[line.element])
+        elif weight == 1.0 and 2 * line.linked <= size:
+            poor[line.element] += size
+    for e in range(n - 1, 0, -1):
+        for sums in (rich, poor, lines):
+            sums[parent[e]] += sums[e]
+    top = np.array([page.tag[e] in ("", "html", "body") for e in range(n)])
+    for e in range(n - 1, 0, -1):
+        up = parent[e]
+        if marked[e] and not marked[up]:
+            little = poor[up] - poor[e] <= GROWTH * rich[up]
+            marked[up] = (not top[up] and little) or (lines[e] == 1 and rich[e] == rich[0])
+    least = np.full(n, np.inf)
+    for e in range(n):
+        least[e] = min(least[parent[e]], page.weight[e] if marked[e] else np.inf)
+    return least
+
+
 def main_lines(html: str) -> list[str]:
-    """The lines of the content region, in page order."""
-    parser = PageLines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
-    lines = parser.lines
+    """The lines of the content regions, in page order."""
+    page = PageLines()
+    page.feed(html)
+    page.close()
+    page.end_line()
+    lines = page.lines
     if not lines:
         return []
     sizes = np.array([float(len(x.text)) for x in lines])
-    high = high_cluster(smoothed(sizes / np.array([max(1, x.tags) for x in lines])))
-    weight: dict[int, float] = {}
-    for line, size, good in zip(lines, sizes, high, strict=True):
-        for number in line.path if good else ():
-            weight[number] = weight.get(number, 0.0) + size
-    marked = {n: w for n, w in weight.items() if n in parser.content}
-    if marked:
-        # The innermost article or main element that holds most of what the best one holds.
-        best = max(marked.values())
-        region = max(n for n, w in marked.items() if w > best / 2)
-        return [x.text for x in lines if region in x.path]
-    # No such element: the innermost element that holds most of the high cluster.
-    total = sum(s for s, good in zip(sizes, high, strict=True) if good)
-    inner = max(n for n, w in weight.items() if w > 0.75 * total)
-    inside = [x for x in lines if inner in x.path]
-    if len(inside) == 1:  # a single block: the blocks beside it belong to it
-        inner = max((n for n in inside[0].path if n < inner and sum(n in x.path for x in lines) > 1), default=inner)
-    return [x.text for x in lines if inner in x.path]
+    _form_weights(page, sizes)
+    weights = np.array([page.weight[x.element] for x in lines])
+    inside = np.array([page.content[x.element] for x in lines])
+    if (inside & (weights == 1.0)).any():  # what stands beside the article must be the longer
+        weights = np.where(inside, weights, np.minimum(weights, BESIDE))
+    ratios = sizes / np.array([max(1, x.tags) for x in lines])
+    values = smoothed(ratios) * weights
+    high = high_cluster(values) & ((weights == 1.0) | (values >= LEAST))
+    around = _regions(page, sizes, high, weights)
+    return [
+        x.text
+        for x, size, good, weight in zip(lines, sizes, high, weights, strict=True)
+        if good or (weight >= around[x.element] and (page.content[x.element] or 2 * x.linked <= size))
+    ]
 
 
 EXTRACTED = "page_id bigint, url string, text string, n_chars bigint, n_blocks bigint"

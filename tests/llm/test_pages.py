@@ -1,6 +1,7 @@
 import html as htmllib
 import random
 import re
+import time
 
 from spoorline.llm.pages import high_cluster, main_lines, main_text, smoothed
 
@@ -90,3 +91,51 @@ def test_smoothing_and_clusters():
     values = smoothed(np.array([1.0, 1, 1, 50, 2, 60, 55, 1, 1, 1]))
     assert list(np.flatnonzero(high_cluster(values))) == [3, 4, 5, 6]
     assert high_cluster(np.array([3.0, 3.0])).all()
+
+
+LONG = [f"Paragraph {i} of this text has many plain words, so that every reader sees at once what it is here for." for i in range(6)]
+
+
+def blocks(lines, tag="p"):
+    return "".join(f"<{tag}>{t}</{tag}>" for t in lines)
+
+
+def test_a_heading_in_a_header_of_the_article_stays():
+    page = f"<article><header class='entry-header'><h1>The title</h1></header>{blocks(LONG)}</article>"
+    assert main_lines(CLUTTER % page) == ["The title", *LONG]
+
+
+def test_a_section_named_discussion_of_a_paper_stays():
+    page = f"<article><h1>A paper</h1>{blocks(LONG[:3])}<section id='discussion'><h2>5 Discussion</h2>{blocks(LONG[3:])}</section></article>"
+    assert main_lines(CLUTTER % page) == ["A paper", *LONG[:3], "5 Discussion", *LONG[3:]]
+
+
+def test_a_form_around_the_body_loses_only_its_controls():
+    page = f"<form id=aspnet><input name=v><div class=main-text><h1>Title</h1>{blocks(LONG)}</div><select><option>one</select><button>Send</button></form>"
+    assert main_lines(f"<html><body>{page}</body></html>") == ["Title", *LONG]
+
+
+def test_sibling_articles_all_stay():
+    page = f"<article><h2>First</h2>{blocks(LONG[:4])}</article><article><h2>Second</h2>{blocks(LONG[4:])}</article>"
+    assert main_lines(CLUTTER % page) == ["First", *LONG[:4], "Second", *LONG[4:]]
+
+
+def test_a_lead_paragraph_in_a_block_beside_the_body_stays():
+    for around in ("%s<article>%s</article>", "%s<div class=body>%s</div>"):
+        page = around % (f"<div class=lead><p>{LONG[0]}</p></div>", blocks(LONG[1:]))
+        assert main_lines(CLUTTER % page) == LONG
+
+
+def test_the_clusters_decide(spark, monkeypatch):
+    """With every line in the high cluster, most pages come out otherwise."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    before = [main_lines(p) for p in pages]
+    monkeypatch.setattr("spoorline.llm.pages.high_cluster", lambda values: np.ones(len(values), bool))
+    assert sum(main_lines(p) != b for p, b in zip(pages, before, strict=True)) > 0.9 * len(pages)
+
+
+def test_deep_and_unclosed_markup_takes_linear_time():
+    for piece in ("<div>text ", "<b>x</i>", "<p>y</q><span>", "<li><i>z"):
+        start = time.process_time()
+        assert main_lines(piece * 30_000)
+        assert time.process_time() - start < 20
