@@ -40,7 +40,7 @@ PASSED = frozenset(
 CONTENT = frozenset(("article", "main"))
 #: What elements weigh, at most: a line has the least weight of the elements around it.
 MEANT = {"nav": 0.02, "menu": 0.02, "footer": 0.05, "aside": 0.05, "header": 0.05}
-BESIDE, COMPOUND, WITHIN, CLUTTER, MILD = 0.8, 0.2, 0.6, 0.05, 0.8
+BESIDE, COMPOUND, WITHIN, CLUTTER, MILD = 0.99, 0.2, 0.6, 0.05, 0.8
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Words in a class or id that name what is no article text; the second kind may also name a part of one.
 NAMES = frozenset(
@@ -302,7 +302,7 @@ def main_lines(html: str) -> list[str]:
     _form_weights(page, sizes)
     weights = np.array([page.weight[x.element] for x in lines])
     inside = np.array([page.content[x.element] for x in lines])
-    if (inside & (weights == 1.0)).any():  # what stands beside the article must be the longer
+    if (inside & (weights == 1.0)).any():  # only what is long stays beside an article
         weights = np.where(inside, weights, np.minimum(weights, BESIDE))
     ratios = sizes / np.array([max(1, x.tags) for x in lines])
     values = smoothed(ratios) * weights
