@@ -66,8 +66,7 @@ def folded_in_order(
 ) -> DataFrame:
     """(output, late): ``fold(key, state, row) -> (state, output row)`` of each row in ``seq`` order.
 
-    The state holds the rows that wait, so its size follows the
-    lateness; ``done`` is the last ``seq`` that was folded. Every row travels with a second one that
+    The state holds the rows that wait, so its size follows the lateness; ``done`` is the last ``seq`` that was folded. Every row travels with a second one that
     holds only its time: the engine drops what is behind the watermark, and may drop that one.
     """
     payload = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
