@@ -1,36 +1,42 @@
 """Quality scores: random-indexing word vectors, pooled per document, and a small calibrated network.
 
-Random indexing gives every hashed token a fixed sparse ternary index vector; a token's word vector is
-the sum of the index vectors of its neighbours over the whole corpus. Tasks add up whole-number
-tables of fixed size, so the sums do not depend on how the rows are dealt, and the combined table is
-bounded by its parameters whatever the corpus. Documents are pooled by mean, spread and change from
-token to token of their word vectors.
+Random indexing gives every word a fixed sparse ternary index vector, drawn from its 64-bit hash; a
+word's vector is the sum of the index vectors of its neighbours over the whole corpus. The sums are
+whole numbers and one row per word of the corpus, so the table grows with the vocabulary and does not
+depend on how the rows are dealt. To be scored, documents are cut into blocks of bounded bytes; each
+block asks the table once for each of its distinct words and meets the answers in one task.
+Documents are pooled by mean, spread and change from word to word. Runs of digits are words by their
+length alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spoorline.llm.words import arrow_map, each_slice, mix, _power
+from spoorline.llm.store import kept
+from spoorline.llm.words import _power, buffers, each_slice, mix
 
 SPACE, LETTER, DIGIT, MARK = 0, 1, 2, 3
 
 
 @dataclass(frozen=True)
 class QualityParameters:
-    """``most_labels`` bounds the labelled rows that are fitted and calibrated on (by a hash of doc_id)."""
+    """``most_labels`` bounds the labelled rows that are fitted and calibrated on (by a hash of doc_id);
+    ``block_bytes``: texts that ask for word vectors together (one longer text is a block of its own)."""
 
-    buckets: int = 1 << 14
     width: int = 32
     nonzero: int = 4
     reach: int = 2
-    parts: int = 64
+    block_bytes: int = 1 << 22
     hidden: int = 24
     epochs: int = 400
     rate: float = 0.02
@@ -53,96 +59,99 @@ _CODE = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _CODE[48:58] = _CODE[48]
 
 
-def tokens(data: np.ndarray, bounds: np.ndarray, p: QualityParameters) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each token, first token of each text): runs of letters, of digits, of marks."""
+def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each text): runs of letters, of digits, of marks."""
     n = len(data)
     kind = _KIND[data]
     fresh = np.ones(n + 1, bool)
     fresh[1:n] = kind[1:] != kind[:-1]
     fresh[bounds] = True
     start = np.flatnonzero(fresh[:n])
-    end = np.append(start[1:], n)
+    end = np.append(start[1:], n)[: len(start)]
     real = kind[start] != SPACE if n else np.zeros(0, bool)
     start, end = start[real], end[real]
     up, down = _power(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_CODE[data] * up[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * down[start])
-    return (hashes % np.uint64(p.buckets)).astype(np.int64), np.searchsorted(start, bounds)
+    return mix((sums[end] - sums[start]) * down[start]), np.searchsorted(start, bounds)
 
 
-def index_vectors(p: QualityParameters) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and signs of the index vector of each bucket, both (buckets, nonzero)."""
-    draw = mix(np.arange(p.buckets * p.nonzero, dtype=np.uint64) + (np.uint64(p.seed) << np.uint64(40)))
-    places = (draw % np.uint64(p.width)).astype(np.int64).reshape(p.buckets, p.nonzero)
-    signs = np.where(draw >> np.uint64(63), 1.0, -1.0).reshape(p.buckets, p.nonzero)
-    return places, signs
+def index_vectors(words: np.ndarray, p: QualityParameters) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and signs of the index vectors of word hashes, both (words, nonzero)."""
+    step = np.arange(1, p.nonzero + 1, dtype=np.uint64) + (np.uint64(p.seed) << np.uint64(40))
+    draw = mix(words[:, None] ^ mix(step)[None, :])
+    return (draw % np.uint64(p.width)).astype(np.int64), np.where(draw >> np.uint64(63), 1.0, -1.0)
 
 
-def word_vectors(docs: DataFrame, p: QualityParameters) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors, counts) of all buckets over all documents."""
-    places, signs = index_vectors(p)
-    size = p.buckets // p.parts
+def _dimensions(p: QualityParameters) -> list[str]:
+    return [f"v{i}" for i in range(p.width)]
+
+
+def word_sums(docs: DataFrame, p: QualityParameters) -> DataFrame:
+    """(word, n, v0, v1, ...): each word of the corpus, its count, and the sum of its contexts' index vectors."""
+    columns = _dimensions(p)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((p.buckets, p.width))
-        seen = np.zeros(p.buckets)
         for batch in batches:
-            for _, _, data, bounds in each_slice(batch):
-                found, first = tokens(data, bounds, p)
-                seen += np.bincount(found, minlength=p.buckets)
+            for _, _, data, bounds in each_slice(batch, limit=1 << 20):
+                hashes, first = tokens(data, bounds)
+                words, found = np.unique(hashes, return_inverse=True)
+                places, signs = index_vectors(words, p)
                 text = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
+                total = np.zeros(len(words) * p.width)
                 for step in range(1, p.reach + 1):
                     near = np.flatnonzero(text[step:] == text[:-step])
                     for one, other in ((near, near + step), (near + step, near)):
                         row, context = found[one] * p.width, found[other]
                         for k in range(p.nonzero):
-                            total += np.bincount(
-                                row + places[context, k],
-                                weights=signs[context, k],
-                                minlength=total.size,
-                            ).reshape(total.shape)
-        if seen.any():
-            whole = np.concatenate([total, seen[:, None]], axis=1).astype(np.int64)
-            yield _table(np.arange(p.parts), whole.reshape(p.parts, size, -1))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, body in zip(*batch.to_pydict().values(), strict=True):
-                held[part] = held.get(part, 0) + np.frombuffer(body, np.int64)
-        if held:
-            yield _table(list(held), list(held.values()))
-
-    schema = "part int, body binary"
+                            at, sign = row + places[context, k], signs[context, k]
+                            total += np.bincount(at, weights=sign, minlength=total.size)
+                sums = total.astype(np.int32).reshape(len(words), p.width)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words.view(np.int64)), pa.array(np.bincount(found, minlength=len(words)))]
+                    + [pa.array(c) for c in sums.T],
+                    names=["word", "n", *columns],
+                )
+
+    schema = "word bigint, n bigint, " + ", ".join(f"{c} int" for c in columns)
     partial = docs.select("text").mapInArrow(gather, schema)
-    rows = partial.repartition(p.parts, "part").mapInArrow(add, schema).collect()
-    whole = np.zeros((p.parts, size, p.width + 1))
-    for row in rows:  # `parts` rows of fixed size
-        whole[row["part"]] += np.frombuffer(row["body"], np.int64).reshape(size, -1)
-    whole = whole.reshape(p.buckets, -1)
-    return whole[:, :-1], whole[:, -1]
-
-
-def _table(parts, bodies) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(parts, pa.int32()), pa.array([b.tobytes() for b in bodies], pa.binary())],
-        names=["part", "body"],
-    )
+    return partial.groupBy("word").agg(*[F.sum(c).alias(c) for c in ["n", *columns]])
+
+
+def word_vectors(docs: DataFrame, p: QualityParameters) -> DataFrame:
+    """(word, code): word vectors without their common direction, at unit length, in bytes of 1/127.
+
+    The sums are written once; only the common direction, one row, comes to the driver.
+    """
+    columns = _dimensions(p)
+    sums = kept(word_sums(docs, p), "quality-words")
+    whole = sums.agg(*[F.sum(c) for c in ["n", *columns]]).first()
+    mean = np.array([v or 0 for v in whole[1:]], float) / max(whole[0] or 0, 1)
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).to_numpy(zero_copy_only=False)
+            own = np.stack([batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(p.width)], axis=1)
+            own = own / n[:, None] - mean
+            own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+            code = np.rint(own * 127).astype(np.int8).tobytes()
+            offsets = pa.py_buffer((np.arange(len(n) + 1) * p.width).astype(np.int32))
+            body = pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(code)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), body], names=["word", "code"])
 
+    return sums.mapInArrow(unit, "word bigint, code binary")
 
-def unit_vectors(vectors: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Word vectors without their common direction, at unit length; unseen buckets are zero."""
-    mean = (vectors / np.maximum(counts, 1)[:, None]).T @ counts / max(counts.sum(), 1)
-    own = vectors / np.maximum(counts, 1)[:, None] - mean
-    own[counts == 0] = 0
-    length = np.linalg.norm(own, axis=1, keepdims=True)
-    return (own / np.maximum(length, 1e-9)).astype(np.float32)
 
+def pooled(
+    data: np.ndarray, bounds: np.ndarray, words: np.ndarray, vectors: np.ndarray, p: QualityParameters
+) -> np.ndarray:
+    """One row per text: mean, spread and mean change of its word vectors, and its log length.
 
-def pooled(data: np.ndarray, bounds: np.ndarray, vectors: np.ndarray, p: QualityParameters) -> np.ndarray:
-    """One row per text: mean, spread and mean change of its word vectors, and its log length."""
-    found, first = tokens(data, bounds, p)
+    ``words`` ascend; ``vectors`` has one row more than they, of zeros, for words without a vector.
+    """
+    hashes, first = tokens(data, bounds)
+    found = np.searchsorted(words, hashes)
+    found[np.append(words, np.uint64(0))[found] != hashes] = len(words)
     n = np.diff(first)
     text = np.repeat(np.arange(len(n)), n)
     sums = np.zeros((len(n), 3 * p.width))
@@ -161,17 +170,74 @@ def pooled(data: np.ndarray, bounds: np.ndarray, vectors: np.ndarray, p: Quality
     return np.concatenate([mean, spread, change, np.log1p(n)[:, None]], axis=1)
 
 
+def with_features(
+    rows: DataFrame,
+    vectors: DataFrame,
+    p: QualityParameters,
+    emit: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch],
+    schema: T.StructType | str,
+) -> DataFrame:
+    """``emit(rows of a block, their features)`` for all rows; they have a column ``text``.
+
+    Blocks are written once, so that a task that runs again meets the words it asked for. A word is
+    asked for once per block, so no word is hotter than the number of blocks.
+    """
+    names = [f"c{i}" for i in range(len(rows.columns))]
+    text = names[rows.columns.index("text")]
+    plain = rows.toDF(*names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = count(TaskContext.get().partitionId() << 40)
+        for batch in batches:
+            for low, high, data, bounds in each_slice(batch, text, p.block_bytes):
+                part = batch.slice(low, high - low)
+                own = [np.unique(tokens(d, b)[0]) for _, _, d, b in each_slice(part, text, 1 << 18)]
+                words = np.unique(np.concatenate(own)).view(np.int64)
+                ends = np.full(high - low + 1, len(words), np.int32)
+                ends[0] = 0  # the first row carries the words of its block
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(np.full(high - low, next(numbers))),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(words))],
+                    names=[*names, "block", "words"],
+                )
+
+    shape = T.StructType(
+        [*plain.schema.fields, T.StructField("block", T.LongType()),
+         T.StructField("words", T.ArrayType(T.LongType()))]
+    )
+    blocks = kept(plain.mapInArrow(cut, shape), "quality-blocks")
+
+    def meet(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        batch = texts.select(names).combine_chunks().to_batches()[0]
+        words = answers.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(words)
+        known = np.zeros((len(words) + 1, p.width), np.float32)
+        if len(words):
+            codes = buffers(answers.column("code"))[0].view(np.int8).reshape(-1, p.width)
+            known[:-1] = codes[order] / np.float32(127)
+        found = [
+            pooled(data, bounds, words[order], known, p)
+            for _, _, data, bounds in each_slice(batch, text, 1 << 18)
+        ]
+        return pa.Table.from_batches([emit(batch, np.concatenate(found))])
+
+    answers = blocks.select(F.col("block").alias("home"), F.explode("words").alias("word")).join(vectors, "word")
+    return (
+        blocks.drop("words").groupBy("block")
+        .cogroup(answers.select("home", "word", "code").groupBy("home"))
+        .applyInArrow(meet, schema)
+    )
+
+
 @dataclass(frozen=True)
-class QualityModel:
-    """Word vectors, scaling, two layers and the temperature; ``constant`` replaces them without labels."""
+class Network:
+    """Scaling, two layers and the temperature; ``constant`` replaces them without labels."""
 
-    vectors: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
     weights: tuple[np.ndarray, ...]
     temperature: float
     constant: float | None
-    parameters: QualityParameters
 
     def probabilities(self, features: np.ndarray) -> np.ndarray:
         if self.constant is not None:
@@ -179,6 +245,15 @@ class QualityModel:
         return _sigmoid(_logits((features - self.centre) / self.scale, self.weights) / self.temperature)
 
 
+@dataclass(frozen=True)
+class QualityModel:
+    """The network and the table of word vectors, which stays in the shared folder."""
+
+    vectors: DataFrame
+    network: Network
+    parameters: QualityParameters
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -231,7 +306,7 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParameters | None = None
     without any label).
     """
     p = p or QualityParameters()
-    vectors = unit_vectors(*word_vectors(docs, p))
+    vectors = word_vectors(docs, p)
     known = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").alias("label"))
         .filter("doc_id is not null and label is not null")
@@ -243,35 +318,30 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParameters | None = None
         .limit(p.most_labels)
     )
 
-    def features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for low, high, data, bounds in each_slice(batch, limit=1 << 18):
-            rows = pooled(data, bounds, vectors, p)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).slice(low, high - low), batch.column(2).slice(low, high - low),
-                 pa.array([r.tobytes() for r in rows], pa.binary())],
-                names=["label", "fold", "body"],
-            )
-
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    # At most `most_labels` rows of two numbers, so this side may be broadcast.
-    sample = texts.join(F.broadcast(known), "doc_id").select("text", "label", "fold", "doc_id")
-    rows = (
-        sample.orderBy("doc_id").select("text", "label", "fold")
-        .mapInArrow(arrow_map(features), "label int, fold int, body binary")
-        .collect()
-    )
-    blank = QualityModel(vectors, np.zeros(1), np.ones(1), (), 1.0, 0.5, p)
+    # At most `most_labels` rows of three numbers, so this side may be broadcast.
+    sample = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label", "fold")
+
+    def features(batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
+        body = pa.array([r.tobytes() for r in rows], pa.binary())
+        columns = [batch.column(0), batch.column(2), batch.column(3), body]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "fold", "body"])
+
+    schema = "doc_id bigint, label int, fold int, body binary"
+    rows = with_features(sample, vectors, p, features, schema).collect()  # bounded by `most_labels`
+    rows.sort(key=lambda r: (r["doc_id"], bytes(r["body"])))
+    none = np.zeros(1)
     if not rows:
-        return blank
+        return QualityModel(vectors, Network(none, none, (), 1.0, 0.5), p)
     x = np.array([np.frombuffer(r["body"]) for r in rows])
     y = np.array([float(r["label"]) for r in rows])
     part = np.array([r["fold"] for r in rows]) != 1
     if len(set(y[part])) < 2:
-        return QualityModel(vectors, np.zeros(1), np.ones(1), (), 1.0, float(y.mean()), p)
+        return QualityModel(vectors, Network(none, none, (), 1.0, float(y.mean())), p)
     centre, scale = x[part].mean(axis=0), x[part].std(axis=0) + 1e-6
     weights = fit_network((x[part] - centre) / scale, y[part], p)
     heat = temperature(_logits((x[~part] - centre) / scale, weights), y[~part])
-    return QualityModel(vectors, centre, scale, weights, heat, None, p)
+    return QualityModel(vectors, Network(centre, scale, weights, heat, None), p)
 
 
 def fold():
@@ -279,36 +349,32 @@ def fold():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)).cast("int")
 
 
-def _scores(batch: pa.RecordBatch, model: QualityModel) -> np.ndarray:
-    out = np.zeros(batch.num_rows)
-    for low, high, data, bounds in each_slice(batch, limit=1 << 18):
-        out[low:high] = model.probabilities(pooled(data, bounds, model.vectors, model.parameters))
-    return out
-
-
 def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, score) for every row; a null text scores as an empty one. Other columns are ignored."""
+    network = model.network
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(_scores(batch, model))], names=["doc_id", "score"]
-        )
+    def run(batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
+        scores = pa.array(network.probabilities(rows))
+        return pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(arrow_map(run), "doc_id bigint, score double")
+    schema = "doc_id bigint, score double"
+    return with_features(rows, model.vectors, model.parameters, run, schema)
 
 
 def accepted(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The rows, all columns unchanged, that score at least the model's threshold."""
+    network, threshold, names = model.network, model.parameters.threshold, docs.columns
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield batch.filter(pa.array(_scores(batch, model) >= model.parameters.threshold))
+    def run(batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
+        good = batch.filter(pa.array(network.probabilities(rows) >= threshold))
+        return pa.RecordBatch.from_arrays(good.columns, names=names)
 
-    return docs.mapInArrow(arrow_map(run), docs.schema)
+    return with_features(docs, model.vectors, model.parameters, run, docs.schema)
 
 
 def judged(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """(doc_id, held_out, score, predicted)."""
+    """(doc_id, held_out, score, predicted); held_out of a row without doc_id is null."""
     return scored(docs, model).select(
         "doc_id",
         (fold() == 0).alias("held_out"),

@@ -2,10 +2,11 @@ import zlib
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spoorline.llm import quality
-from spoorline.llm.quality import QualityParameters, index_vectors, judged, tokens, train, word_vectors
+from spoorline.llm.quality import QualityParameters, index_vectors, judged, tokens, train, word_sums, word_vectors
 
 SF = "/root/testdata/sf0.01"
 
@@ -30,20 +31,50 @@ def test_held_out_accuracy_and_fold(spark, tables):
     assert np.mean([g > b for g in good for b in bad]) > 0.97
 
 
-def test_word_vectors_are_whole_sums_over_all_rows(spark, small_documents):
-    p = QualityParameters(buckets=256, width=8, parts=4)
-    vectors, counts = word_vectors(small_documents.repartition(5), p)
-    places, signs = index_vectors(p)
-    expected, seen = np.zeros((256, 8)), np.zeros(256)
-    for row in small_documents.collect():
-        data = np.frombuffer(row.text.encode(), np.uint8)
-        found, _ = tokens(data, np.array([0, len(data)]), p)
-        np.add.at(seen, found, 1)
-        for i in range(len(found)):
-            for j in range(max(0, i - 2), min(len(found), i + 3)):
+def contexts(texts, p):
+    """The sum of the index vectors of the neighbours, and the count, of each word hash."""
+    sums, seen = {}, {}
+    for text in texts:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        found, _ = tokens(data, np.array([0, len(data)]))
+        places, signs = index_vectors(found, p)
+        for i, w in enumerate(found):
+            seen[w] = seen.get(w, 0) + 1
+            for j in range(max(0, i - p.reach), min(len(found), i + p.reach + 1)):
                 if i != j:
-                    np.add.at(expected[found[i]], places[found[j]], signs[found[j]])
-    assert (vectors == expected).all() and (counts == seen).all()
+                    np.add.at(sums.setdefault(w, np.zeros(p.width)), places[j], signs[j])
+            sums.setdefault(w, np.zeros(p.width))
+    return sums, seen
+
+
+def test_word_sums_and_features_are_those_of_every_word(spark, small_documents):
+    p = QualityParameters(width=8, block_bytes=3000)
+    rows = [(r.doc_id, r.text) for r in small_documents.collect()] + [(-1, None), (-2, ""), (-3, "Zorb")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    sums, seen = contexts([t for _, t in rows], p)
+    got = {np.uint64(r["word"] % 2**64): list(r[1:]) for r in word_sums(docs, p).collect()}
+    assert got == {w: [seen[w], *sums[w]] for w in sums}
+
+    mean = sum(sums.values()) / sum(seen.values())
+    units = {w: v / seen[w] - mean for w, v in sums.items()}
+    units = {w: np.rint(127 * v / np.linalg.norm(v)) / 127 for w, v in units.items()}
+    table = quality.with_features(
+        docs, word_vectors(docs, p), p,
+        lambda batch, x: pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"]),
+        "doc_id bigint, x array<double>",
+    )
+    found = {r.doc_id: np.array(r.x) for r in table.collect()}
+    assert found.keys() == {d for d, _ in rows}
+    for d, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        words, _ = tokens(data, np.array([0, len(data)]))
+        v = np.array([units[w] for w in words]).reshape(-1, p.width)
+        n = max(len(v), 1)
+        change = np.abs(np.diff(v, axis=0)).sum(axis=0) / n
+        spread = np.sqrt(np.maximum((v * v).sum(axis=0) / n - (v.sum(axis=0) / n) ** 2, 0))
+        expected = np.concatenate([v.sum(axis=0) / n, spread, change, [np.log1p(len(v))]])
+        assert np.allclose(found[d], expected, atol=2e-3)
 
 
 def test_odd_rows_and_missing_labels(spark, cluttered):
