@@ -11,6 +11,7 @@ length alone.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -31,12 +32,14 @@ SPACE, LETTER, DIGIT, MARK = 0, 1, 2, 3
 @dataclass(frozen=True)
 class QualityParameters:
     """``most_labels`` bounds the labelled rows that are fitted and calibrated on (by a hash of doc_id);
-    ``block_bytes``: texts that ask for word vectors together (one longer text is a block of its own)."""
+    ``block_bytes``: texts that ask for word vectors together (one longer text is a block of its own);
+    ``most_held``: words that a task adds up before it sends them on. ``width`` is even."""
 
     width: int = 32
     nonzero: int = 4
     reach: int = 2
-    block_bytes: int = 1 << 22
+    block_bytes: int = 1 << 23
+    most_held: int = 500_000
     hidden: int = 24
     epochs: int = 400
     rate: float = 0.02
@@ -83,15 +86,53 @@ def index_vectors(words: np.ndarray, p: QualityParameters) -> tuple[np.ndarray,
     return (draw % np.uint64(p.width)).astype(np.int64), np.where(draw >> np.uint64(63), 1.0, -1.0)
 
 
-def _dimensions(p: QualityParameters) -> list[str]:
-    return [f"v{i}" for i in range(p.width)]
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Words in order and the sum of their rows."""
+    hashes = np.concatenate([w for w, _ in parts])
+    rows = np.concatenate([r for _, r in parts])
+    order = np.argsort(hashes, kind="stable")
+    hashes, rows = hashes[order], rows[order]
+    cuts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
+    return hashes[cuts], np.add.reduceat(rows, cuts, axis=0) if len(cuts) else rows
+
+
+def _packed(words: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(word, body): rows of whole numbers in one byte each where all of them fit, else in eight."""
+    small = (np.abs(rows) < 128).all(axis=1) if len(rows) else np.zeros(0, bool)
+    for chosen, kind in ((small, np.int8), (~small, np.int64)):
+        own, size = words[chosen], rows.shape[1] * np.dtype(kind).itemsize
+        for low in range(0, len(own), 50_000):
+            body = rows[chosen][low : low + 50_000].astype(kind)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[low : low + 50_000].view(np.int64)), _bodies(body, size)], names=["word", "body"]
+            )
+
+
+def _bodies(rows: np.ndarray, size: int) -> pa.Array:
+    offsets = pa.py_buffer((np.arange(len(rows) + 1) * size).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows.tobytes())])
+
+
+def _unpacked(batch: pa.RecordBatch, p: QualityParameters) -> tuple[np.ndarray, np.ndarray]:
+    words = batch.column(0).to_numpy().view(np.uint64)
+    data, offsets = buffers(batch.column(1))
+    small = np.diff(offsets) == p.width + 1
+    rows = np.zeros((len(words), p.width + 1), np.int64)
+    rows[small] = data[offsets[:-1][small, None] + np.arange(p.width + 1)].view(np.int8)
+    wide = data[offsets[:-1][~small, None] + np.arange(8 * (p.width + 1))]
+    rows[~small] = wide.view(np.int64)
+    return words, rows
 
 
 def word_sums(docs: DataFrame, p: QualityParameters) -> DataFrame:
-    """(word, n, v0, v1, ...): each word of the corpus, its count, and the sum of its contexts' index vectors."""
-    columns = _dimensions(p)
+    """(word, body): each word of the corpus with its count and the sum of its contexts' index vectors.
+
+    Tasks add up their own words, a bounded number at a time, before the shuffle; after it the rows
+    of a word follow each other and are added in batches.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for _, _, data, bounds in each_slice(batch, limit=1 << 20):
                 hashes, first = tokens(data, bounds)
@@ -106,42 +147,70 @@ def word_sums(docs: DataFrame, p: QualityParameters) -> DataFrame:
                         for k in range(p.nonzero):
                             at, sign = row + places[context, k], signs[context, k]
                             total += np.bincount(at, weights=sign, minlength=total.size)
-                sums = total.astype(np.int32).reshape(len(words), p.width)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words.view(np.int64)), pa.array(np.bincount(found, minlength=len(words)))]
-                    + [pa.array(c) for c in sums.T],
-                    names=["word", "n", *columns],
-                )
-
-    schema = "word bigint, n bigint, " + ", ".join(f"{c} int" for c in columns)
+                n = np.bincount(found, minlength=len(words))
+                sums = total.astype(np.int64).reshape(len(words), p.width)
+                held.append((words, np.concatenate([n[:, None], sums], axis=1)))
+                if sum(len(w) for w, _ in held) > p.most_held:
+                    held = [_merged(held)]
+                    if len(held[0][0]) > p.most_held // 2:
+                        yield from _packed(*held.pop())
+        if held:
+            yield from _packed(*_merged(held))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_word: tuple[np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            if batch.num_rows:
+                words, rows = _merged([open_word] * (open_word is not None) + [_unpacked(batch, p)])
+                # The largest word of a batch, as Spark orders them, may go on in the next.
+                last = int(np.argmax(words.view(np.int64)))
+                open_word = words[last : last + 1], rows[last : last + 1]
+                yield from _packed(np.delete(words, last), np.delete(rows, last, axis=0))
+        if open_word is not None:
+            yield from _packed(*open_word)
+
+    schema = "word bigint, body binary"
     partial = docs.select("text").mapInArrow(gather, schema)
-    return partial.groupBy("word").agg(*[F.sum(c).alias(c) for c in ["n", *columns]])
+    return partial.repartition("word").sortWithinPartitions("word").mapInArrow(add, schema)
 
 
 def word_vectors(docs: DataFrame, p: QualityParameters) -> DataFrame:
-    """(word, code): word vectors without their common direction, at unit length, in bytes of 1/127.
+    """(word, code): word vectors without their common direction, at unit length, in steps of 1/7.
 
-    The sums are written once; only the common direction, one row, comes to the driver.
+    Two steps share a byte. The sums are written once; only the common direction, one row a task,
+    comes to the driver.
     """
-    columns = _dimensions(p)
     sums = kept(word_sums(docs, p), "quality-words")
-    whole = sums.agg(*[F.sum(c) for c in ["n", *columns]]).first()
-    mean = np.array([v or 0 for v in whole[1:]], float) / max(whole[0] or 0, 1)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(p.width + 1, np.int64)
+        for batch in batches:
+            total += _unpacked(batch, p)[1].sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([c]) for c in total], names=[f"v{i}" for i in range(len(total))])
+
+    shape = ", ".join(f"v{i} bigint" for i in range(p.width + 1))
+    added = sums.mapInArrow(whole, shape).agg(*[F.sum(f"v{i}") for i in range(p.width + 1)]).first()
+    mean = np.array([v or 0 for v in added[1:]], float) / max(added[0] or 0, 1)
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(1).to_numpy(zero_copy_only=False)
-            own = np.stack([batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(p.width)], axis=1)
-            own = own / n[:, None] - mean
-            own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-            code = np.rint(own * 127).astype(np.int8).tobytes()
-            offsets = pa.py_buffer((np.arange(len(n) + 1) * p.width).astype(np.int32))
-            body = pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(code)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), body], names=["word", "code"])
+            words, rows = _unpacked(batch, p)
+            own = rows[:, 1:] / rows[:, :1] - mean
+            own /= np.maximum(np.abs(own).max(axis=1, keepdims=True), 1e-9)
+            step = np.rint(own * 7).astype(np.int8).view(np.uint8) & 15
+            code = _bodies(step[:, ::2] | step[:, 1::2] << 4, p.width // 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), code], names=["word", "code"])
 
     return sums.mapInArrow(unit, "word bigint, code binary")
 
 
+def decoded(codes: np.ndarray) -> np.ndarray:
+    """Unit vectors of codes, one row each; a word without direction is zero."""
+    step = np.stack([codes & 15, codes >> 4], axis=2).reshape(len(codes), 2 * codes.shape[1]).astype(np.int8)
+    own = np.where(step > 7, step - 16, step).astype(np.float32)
+    return own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+
+
 def pooled(
     data: np.ndarray, bounds: np.ndarray, words: np.ndarray, vectors: np.ndarray, p: QualityParameters
 ) -> np.ndarray:
@@ -179,54 +248,68 @@ def with_features(
 ) -> DataFrame:
     """``emit(rows of a block, their features)`` for all rows; they have a column ``text``.
 
-    Blocks are written once, so that a task that runs again meets the words it asked for. A word is
-    asked for once per block, so no word is hotter than the number of blocks.
+    ``rows`` is a stored table, or a function of one that keeps its order: it is read once for the
+    words of its blocks and once for their texts, and a block whose words differ between the two
+    raises an error. A word is asked for once per block, so none is hotter than the number of blocks.
     """
     names = [f"c{i}" for i in range(len(rows.columns))]
     text = names[rows.columns.index("text")]
     plain = rows.toDF(*names)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         numbers = count(TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for low, high, data, bounds in each_slice(batch, text, p.block_bytes):
-                part = batch.slice(low, high - low)
-                own = [np.unique(tokens(d, b)[0]) for _, _, d, b in each_slice(part, text, 1 << 18)]
-                words = np.unique(np.concatenate(own)).view(np.int64)
-                ends = np.full(high - low + 1, len(words), np.int32)
-                ends[0] = 0  # the first row carries the words of its block
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(np.full(high - low, next(numbers))),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(words))],
-                    names=[*names, "block", "words"],
-                )
-
-    shape = T.StructType(
-        [*plain.schema.fields, T.StructField("block", T.LongType()),
-         T.StructField("words", T.ArrayType(T.LongType()))]
-    )
-    blocks = kept(plain.mapInArrow(cut, shape), "quality-blocks")
+            for low, high, _, _ in each_slice(batch, text, p.block_bytes):
+                yield next(numbers), batch.slice(low, high - low)
+
+    def words_of(batch: pa.RecordBatch) -> np.ndarray:
+        own = [np.unique(tokens(d, b)[0]) for _, _, d, b in each_slice(batch, text, 1 << 18)]
+        return np.unique(np.concatenate(own)).view(np.int64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in blocks(batches):
+            words = words_of(batch)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number]), pa.array([_seal(words)], pa.binary()), pa.array([words])],
+                names=["home", "seal", "words"],
+            )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in blocks(batches):
+            at = pa.array(np.full(batch.num_rows, number))
+            yield pa.RecordBatch.from_arrays([*batch.columns, at], names=[*names, "block"])
 
     def meet(texts: pa.Table, answers: pa.Table) -> pa.Table:
         batch = texts.select(names).combine_chunks().to_batches()[0]
-        words = answers.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(words)
+        words = words_of(batch)
+        place = answers.column("place").to_numpy()
+        codes, ends = buffers(answers.column("code"))
+        seal = int(np.argmin(place)) if len(place) else 0
+        if not len(place) or codes[ends[seal] : ends[seal + 1]].tobytes() != _seal(words):
+            raise RuntimeError("rows changed between two reads: store the documents before they are scored")
+        real = place >= 0
         known = np.zeros((len(words) + 1, p.width), np.float32)
-        if len(words):
-            codes = buffers(answers.column("code"))[0].view(np.int8).reshape(-1, p.width)
-            known[:-1] = codes[order] / np.float32(127)
-        found = [
-            pooled(data, bounds, words[order], known, p)
-            for _, _, data, bounds in each_slice(batch, text, 1 << 18)
-        ]
+        known[place[real]] = decoded(codes[ends[:-1][real, None] + np.arange(p.width // 2)])
+        order = np.argsort(words.view(np.uint64))
+        known[:-1] = known[:-1][order]
+        words = words.view(np.uint64)[order]
+        found = [pooled(d, b, words, known, p) for _, _, d, b in each_slice(batch, text, 1 << 18)]
         return pa.Table.from_batches([emit(batch, np.concatenate(found))])
 
-    answers = blocks.select(F.col("block").alias("home"), F.explode("words").alias("word")).join(vectors, "word")
-    return (
-        blocks.drop("words").groupBy("block")
-        .cogroup(answers.select("home", "word", "code").groupBy("home"))
-        .applyInArrow(meet, schema)
+    asked = kept(plain.mapInArrow(ask, "home bigint, seal binary, words array<bigint>"), "quality-asked")
+    answers = (
+        asked.select("home", F.posexplode("words").alias("place", "word"))
+        .join(vectors, "word").select("home", "place", "code")
+        .unionByName(asked.select("home", F.lit(-1).alias("place"), F.col("seal").alias("code")))
     )
+    shape = T.StructType([*plain.schema.fields, T.StructField("block", T.LongType())])
+    return (
+        plain.mapInArrow(cut, shape).groupBy("block").cogroup(answers.groupBy("home")).applyInArrow(meet, schema)
+    )
+
+
+def _seal(words: np.ndarray) -> bytes:
+    return hashlib.sha256(words.tobytes()).digest()
 
 
 @dataclass(frozen=True)
@@ -320,7 +403,7 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParameters | None = None
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     # At most `most_labels` rows of three numbers, so this side may be broadcast.
-    sample = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label", "fold")
+    sample = kept(texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label", "fold"), "quality-sample")
 
     def features(batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
         body = pa.array([r.tobytes() for r in rows], pa.binary())

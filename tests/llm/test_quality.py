@@ -50,14 +50,20 @@ def contexts(texts, p):
 def test_word_sums_and_features_are_those_of_every_word(spark, small_documents):
     p = QualityParameters(width=8, block_bytes=3000)
     rows = [(r.doc_id, r.text) for r in small_documents.collect()] + [(-1, None), (-2, ""), (-3, "Zorb")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(5)
     sums, seen = contexts([t for _, t in rows], p)
-    got = {np.uint64(r["word"] % 2**64): list(r[1:]) for r in word_sums(docs, p).collect()}
-    assert got == {w: [seen[w], *sums[w]] for w in sums}
+    for held in (500_000, 40):
+        got = {}
+        for r in word_sums(docs, replace(p, most_held=held)).collect():
+            kind = np.int8 if len(r.body) == 9 else np.int64
+            assert np.uint64(r.word % 2**64) not in got
+            got[np.uint64(r.word % 2**64)] = np.frombuffer(r.body, kind).tolist()
+        assert got == {w: [seen[w], *sums[w]] for w in sums}
 
     mean = sum(sums.values()) / sum(seen.values())
     units = {w: v / seen[w] - mean for w, v in sums.items()}
-    units = {w: np.rint(127 * v / np.linalg.norm(v)) / 127 for w, v in units.items()}
+    units = {w: np.rint(7 * (v / np.abs(v).max())) for w, v in units.items()}
+    units = {w: v / np.linalg.norm(v) for w, v in units.items()}
     table = quality.with_features(
         docs, word_vectors(docs, p), p,
         lambda batch, x: pa.RecordBatch.from_arrays(
