@@ -39,7 +39,7 @@ class QualityParameters:
     nonzero: int = 4
     reach: int = 2
     block_bytes: int = 1 << 23
-    most_held: int = 500_000
+    most_held: int = 120_000
     hidden: int = 24
     epochs: int = 400
     rate: float = 0.02
@@ -100,11 +100,11 @@ def _packed(words: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(word, body): rows of whole numbers in one byte each where all of them fit, else in eight."""
     small = (np.abs(rows) < 128).all(axis=1) if len(rows) else np.zeros(0, bool)
     for chosen, kind in ((small, np.int8), (~small, np.int64)):
-        own, size = words[chosen], rows.shape[1] * np.dtype(kind).itemsize
-        for low in range(0, len(own), 50_000):
-            body = rows[chosen][low : low + 50_000].astype(kind)
+        places, size = np.flatnonzero(chosen), rows.shape[1] * np.dtype(kind).itemsize
+        for low in range(0, len(places), 20_000):
+            at = places[low : low + 20_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[low : low + 50_000].view(np.int64)), _bodies(body, size)], names=["word", "body"]
+                [pa.array(words[at].view(np.int64)), _bodies(rows[at].astype(kind), size)], names=["word", "body"]
             )
 
 
@@ -134,7 +134,7 @@ def word_sums(docs: DataFrame, p: QualityParameters) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for _, _, data, bounds in each_slice(batch, limit=1 << 20):
+            for _, _, data, bounds in each_slice(batch, limit=1 << 19):
                 hashes, first = tokens(data, bounds)
                 words, found = np.unique(hashes, return_inverse=True)
                 places, signs = index_vectors(words, p)
