@@ -2,9 +2,11 @@
 
 Random indexing gives every word a fixed sparse ternary index vector, drawn from its 64-bit hash; a
 word's vector is the sum of the index vectors of its neighbours over the whole corpus. The sums are
-whole numbers and one row per word of the corpus, so the table grows with the vocabulary and does not
-depend on how the rows are dealt. To be scored, documents are cut into blocks of bounded bytes; each
-block asks the table once for each of its distinct words and meets the answers in one task.
+whole numbers, one for each word of the corpus, so the table grows with the vocabulary and does not depend
+on how the rows are dealt. Words travel packed: a row holds the words of one share (a range of hashes)
+of one task or block, in order and compressed. To be scored, documents are cut into blocks of bounded
+bytes; each block asks the table once for each of its distinct words, share by share, and meets the
+answers in one task.
 Documents are pooled by mean, spread and change from word to word. Runs of digits are words by their
 length alone.
 """
@@ -13,18 +15,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoorline.llm.store import kept
-from spoorline.llm.words import _power, buffers, each_slice, mix
+from spoorline.llm.words import _power, each_slice, mix
 
 SPACE, LETTER, DIGIT, MARK = 0, 1, 2, 3
 
@@ -33,13 +36,14 @@ SPACE, LETTER, DIGIT, MARK = 0, 1, 2, 3
 class QualityParameters:
     """``most_labels`` bounds the labelled rows that are fitted and calibrated on (by a hash of doc_id);
     ``block_bytes``: texts that ask for word vectors together (one longer text is a block of its own);
-    ``most_held``: words that a task adds up before it sends them on. ``width`` is even."""
+    ``most_held``: words that a task adds up before it sends them on. ``width`` is even. Word hashes
+    are dealt out by their ``share_bits`` leading bits; None: as the shuffle partitions call for."""
 
     width: int = 32
     nonzero: int = 4
     reach: int = 2
-    block_bytes: int = 1 << 23
-    most_held: int = 120_000
+    block_bytes: int = 1 << 24
+    most_held: int = 240_000
     hidden: int = 24
     epochs: int = 400
     rate: float = 0.02
@@ -47,6 +51,7 @@ class QualityParameters:
     most_labels: int = 20_000
     threshold: float = 0.3
     seed: int = 11
+    share_bits: int | None = None
 
 
 def _classes() -> np.ndarray:
@@ -96,43 +101,84 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return hashes[cuts], np.add.reduceat(rows, cuts, axis=0) if len(cuts) else rows
 
 
-def _packed(words: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(word, body): rows of whole numbers in one byte each where all of them fit, else in eight."""
-    small = (np.abs(rows) < 128).all(axis=1) if len(rows) else np.zeros(0, bool)
-    for chosen, kind in ((small, np.int8), (~small, np.int64)):
-        places, size = np.flatnonzero(chosen), rows.shape[1] * np.dtype(kind).itemsize
-        for low in range(0, len(places), 20_000):
-            at = places[low : low + 20_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words[at].view(np.int64)), _bodies(rows[at].astype(kind), size)], names=["word", "body"]
-            )
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers as byte planes, lowest first, as many as the largest one needs."""
+    depth = (int(values.max(initial=0)).bit_length() + 7) // 8
+    planes = [(values >> values.dtype.type(8 * i)).astype(np.uint8).tobytes() for i in range(depth)]
+    return b"".join([bytes([depth]), *planes])
+
+
+def packed(words: np.ndarray, rows: np.ndarray | None = None) -> bytes:
+    """Ascending word hashes by their differences, and a row of whole numbers for each, compressed."""
+    body = np.uint64(len(words)).tobytes() + _planes(np.diff(words, prepend=np.uint64(0)))
+    if rows is not None:
+        body += _planes(((rows << 1) ^ (rows >> (8 * rows.itemsize - 1))).view(f"u{rows.itemsize}"))
+    return zstandard.ZstdCompressor(level=3).compress(body)
+
+
+def unpacked(body: bytes, columns: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(words, rows) of ``packed``."""
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+    n, at = int(data[:8].view(np.uint64)[0]), 8
+
+    def numbers(size: int) -> np.ndarray:
+        nonlocal at
+        out, depth = np.zeros(size, np.uint64), int(data[at])
+        for i in range(depth):
+            plane = data[at + 1 + i * size : at + 1 + (i + 1) * size]
+            out |= plane.astype(np.uint64) << np.uint64(8 * i)
+        at += 1 + depth * size
+        return out
+
+    words = np.cumsum(numbers(n), dtype=np.uint64)
+    folded = numbers(n * columns) if columns else np.zeros(0, np.uint64)
+    rows = (folded >> np.uint64(1)).view(np.int64) ^ -(folded & np.uint64(1)).view(np.int64)
+    return words, rows.reshape(n, columns)
+
+
+def _bits(spark: SparkSession, p: QualityParameters) -> int:
+    """Leading bits of a hash that name its share: at least as many shares as shuffle partitions."""
+    return p.share_bits or max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
+def _shared(words: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The shares of ascending words, and where each stands."""
+    edges = np.searchsorted(words >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    for share in np.flatnonzero(np.diff(edges)):
+        yield int(share), slice(int(edges[share]), int(edges[share + 1]))
 
 
-def _bodies(rows: np.ndarray, size: int) -> pa.Array:
-    offsets = pa.py_buffer((np.arange(len(rows) + 1) * size).astype(np.int32))
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows.tobytes())])
+HELD = "share int, home bigint, body binary"
 
 
-def _unpacked(batch: pa.RecordBatch, p: QualityParameters) -> tuple[np.ndarray, np.ndarray]:
-    words = batch.column(0).to_numpy().view(np.uint64)
-    data, offsets = buffers(batch.column(1))
-    small = np.diff(offsets) == p.width + 1
-    rows = np.zeros((len(words), p.width + 1), np.int64)
-    rows[small] = data[offsets[:-1][small, None] + np.arange(p.width + 1)].view(np.int8)
-    wide = data[offsets[:-1][~small, None] + np.arange(8 * (p.width + 1))]
-    rows[~small] = wide.view(np.int64)
-    return words, rows
+def _held(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    share, home, body = zip(*rows) if rows else ((), (), ())
+    columns = [pa.array(share, pa.int32()), pa.array(home, pa.int64()), pa.array(body, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["share", "home", "body"])
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch["share"][i].as_py(), batch["home"][i].as_py(), batch["body"][i].as_py()
 
 
 def word_sums(docs: DataFrame, p: QualityParameters) -> DataFrame:
-    """(word, body): each word of the corpus with its count and the sum of its contexts' index vectors.
+    """(share, home, body): each word of the corpus with its count and the sum of its contexts' index
+    vectors, one packed row per share; ``home`` is -1.
 
     Tasks add up their own words, a bounded number at a time, before the shuffle; after it the rows
-    of a word follow each other and are added in batches.
+    of a share follow each other and are added one by one, so a task holds the words of one share.
     """
+    bits = _bits(docs.sparkSession, p)
+    most_seen = (1 << 30) // (2 * p.reach * p.nonzero)  # sums of so many words fit four bytes
+
+    def sent(words: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        return _held([(share, -1, packed(words[part], rows[part])) for share, part in _shared(words, bits)])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen = 0
         for batch in batches:
             for _, _, data, bounds in each_slice(batch, limit=1 << 19):
                 hashes, first = tokens(data, bounds)
@@ -147,35 +193,43 @@ def word_sums(docs: DataFrame, p: QualityParameters) -> DataFrame:
                         for k in range(p.nonzero):
                             at, sign = row + places[context, k], signs[context, k]
                             total += np.bincount(at, weights=sign, minlength=total.size)
-                n = np.bincount(found, minlength=len(words))
-                sums = total.astype(np.int64).reshape(len(words), p.width)
-                held.append((words, np.concatenate([n[:, None], sums], axis=1)))
+                if held and seen + len(hashes) > most_seen:
+                    yield sent(*_merged(held))
+                    held, seen = [], 0
+                seen += len(hashes)
+                rows = np.empty((len(words), p.width + 1), np.int32 if seen <= most_seen else np.int64)
+                rows[:, 0] = np.bincount(found, minlength=len(words))
+                rows[:, 1:] = total.reshape(len(words), p.width)
+                held.append((words, rows))
                 if sum(len(w) for w, _ in held) > p.most_held:
                     held = [_merged(held)]
                     if len(held[0][0]) > p.most_held // 2:
-                        yield from _packed(*held.pop())
+                        yield sent(*held.pop())
+                        seen = 0
         if held:
-            yield from _packed(*_merged(held))
+            yield sent(*_merged(held))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_word: tuple[np.ndarray, np.ndarray] | None = None
-        for batch in batches:
-            if batch.num_rows:
-                words, rows = _merged([open_word] * (open_word is not None) + [_unpacked(batch, p)])
-                # The largest word of a batch, as Spark orders them, may go on in the next.
-                last = int(np.argmax(words.view(np.int64)))
-                open_word = words[last : last + 1], rows[last : last + 1]
-                yield from _packed(np.delete(words, last), np.delete(rows, last, axis=0))
-        if open_word is not None:
-            yield from _packed(*open_word)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
+        for share, _, body in _each(batches):
+            if share != now and held:
+                yield _held([(now, -1, packed(*_merged(held)))])
+                held = []
+            now = share
+            held.append(unpacked(body, p.width + 1))
+            if sum(len(w) for w, _ in held[1:]) > len(held[0][0]):
+                held = [_merged(held)]
+        if held:
+            yield _held([(now, -1, packed(*_merged(held)))])
 
-    schema = "word bigint, body binary"
-    partial = docs.select("text").mapInArrow(gather, schema)
-    return partial.repartition("word").sortWithinPartitions("word").mapInArrow(add, schema)
+    partial = docs.select("text").mapInArrow(gather, HELD)
+    return partial.repartition("share").sortWithinPartitions("share").mapInArrow(add, HELD)
 
 
 def word_vectors(docs: DataFrame, p: QualityParameters) -> DataFrame:
-    """(word, code): word vectors without their common direction, at unit length, in steps of 1/7.
+    """(share, home, body): word vectors without their common direction, at unit length, in steps of
+    1/7; ``body`` holds the words of a share and their codes, ``home`` is -1.
 
     Two steps share a byte. The sums are written once; only the common direction, one row a task,
     comes to the driver.
@@ -184,8 +238,8 @@ def word_vectors(docs: DataFrame, p: QualityParameters) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(p.width + 1, np.int64)
-        for batch in batches:
-            total += _unpacked(batch, p)[1].sum(axis=0)
+        for _, _, body in _each(batches):
+            total += unpacked(body, p.width + 1)[1].sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([c]) for c in total], names=[f"v{i}" for i in range(len(total))])
 
     shape = ", ".join(f"v{i} bigint" for i in range(p.width + 1))
@@ -193,15 +247,15 @@ def word_vectors(docs: DataFrame, p: QualityParameters) -> DataFrame:
     mean = np.array([v or 0 for v in added[1:]], float) / max(added[0] or 0, 1)
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, rows = _unpacked(batch, p)
+        for share, home, body in _each(batches):
+            words, rows = unpacked(body, p.width + 1)
             own = rows[:, 1:] / rows[:, :1] - mean
             own /= np.maximum(np.abs(own).max(axis=1, keepdims=True), 1e-9)
             step = np.rint(own * 7).astype(np.int8).view(np.uint8) & 15
-            code = _bodies(step[:, ::2] | step[:, 1::2] << 4, p.width // 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), code], names=["word", "code"])
+            code = (step[:, ::2] | step[:, 1::2] << 4).astype(np.int64)
+            yield _held([(share, home, packed(words, code))])
 
-    return sums.mapInArrow(unit, "word bigint, code binary")
+    return sums.mapInArrow(unit, HELD)
 
 
 def decoded(codes: np.ndarray) -> np.ndarray:
@@ -250,8 +304,10 @@ def with_features(
 
     ``rows`` is a stored table, or a function of one that keeps its order: it is read once for the
     words of its blocks and once for their texts, and a block whose words differ between the two
-    raises an error. A word is asked for once per block, so none is hotter than the number of blocks.
+    raises an error. A word is asked for once per block. The table's row of a share comes before the
+    asking blocks, which pass by it one by one. Texts travel compressed.
     """
+    bits = _bits(rows.sparkSession, p)
     names = [f"c{i}" for i in range(len(rows.columns))]
     text = names[rows.columns.index("text")]
     plain = rows.toDF(*names)
@@ -264,48 +320,53 @@ def with_features(
 
     def words_of(batch: pa.RecordBatch) -> np.ndarray:
         own = [np.unique(tokens(d, b)[0]) for _, _, d, b in each_slice(batch, text, 1 << 18)]
-        return np.unique(np.concatenate(own)).view(np.int64)
+        return np.unique(np.concatenate(own))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in blocks(batches):
             words = words_of(batch)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([_seal(words)], pa.binary()), pa.array([words])],
-                names=["home", "seal", "words"],
-            )
+            yield _held([(share, number, packed(words[part])) for share, part in _shared(words, bits)])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for share, home, body in _each(batches):
+            if share != now:
+                now, known, codes = share, np.zeros(0, np.uint64), np.zeros((1, p.width // 2), np.uint8)
+            if home == -1:
+                known, rows = unpacked(body, p.width // 2)
+                codes = np.zeros((len(known) + 1, p.width // 2), np.uint8)  # the last: words without a vector
+                codes[:-1] = rows
+            else:
+                words, _ = unpacked(body)
+                found = np.searchsorted(known, words)
+                found[np.append(known, np.uint64(0))[found] != words] = len(known)
+                yield _held([(share, home, _seal(words) + zstandard.compress(codes[found].tobytes()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in blocks(batches):
-            at = pa.array(np.full(batch.num_rows, number))
-            yield pa.RecordBatch.from_arrays([*batch.columns, at], names=[*names, "block"])
-
-    def meet(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        batch = texts.select(names).combine_chunks().to_batches()[0]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield _held([(-1, number, zstandard.compress(sink.getvalue()))])
+
+    def meet(block: pa.Table) -> pa.Table:
+        answers = {share: body for share, _, body in _each(block.to_batches())}
+        with pa.ipc.open_stream(zstandard.decompress(answers.pop(-1))) as stream:
+            batch = stream.read_next_batch()
         words = words_of(batch)
-        place = answers.column("place").to_numpy()
-        codes, ends = buffers(answers.column("code"))
-        seal = int(np.argmin(place)) if len(place) else 0
-        if not len(place) or codes[ends[seal] : ends[seal + 1]].tobytes() != _seal(words):
-            raise RuntimeError("rows changed between two reads: store the documents before they are scored")
-        real = place >= 0
-        known = np.zeros((len(words) + 1, p.width), np.float32)
-        known[place[real]] = decoded(codes[ends[:-1][real, None] + np.arange(p.width // 2)])
-        order = np.argsort(words.view(np.uint64))
-        known[:-1] = known[:-1][order]
-        words = words.view(np.uint64)[order]
-        found = [pooled(d, b, words, known, p) for _, _, d, b in each_slice(batch, text, 1 << 18)]
+        vectors = np.zeros((len(words) + 1, p.width), np.float32)
+        for share, part in _shared(words, bits):
+            body = answers.pop(share, b"")
+            if body[:32] != _seal(words[part]):
+                raise RuntimeError("rows changed between two reads: store the documents before they are scored")
+            codes = np.frombuffer(zstandard.decompress(body[32:]), np.uint8)
+            vectors[:-1][part] = decoded(codes.reshape(-1, p.width // 2))
+        found = [pooled(d, b, words, vectors, p) for _, _, d, b in each_slice(batch, text, 1 << 18)]
         return pa.Table.from_batches([emit(batch, np.concatenate(found))])
 
-    asked = kept(plain.mapInArrow(ask, "home bigint, seal binary, words array<bigint>"), "quality-asked")
-    answers = (
-        asked.select("home", F.posexplode("words").alias("place", "word"))
-        .join(vectors, "word").select("home", "place", "code")
-        .unionByName(asked.select("home", F.lit(-1).alias("place"), F.col("seal").alias("code")))
-    )
-    shape = T.StructType([*plain.schema.fields, T.StructField("block", T.LongType())])
-    return (
-        plain.mapInArrow(cut, shape).groupBy("block").cogroup(answers.groupBy("home")).applyInArrow(meet, schema)
-    )
+    asked = plain.mapInArrow(ask, HELD).unionByName(vectors)
+    answers = asked.repartition("share").sortWithinPartitions("share", "home").mapInArrow(answer, HELD)
+    return plain.mapInArrow(cut, HELD).unionByName(answers).groupBy("home").applyInArrow(meet, schema)
 
 
 def _seal(words: np.ndarray) -> bytes:
@@ -389,6 +450,7 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParameters | None = None
     without any label).
     """
     p = p or QualityParameters()
+    p = replace(p, share_bits=_bits(docs.sparkSession, p))
     vectors = word_vectors(docs, p)
     known = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").alias("label"))
