@@ -42,7 +42,7 @@ class QualityParameters:
     width: int = 32
     nonzero: int = 4
     reach: int = 2
-    block_bytes: int = 1 << 24
+    block_bytes: int = 1 << 25
     most_held: int = 240_000
     hidden: int = 24
     epochs: int = 400
@@ -178,7 +178,7 @@ def word_sums(docs: DataFrame, p: QualityParameters) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        seen = 0
+        seen = fresh = 0
         for batch in batches:
             for _, _, data, bounds in each_slice(batch, limit=1 << 19):
                 hashes, first = tokens(data, bounds)
@@ -195,15 +195,16 @@ def word_sums(docs: DataFrame, p: QualityParameters) -> DataFrame:
                             total += np.bincount(at, weights=sign, minlength=total.size)
                 if held and seen + len(hashes) > most_seen:
                     yield sent(*_merged(held))
-                    held, seen = [], 0
+                    held, seen, fresh = [], 0, 0
                 seen += len(hashes)
                 rows = np.empty((len(words), p.width + 1), np.int32 if seen <= most_seen else np.int64)
                 rows[:, 0] = np.bincount(found, minlength=len(words))
                 rows[:, 1:] = total.reshape(len(words), p.width)
                 held.append((words, rows))
-                if sum(len(w) for w, _ in held) > p.most_held:
-                    held = [_merged(held)]
-                    if len(held[0][0]) > p.most_held // 2:
+                fresh += len(words)
+                if fresh > p.most_held // 2:
+                    held, fresh = [_merged(held)], 0
+                    if len(held[0][0]) > p.most_held:
                         yield sent(*held.pop())
                         seen = 0
         if held:
