@@ -64,6 +64,13 @@ _MANIFEST_FIELDS = """
        else '' end as attr_head_bbox
 """
 
+_SCORES = """select 'q-' || lpad(cast(l_orderkey as string), 10, '0') as query_id,
+  'g-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string) || '-' ||
+    cast(l_suppkey as string) as gallery_id,
+  'side-' || lpad(cast(l_suppkey % 50 as string), 2, '0') as side_id,
+  l_orderkey % 4 = 0 as is_unknown,
+  {} as score from lineitem"""
+
 VIEWS: dict[str, str | dict[str, str]] = {
     "manifest_v": f"""select v, {_MANIFEST_FIELDS} from (
   select vec_id as v, cast(floor(vec_id / 20) as bigint) as individual,
@@ -367,12 +374,11 @@ VIEWS: dict[str, str | dict[str, str]] = {
         "check": "select 'p-' || cast(event_id as string) as patch_id, event_id as n from events",
     },
     # image-level scores: one order is one query photo, each line one gallery photo
-    "scores_v": """select 'q-' || lpad(cast(l_orderkey as string), 10, '0') as query_id,
-  'g-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string) || '-' ||
-    cast(l_suppkey as string) as gallery_id,
-  'side-' || lpad(cast(l_suppkey % 50 as string), 2, '0') as side_id,
-  l_orderkey % 4 = 0 as is_unknown,
-  round(l_extendedprice / 110000, 2) as score from lineitem""",
+    "scores_v": {
+        # rounded as binary numbers; Spark's round(x, 2) would round the decimal digits that x is shown with
+        "spark": _SCORES.format("round(l_extendedprice / 110000 * 100, 0) / 100"),
+        "check": _SCORES.format("round(l_extendedprice / 110000, 2)"),
+    },
     "truth_v": """select 'q-' || lpad(cast(l_orderkey as string), 10, '0') as query_id,
   'side-' || lpad(cast(max(l_linenumber * 1000 + l_suppkey % 50) % 1000 as string), 2, '0')
     as side_id,
