@@ -6,7 +6,8 @@ whole numbers, one for each word of the corpus, so the table grows with the voca
 on how the rows are dealt. Words travel packed: a row holds the words of one share (a range of hashes)
 of one task or block, in order and compressed. To be scored, documents are cut into blocks of bounded
 bytes; each block asks the table once for each of its distinct words, share by share, and meets the
-answers in one task.
+answers in one task. There its texts stand as ranks of its words by frequency, which take less room
+than the texts do.
 Documents are pooled by mean, spread and change from word to word. Runs of digits are words by their
 length alone.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spoorline.llm.store import kept
+from spoorline.llm.store import dropped, kept
 from spoorline.llm.words import _power, each_slice, mix
 
 SPACE, LETTER, DIGIT, MARK = 0, 1, 2, 3
@@ -116,22 +117,22 @@ def packed(words: np.ndarray, rows: np.ndarray | None = None) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(body)
 
 
+def _numbers(data: np.ndarray, at: int, size: int, kind: type = np.uint64) -> tuple[np.ndarray, int]:
+    """The numbers of ``_planes`` that begin at a byte, and the byte after them."""
+    out, depth = np.zeros(size, kind), int(data[at])
+    for i in range(depth):
+        plane = data[at + 1 + i * size : at + 1 + (i + 1) * size]
+        out |= plane.astype(kind) << kind(8 * i)
+    return out, at + 1 + depth * size
+
+
 def unpacked(body: bytes, columns: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(words, rows) of ``packed``."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
-    n, at = int(data[:8].view(np.uint64)[0]), 8
-
-    def numbers(size: int) -> np.ndarray:
-        nonlocal at
-        out, depth = np.zeros(size, np.uint64), int(data[at])
-        for i in range(depth):
-            plane = data[at + 1 + i * size : at + 1 + (i + 1) * size]
-            out |= plane.astype(np.uint64) << np.uint64(8 * i)
-        at += 1 + depth * size
-        return out
-
-    words = np.cumsum(numbers(n), dtype=np.uint64)
-    folded = numbers(n * columns) if columns else np.zeros(0, np.uint64)
+    n = int(data[:8].view(np.uint64)[0])
+    steps, at = _numbers(data, 8, n)
+    words = np.cumsum(steps, dtype=np.uint64)
+    folded = _numbers(data, at, n * columns)[0] if columns else np.zeros(0, np.uint64)
     rows = (folded >> np.uint64(1)).view(np.int64) ^ -(folded & np.uint64(1)).view(np.int64)
     return words, rows.reshape(n, columns)
 
@@ -148,6 +149,7 @@ def _shared(words: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(share), slice(int(edges[share]), int(edges[share + 1]))
 
 
+ROWS, SEALS, TEXTS = -1, -2, -3  # in place of a share: what a block sends of itself
 HELD = "share int, home bigint, body binary"
 
 
@@ -266,18 +268,47 @@ def decoded(codes: np.ndarray) -> np.ndarray:
     return own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
 
 
-def pooled(
-    data: np.ndarray, bounds: np.ndarray, words: np.ndarray, vectors: np.ndarray, p: QualityParameters
-) -> np.ndarray:
+def worded(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending distinct words of a column, each word of its texts as a place among them, words a text)."""
+    held, sizes = [], []
+    for _, _, data, bounds in each_slice(batch, column, 1 << 18):
+        hashes, first = tokens(data, bounds)
+        own, found = np.unique(hashes, return_inverse=True)
+        held.append((own, found.astype(np.uint32)))
+        sizes.append(np.diff(first))
+    words = np.unique(np.concatenate([own for own, _ in held]))
+    places = [np.searchsorted(words, own).astype(np.uint32)[found] for own, found in held]
+    return words, np.concatenate(places), np.concatenate(sizes)
+
+
+def spelled(places: np.ndarray, sizes: np.ndarray) -> bytes:
+    """``places`` and ``sizes`` of ``worded``, compressed: frequent words are small numbers."""
+    counts = np.bincount(places)
+    rank = np.empty(len(counts), np.uint32)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts), dtype=np.uint32)
+    body = np.array([len(counts), len(sizes), len(places)], np.uint64).tobytes()
+    body += _planes(counts) + _planes(sizes) + _planes(rank[places])
+    far = zstandard.ZstdCompressionParameters.from_level(3, window_log=25, enable_ldm=True)
+    return zstandard.ZstdCompressor(compression_params=far).compress(body)
+
+
+def unspelled(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, sizes) of ``spelled``."""
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+    n, texts, length = (int(v) for v in data[:24].view(np.uint64))
+    counts, at = _numbers(data, 24, n)
+    sizes, at = _numbers(data, at, texts)
+    ranks, _ = _numbers(data, at, length, np.uint32)
+    order = np.argsort(-counts.astype(np.int64), kind="stable").astype(np.uint32)
+    return order[ranks], sizes.astype(np.int64)
+
+
+def pooled(places: np.ndarray, n: np.ndarray, vectors: np.ndarray, p: QualityParameters) -> np.ndarray:
     """One row per text: mean, spread and mean change of its word vectors, and its log length.
 
-    ``words`` ascend; ``vectors`` has one row more than they, of zeros, for words without a vector.
+    ``places`` and ``n`` are those of ``worded``; ``vectors`` has one row for each distinct word.
     """
-    hashes, first = tokens(data, bounds)
-    found = np.searchsorted(words, hashes)
-    found[np.append(words, np.uint64(0))[found] != hashes] = len(words)
-    n = np.diff(first)
-    text = np.repeat(np.arange(len(n)), n)
+    found, text = places, np.repeat(np.arange(len(n), dtype=np.int32), n)
     sums = np.zeros((len(n), 3 * p.width))
     for low in range(0, len(found), 1 << 15):
         part = slice(low, low + (1 << 15))
@@ -300,18 +331,21 @@ def with_features(
     p: QualityParameters,
     emit: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch],
     schema: T.StructType | str,
+    whole: bool = False,
 ) -> DataFrame:
-    """``emit(rows of a block, their features)`` for all rows; they have a column ``text``.
+    """``emit(rows of a block, their features)`` for all rows; they have a column ``text``, which
+    ``emit`` gets only if ``whole``.
 
     ``rows`` is a stored table, or a function of one that keeps its order: it is read once for the
     words of its blocks and once for their texts, and a block whose words differ between the two
     raises an error. A word is asked for once per block. The table's row of a share comes before the
-    asking blocks, which pass by it one by one. Texts travel compressed.
+    asking blocks, which pass by it one by one. Texts travel compressed, as ranks of words unless ``whole``.
     """
     bits = _bits(rows.sparkSession, p)
     names = [f"c{i}" for i in range(len(rows.columns))]
     text = names[rows.columns.index("text")]
     plain = rows.toDF(*names)
+    sent = names if whole else [n for n in names if n != text]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         numbers = count(TaskContext.get().partitionId() << 40)
@@ -323,6 +357,9 @@ def with_features(
         own = [np.unique(tokens(d, b)[0]) for _, _, d, b in each_slice(batch, text, 1 << 18)]
         return np.unique(np.concatenate(own))
 
+    def seals(words: np.ndarray) -> bytes:
+        return b"".join(np.uint32(share).tobytes() + _seal(words[part]) for share, part in _shared(words, bits))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in blocks(batches):
             words = words_of(batch)
@@ -346,24 +383,32 @@ def with_features(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in blocks(batches):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as stream:
-                stream.write_batch(batch)
-            yield _held([(-1, number, zstandard.compress(sink.getvalue()))])
+            with pa.ipc.new_stream(sink, batch.select(sent).schema) as stream:
+                stream.write_batch(batch.select(sent))
+            parts = [(ROWS, number, zstandard.compress(sink.getvalue()))]
+            if not whole:
+                words, places, sizes = worded(batch, text)
+                parts += [(SEALS, number, seals(words)), (TEXTS, number, spelled(places, sizes))]
+            yield _held(parts)
 
     def meet(block: pa.Table) -> pa.Table:
-        answers = {share: body for share, _, body in _each(block.to_batches())}
-        with pa.ipc.open_stream(zstandard.decompress(answers.pop(-1))) as stream:
+        parts = {share: body for share, _, body in _each(block.to_batches())}
+        with pa.ipc.open_stream(zstandard.decompress(parts.pop(ROWS))) as stream:
             batch = stream.read_next_batch()
-        words = words_of(batch)
-        vectors = np.zeros((len(words) + 1, p.width), np.float32)
-        for share, part in _shared(words, bits):
-            body = answers.pop(share, b"")
-            if body[:32] != _seal(words[part]):
-                raise RuntimeError("rows changed between two reads: store the documents before they are scored")
-            codes = np.frombuffer(zstandard.decompress(body[32:]), np.uint8)
-            vectors[:-1][part] = decoded(codes.reshape(-1, p.width // 2))
-        found = [pooled(d, b, words, vectors, p) for _, _, d, b in each_slice(batch, text, 1 << 18)]
-        return pa.Table.from_batches([emit(batch, np.concatenate(found))])
+        if whole:
+            words, places, sizes = worded(batch, text)
+            own = seals(words)
+        else:
+            own = parts.pop(SEALS)
+            places, sizes = unspelled(parts.pop(TEXTS))
+        shares = sorted(parts)  # ranges of hashes, so the words of one follow those of another
+        if own != b"".join(np.uint32(share).tobytes() + parts[share][:32] for share in shares):
+            raise RuntimeError("rows changed between two reads: store the documents before they are scored")
+        codes = [np.frombuffer(zstandard.decompress(parts.pop(share)[32:]), np.uint8) for share in shares]
+        vectors = np.concatenate([np.zeros((0, p.width), np.float32)] + [
+            decoded(c.reshape(-1, p.width // 2)) for c in codes
+        ])
+        return pa.Table.from_batches([emit(batch, pooled(places, sizes, vectors, p))])
 
     asked = plain.mapInArrow(ask, HELD).unionByName(vectors)
     answers = asked.repartition("share").sortWithinPartitions("share", "home").mapInArrow(answer, HELD)
@@ -470,11 +515,12 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParameters | None = None
 
     def features(batch: pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
         body = pa.array([r.tobytes() for r in rows], pa.binary())
-        columns = [batch.column(0), batch.column(2), batch.column(3), body]
+        columns = [*batch.columns, body]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "fold", "body"])
 
     schema = "doc_id bigint, label int, fold int, body binary"
     rows = with_features(sample, vectors, p, features, schema).collect()  # bounded by `most_labels`
+    dropped(sample)
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["body"])))
     none = np.zeros(1)
     if not rows:
@@ -516,7 +562,7 @@ def accepted(docs: DataFrame, model: QualityModel) -> DataFrame:
         good = batch.filter(pa.array(network.probabilities(rows) >= threshold))
         return pa.RecordBatch.from_arrays(good.columns, names=names)
 
-    return with_features(docs, model.vectors, model.parameters, run, docs.schema)
+    return with_features(docs, model.vectors, model.parameters, run, docs.schema, whole=True)
 
 
 def judged(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -1,12 +1,15 @@
 import zlib
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from spoorline.llm import quality
 from spoorline.llm.quality import QualityParameters, index_vectors, judged, tokens, train, word_sums, word_vectors
+from spoorline.session import shared_dir
 
 SF = "/root/testdata/sf0.01"
 
@@ -106,3 +109,27 @@ def test_temperature_softens_overconfident_logits():
     z = rng.normal(0, 2, 4000)
     y = (rng.random(4000) < 1 / (1 + np.exp(-z))).astype(float)
     assert abs(quality.temperature(3 * z, y) - 3) < 0.4
+
+
+def test_texts_travel_as_ranks_of_words_in_less_room(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas()
+    texts = [*docs.text, None, "", "Zorb"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    words, places, sizes = quality.worded(batch, "text")
+    body = quality.spelled(places, sizes)
+    got, n = quality.unspelled(body)
+    found = [tokens(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0] for t in texts]
+    assert (words[got] == np.concatenate(found)).all() and n.tolist() == [len(f) for f in found]
+    assert len(body) < 0.85 * len(zstandard.compress("".join(docs.text.dropna()).encode()))
+    for odd in ([None], [""], [" "], ["a"]):
+        places, sizes = quality.worded(pa.RecordBatch.from_arrays([pa.array(odd, pa.string())], names=["text"]), "text")[1:]
+        assert [v.tolist() for v in quality.unspelled(quality.spelled(places, sizes))] == [places.tolist(), sizes.tolist()]
+
+
+def test_training_leaves_only_the_table_of_words(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    model = train(docs, labels, QualityParameters(epochs=5))
+    assert [f.name.rsplit("-", 1)[0] for f in set(shared.iterdir()) - before] == ["quality-words"]
+    assert judged(docs, model).count() == docs.count()
