@@ -156,3 +156,15 @@ def test_boundaries(spark, rings, code):
         [("z", [rings]), ("none", None)], f"id string, boundary {validate.BOUNDARY}"
     )
     assert [r["code"] for r in validate.boundary_errors(df).collect()] == ([code] if code else [])
+
+
+def test_rules_are_compiled_and_keys_are_sorted_by_a_hash_first(spark):
+    rows = [("a", "x" * 40 + "1"), ("b", "x" * 40 + "1"), ("c", None), ("d", None), ("e", "x" * 40 + "2")]
+    df = spark.createDataFrame(rows, "id string, name string")
+    found = validate.errors(df, "id", [(F.col("name").endswith("1"), "name", "end", "m"), (F.col("id") < "c", "id", "low", "m")])
+    assert sorted((r.entity_id, r.code) for r in found.collect()) == [("a", "end"), ("a", "low"), ("b", "end"), ("b", "low")]
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    taken = validate.duplicates(df, {"_k": F.col("name")}, "id", "name", "unique", "taken")
+    assert [tuple(r) for r in taken.collect()] == [("a", "name", "unique", "taken (2 rows)")]
+    plan = taken._jdf.queryExecution().executedPlan().toString()
+    assert all("_hash" in line or "_groupingexpression" in line for line in plan.splitlines() if "Sort [" in line)
