@@ -395,20 +395,24 @@ def with_features(
         parts = {share: body for share, _, body in _each(block.to_batches())}
         with pa.ipc.open_stream(zstandard.decompress(parts.pop(ROWS))) as stream:
             batch = stream.read_next_batch()
-        if whole:
-            words, places, sizes = worded(batch, text)
+        if whole:  # slice by slice: the texts are held already
+            words = words_of(batch)
             own = seals(words)
+            read = (tokens(d, b) for _, _, d, b in each_slice(batch, text, 1 << 18))
+            texts = ((np.searchsorted(words, hashes), np.diff(first)) for hashes, first in read)
         else:
             own = parts.pop(SEALS)
-            places, sizes = unspelled(parts.pop(TEXTS))
+            texts = iter([unspelled(parts.pop(TEXTS))])
         shares = sorted(parts)  # ranges of hashes, so the words of one follow those of another
         if own != b"".join(np.uint32(share).tobytes() + parts[share][:32] for share in shares):
             raise RuntimeError("rows changed between two reads: store the documents before they are scored")
-        codes = [np.frombuffer(zstandard.decompress(parts.pop(share)[32:]), np.uint8) for share in shares]
-        vectors = np.concatenate([np.zeros((0, p.width), np.float32)] + [
-            decoded(c.reshape(-1, p.width // 2)) for c in codes
-        ])
-        return pa.Table.from_batches([emit(batch, pooled(places, sizes, vectors, p))])
+        codes = [zstandard.decompress(parts.pop(share)[32:]) for share in shares]
+        edges = np.cumsum([0] + [2 * len(c) // p.width for c in codes])
+        vectors = np.zeros((edges[-1], p.width), np.float32)
+        for low, high, code in zip(edges, edges[1:], codes):
+            vectors[low:high] = decoded(np.frombuffer(code, np.uint8).reshape(-1, p.width // 2))
+        found = [pooled(places, sizes, vectors, p) for places, sizes in texts]
+        return pa.Table.from_batches([emit(batch, np.concatenate(found))])
 
     asked = plain.mapInArrow(ask, HELD).unionByName(vectors)
     answers = asked.repartition("share").sortWithinPartitions("share", "home").mapInArrow(answer, HELD)
