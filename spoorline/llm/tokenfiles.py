@@ -119,6 +119,41 @@ def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
     return tuple((t["content"], t["id"]) for t in tokens)
 
 
+class Remembered:
+    """Numbers from 0 for 64-bit hashes, in an open table of NumPy arrays: a batch costs a few gathers."""
+
+    def __init__(self, room: int):
+        slots = 1 << (2 * room).bit_length()
+        self.mask = slots - 1
+        self.keys, self.numbers = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+        self.count = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        at = hashes.view(np.int64) & self.mask
+        out = self.numbers.take(at)
+        other = np.flatnonzero((self.keys.take(at) != hashes) & (out >= 0))
+        at, wanted = at[other], hashes[other]
+        while len(other):
+            at = (at + 1) & self.mask
+            out[other] = found = self.numbers.take(at)
+            on = (self.keys.take(at) != wanted) & (found >= 0)
+            other, at, wanted = other[on], at[on], wanted[on]
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Number hashes that differ from each other and from all that have a number."""
+        numbers = np.arange(self.count, self.count + len(hashes), dtype=np.int32)
+        self.count += len(hashes)
+        at = hashes.view(np.int64) & self.mask
+        while len(at):
+            free = self.numbers[at] < 0
+            self.numbers[at[free]] = numbers[free]
+            mine = self.numbers[at] == numbers  # one of those that meet in a place
+            self.keys[at[mine]] = hashes[mine]
+            at, numbers, hashes = (at[~mine] + 1) & self.mask, numbers[~mine], hashes[~mine]
+
+
 class IdEncoder:
     """Ids of texts by a tokenizer file; remembers the ids of pre-tokens.
 
@@ -136,12 +171,12 @@ class IdEncoder:
         self.cut = re.compile("|".join(map(re.escape, longest)))
         self.letters = _byte_letters()
         self.remembered = remembered
-        self.forget()
+        self.forget(remembered)
 
-    def forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.first = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint16)
+    def forget(self, room: int) -> None:
+        self.place = Remembered(room)
+        self.first = np.zeros(room + 1, np.int64)
+        self.flat = np.zeros(4 * room, np.uint16)
 
     def _added_at(self, text: str, edges: np.ndarray) -> np.ndarray:
         """First code point and end of every added token, one after the other; none reaches over an edge."""
@@ -151,12 +186,34 @@ class IdEncoder:
         found = (m.span() for low, high in pairwise(ends) for m in self.cut.finditer(text, low, high))
         return np.fromiter(chain.from_iterable(found), np.int64)
 
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Encode and remember words that have no place yet."""
+        # The byte 0xFF is in no UTF-8 text, so its letter separates words.
+        letters = b"\xff".join(map(str.encode, words)).decode("latin-1").translate(self.letters).split(self.letters[0xFF])
+        tokenize = self.model.tokenize
+        if self.added.keys().isdisjoint(words):
+            found = [[t.id for t in tokenize(w)] for w in letters]
+        else:  # every added token was cut out, so a pre-token that equals one is one
+            found = [
+                [self.added[w]] if w in self.added else [t.id for t in tokenize(x)]
+                for w, x in zip(words, letters, strict=True)
+            ]
+        known = self.place.count
+        self.place.add(hashes)
+        ends = self.first[known] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self.first[known + 1 : known + 1 + len(ends)] = ends
+        if ends[-1] > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros(ends[-1], np.uint16)]
+        self.flat[self.first[known] : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint16)
+
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text's ids) of UTF-8 bytes."""
         text = data.tobytes().decode("utf-8", "replace")
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        glyphs = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-        edges = glyphs[bounds]
+        if text.isascii():
+            points, edges = data, bounds
+        else:
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            edges = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][bounds]
         tokens = self._added_at(text, edges)
         starts = pretoken_starts(points, np.r_[edges, tokens] if len(tokens) else edges)
         if len(tokens):  # a start strictly inside an added token follows its first code point only
@@ -165,29 +222,26 @@ class IdEncoder:
         n = len(points)
         up, down = _power(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_characters()[1][points] * up[:n], out=sums[1:])
+        np.cumsum(_characters()[1].take(points) * up[:n], out=sums[1:])
         ends = np.append(starts[1:], n)
-        hashes = mix((sums[ends] - sums[starts]) * down[starts])
-        unique, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.place) + len(unique) > self.remembered:
-            self.forget()
-        index = np.fromiter(map(self.place.get, unique.tolist(), [-1] * len(unique)), np.int64, len(unique))
-        fresh = np.flatnonzero(index < 0)
+        bits = sums.take(np.append(starts, n))
+        hashes = mix((bits[1:] - bits[:-1]) * down.take(starts))
+        token = self.place.find(hashes)
+        fresh = np.flatnonzero(token < 0)
         if len(fresh):
-            words = [text[starts[i] : ends[i]] for i in sample[fresh]]
-            # Every added token was cut out, so a pre-token that equals one is one.
-            letters = (w if w in self.added else w.encode().decode("latin-1").translate(self.letters) for w in words)
-            found = [[self.added[w]] if w in self.added else [t.id for t in self.model.tokenize(w)] for w in letters]
-            base = len(self.first) - 1
-            self.place.update(zip(unique[fresh].tolist(), range(base, base + len(fresh)), strict=True))
-            index[fresh] = np.arange(base, base + len(fresh))
-            sizes = np.array([len(x) for x in found])
-            self.first = np.r_[self.first, self.first[-1] + np.cumsum(sizes)]
-            self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(found), np.uint16)]
-        token = index[inverse]
-        sizes = self.first[token + 1] - self.first[token]
+            unique, sample = np.unique(hashes[fresh], return_index=True)
+            if self.place.count + len(unique) > self.remembered:
+                unique, sample = np.unique(hashes, return_index=True)
+                fresh = np.arange(len(hashes))
+                self.forget(max(self.remembered, len(unique)))
+            sample = fresh[sample]
+            spans = zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)
+            self._learn(unique, [text[low:high] for low, high in spans])
+            token[fresh] = self.place.find(hashes[fresh])
+        begin = self.first.take(token)
+        sizes = self.first.take(token + 1) - begin
         upto = np.r_[0, np.cumsum(sizes)]
-        ids = self.flat[np.repeat(self.first[token] - upto[:-1], sizes) + np.arange(upto[-1])]
+        ids = self.flat.take(np.repeat(begin - upto[:-1], sizes) + np.arange(upto[-1]))
         return ids, upto[np.searchsorted(starts, edges[1:])]
 
 
@@ -203,6 +257,7 @@ _WEIGHT = 12  # mixing weights sum to 2**12
 _LEAST = np.uint64(1 << 48)
 _SLOTS = 256
 _NONE = 0xFFFF  # no prediction yet
+_TOGETHER = 2048  # blocks coded in step: their arrays stay in a core's cache
 _STARTING = (256, 700, 1400, 2000)  # success rates out of 2**12, by confidence
 
 
@@ -217,137 +272,211 @@ def order0(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Mixer:
-    """The predictions of all blocks of a file at one step, and their adaptive mixing.
+    """The predictions of all blocks at one step, and their adaptive mixing.
 
     A table entry holds a predicted id and its confidence from 0 to 3. The two rates together stay
-    below 2**12, so order 0 always has some weight.
+    below 2**12, so order 0 always has some weight, and above 0. Row 0 of every array is order 2, row 1
+    order 1; the arrays are made once and filled at each step, and choices are products with 0 or 1.
     """
 
-    def __init__(self, blocks: int):
-        self.cells = 4 * np.arange(blocks)
-        self.base = _SLOTS * np.arange(blocks)
-        self.table = [np.full(blocks * _SLOTS, _NONE << 2, np.int32) for _ in range(2)]
-        self.rate = [np.tile(np.array(_STARTING, np.int32), blocks) for _ in range(2)]
-        self.before = np.zeros(blocks, np.int64)
-        self.slot = [self.base, self.base]
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(order-2 id, its weight, order-1 id, its weight); order 0 has what is left of 2**12."""
-        self.entry = [t.take(s) for t, s in zip(self.table, self.slot, strict=True)]
-        self.guess = [e >> 2 for e in self.entry]
-        self.trust = [e & 3 for e in self.entry]
-        self.cell = [self.cells + t for t in self.trust]
-        self.weight = [r.take(c) for r, c in zip(self.rate, self.cell, strict=True)]
-        two, one = self.guess
-        return two, self.weight[0], one, self.weight[1] * (two != one)
-
-    def update(self, ids: np.ndarray, small: np.ndarray) -> None:
-        """``small`` holds the ids as 32-bit numbers."""
-        fresh = small << 2
-        for k in range(2):
-            hit = self.guess[k] == small
-            rate = self.weight[k]
-            goal = hit * np.int32(1976) + np.int32(24)
-            self.rate[k][self.cell[k]] = rate + ((goal - rate) >> 4)
-            self.table[k][self.slot[k]] = np.where(hit, self.entry[k] + (self.trust[k] < 3), fresh)
-        one = ids * 40503
-        self.slot = [
-            self.base + (((one + self.before) >> 3) & (_SLOTS - 1)), self.base + ((one >> 4) & (_SLOTS - 1))
-        ]
-        self.before = ids * 60493
+    def __init__(self, blocks: int, freq: np.ndarray, below: np.ndarray):
+        both = (2, blocks)
+        self.cells = 4 * np.arange(2 * blocks).reshape(both)
+        self.base = _SLOTS * np.arange(2 * blocks).reshape(both)
+        self.table = np.full(2 * blocks * _SLOTS, _NONE << 2, np.int32)
+        self.rate = np.tile(np.array(_STARTING, np.int32), 2 * blocks)
+        self.slot, self.cell = self.base.copy(), self.cells.copy()
+        self.entry, self.guess, self.trust, self.old, self.weight, self.hit, self.work = np.zeros((7, *both), np.int32)
+        self.one, self.before = np.zeros((2, blocks), np.uint32)
+        self.miss, self.left = np.zeros((2, blocks), np.int32)
+        # Two 32-bit halves of one 64-bit number: sizes below, starts above.
+        self.ranges = (below[:-1].astype(np.uint64) << np.uint64(32)) | freq.astype(np.uint64)
+        self.halves = np.zeros((2, blocks, 2), np.int32)
+        self.known, self.rest = self.halves.view(np.uint64)[..., 0]
+        self.zero = np.zeros(blocks, np.uint64)
+        self.start, self.size = np.zeros((2, blocks), np.uint64)
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, weights) of order 2 and order 1; order 0 has what is left of 2**12."""
+        self.table.take(self.slot, out=self.entry, mode="clip")
+        np.right_shift(self.entry, 2, out=self.guess)
+        np.bitwise_and(self.entry, 3, out=self.trust)
+        np.add(self.cells, self.trust, out=self.cell)
+        self.rate.take(self.cell, out=self.old, mode="clip")
+        self.weight[0] = self.old[0]
+        np.not_equal(self.guess[0], self.guess[1], out=self.miss)
+        np.multiply(self.old[1], self.miss, out=self.weight[1])
+        np.subtract(1 << _WEIGHT, self.weight[0], out=self.left)
+        np.subtract(self.left, self.weight[1], out=self.left)
+        return self.guess, self.weight
+
+    def ranged(self, hit: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) out of 2**32 of each id; ``hit`` tells with 0 or 1 by which order it is coded."""
+        used, above = np.multiply(hit, self.weight, out=self.work)
+        np.add(used, above, out=self.halves[0, :, 0])
+        np.equal(self.halves[0, :, 0], 0, out=self.miss)
+        np.multiply(self.left, self.miss, out=self.halves[1, :, 0])
+        np.subtract(self.weight[0], used, out=used)
+        np.multiply(self.weight[1], self.miss, out=above)
+        np.add(used, above, out=self.halves[0, :, 1])
+        self.ranges.take(ids, out=self.start, mode="clip")
+        np.multiply(self.start, self.rest, out=self.start)
+        np.left_shift(self.known, np.uint64(_BITS0), out=self.size)
+        np.add(self.start, self.size, out=self.size)
+        np.right_shift(self.size, np.uint64(32), out=self.start)
+        np.bitwise_and(self.size, np.uint64(0xFFFFFFFF), out=self.size)
+        return self.start, self.size
+
+    def update(self, small: np.ndarray, hit: np.ndarray) -> None:
+        """``small`` holds the ids as 32-bit numbers; ``hit`` tells which orders predicted them."""
+        work = self.work
+        np.multiply(hit, 1976, out=work)
+        work += 24
+        work -= self.old
+        work >>= 4
+        work += self.old
+        self.rate[self.cell] = work
+        np.add(self.trust, 1, out=work)
+        np.minimum(work, 3, out=work)
+        work *= hit
+        work += small << 2
+        self.table[self.slot] = work
+        ids = small.view(np.uint32)
+        np.multiply(ids, np.uint32(40503), out=self.one)
+        self.before += self.one
+        self.before >>= np.uint32(3)
+        self.before &= np.uint32(_SLOTS - 1)
+        np.add(self.base[0], self.before, out=self.slot[0])
+        self.one >>= np.uint32(4)
+        self.one &= np.uint32(_SLOTS - 1)
+        np.add(self.base[1], self.one, out=self.slot[1])
+        np.multiply(ids, np.uint32(60493), out=self.before)
 
 
 def encode_blocks(ids: np.ndarray, block: int, freq: np.ndarray, below: np.ndarray) -> list[np.ndarray]:
     """16-bit words of each block of ``block`` ids; the last one is filled up with its last id."""
     blocks = -(-len(ids) // block)
-    grid = np.full(blocks * block, ids[-1], np.int64)
+    grid = np.full(blocks * block, ids[-1], np.int32)
     grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(blocks, block).T)
+    grid = grid.reshape(blocks, block)
+    parts = (grid[i : i + _TOGETHER] for i in range(0, blocks, _TOGETHER))
+    return list(chain.from_iterable(_encode_grid(np.ascontiguousarray(part.T), freq, below) for part in parts))
+
+
+def _encode_grid(grid: np.ndarray, freq: np.ndarray, below: np.ndarray) -> list[np.ndarray]:
+    """The words of the blocks that are the columns of the grid.
+
+    A step notes the upper half of ``low`` and how many words of it go out; words and carries are
+    gathered from the notes when all steps are done.
+    """
+    block, blocks = grid.shape
     low, span = np.zeros(blocks, np.uint64), np.full(blocks, (1 << 64) - 1, np.uint64)
-    words = np.zeros((2 * block + 8, blocks), np.int32)  # a carry may make a word 2**16 until the end
-    at = np.zeros(blocks, np.int64)
-    mixer = Mixer(blocks)
-    for own, small in zip(grid, grid.astype(np.int32), strict=True):
-        two, w2, one, w1 = mixer.predict()
-        c2, c1 = w2.astype(np.int64) << _BITS0, w1.astype(np.int64) << _BITS0
-        w0 = (1 << _WEIGHT) - w2 - w1
-        hit2, hit1 = two == small, (one == small) & (w1 > 0)
-        start = np.where(hit1, c2, c2 + c1 + w0 * below.take(own))
-        size = np.where(hit1, c1, w0 * freq.take(own))
-        sure = np.flatnonzero(hit2)
-        start[sure], size[sure] = 0, c2[sure]
-        unit = span >> np.uint64(32)
-        before = low
-        low = low + unit * start.view(np.uint64)
-        span = unit * size.view(np.uint64)
-        carry = np.flatnonzero(low < before)
-        words[at[carry] - 1, carry] += 1
-        go = np.flatnonzero(span < _LEAST)
-        while len(go):
-            part = low[go]
-            words[at[go], go] = part >> np.uint64(48)
-            at[go] += 1
-            low[go] = part << np.uint64(16)
-            wide = span[go] << np.uint64(16)
-            span[go] = wide
-            go = go[wide < _LEAST]
-        mixer.update(own, small)
-    every = np.arange(blocks)
-    for _ in range(4):
-        words[at, every] = low >> np.uint64(48)
-        at += 1
-        low <<= np.uint64(16)
-    for k in range(len(words) - 1, 0, -1):
-        words[k - 1] += words[k] >> 16
-    whole = (words.T & 0xFFFF).astype(np.uint16)
-    return [whole[i, : at[i]] for i in range(blocks)]
+    unit, shift = np.zeros((2, blocks), np.uint64)
+    high = np.zeros((block + 2, blocks), np.uint32)
+    sent = np.full((block + 2, blocks), 2, np.uint8)
+    carried = np.zeros((block + 2, blocks), bool)
+    few, fewer = np.zeros((2, blocks), bool)
+    mixer = Mixer(blocks, freq, below)
+    for t, small in enumerate(grid):
+        guess, _ = mixer.predict()
+        hit = np.equal(guess, small, out=mixer.hit)
+        start, size = mixer.ranged(hit, small)
+        np.right_shift(span, np.uint64(32), out=unit)
+        np.multiply(unit, start, out=start)
+        np.add(low, start, out=low)
+        np.less(low, start, out=carried[t])
+        np.multiply(unit, size, out=span)
+        high[t] = low.view(np.uint32)[1::2]
+        np.less(span, _LEAST, out=few)
+        np.less(span, _LEAST >> np.uint64(16), out=fewer)
+        np.add(few.view(np.uint8), fewer.view(np.uint8), out=sent[t])
+        np.multiply(sent[t], np.uint64(16), out=shift)
+        np.left_shift(low, shift, out=low)
+        np.left_shift(span, shift, out=span)
+        mixer.update(small, hit)
+    high[block], high[block + 1] = low >> np.uint64(32), low
+    high, sent = np.ascontiguousarray(high.T), np.ascontiguousarray(sent.T)
+    there = np.stack([sent > 0, sent > 1], axis=-1)
+    words = ((high << np.uint32(16)) | (high >> np.uint32(16))).view(np.uint16).reshape(there.shape)[there].astype(np.int32)
+    upto = np.cumsum(sent.reshape(-1), dtype=np.int64)
+    carry = np.flatnonzero(np.ascontiguousarray(carried.T))
+    over = upto[carry - 1] - 1  # the last word sent before the step
+    words[over] += 1
+    over = over[words[over] > 0xFFFF]
+    while len(over):
+        words[over] = 0
+        over = over - 1
+        words[over] += 1
+        over = over[words[over] > 0xFFFF]
+    return np.split(words.astype(np.uint16), upto[block + 1 :: block + 2][:-1])
 
 
 def decode_blocks(
     words: np.ndarray, sizes: np.ndarray, count: int, block: int, freq: np.ndarray, below: np.ndarray
 ) -> np.ndarray:
     """The ``count`` ids of blocks whose words stand one after the other."""
-    blocks = len(sizes)
-    symbol = np.repeat(np.arange(len(freq), dtype=np.uint16), freq)
-    padded = np.r_[words, np.zeros(8, np.uint16)].astype(np.uint64)
-    top = len(padded) - 1  # damaged words must not lead beyond the end; the checksum tells
-    at = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-    span, code = np.full(blocks, (1 << 64) - 1, np.uint64), np.zeros(blocks, np.uint64)
-    for _ in range(4):
-        code = (code << np.uint64(16)) | padded[np.minimum(at, top)]
-        at += 1
+    symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+    # Damaged words must not lead beyond the end; the checksum tells.
+    padded = np.r_[words, np.zeros(8, np.uint16)].astype(np.uint32)
+    ahead = (padded[:-1] << np.uint32(16)) | padded[1:]
+    first = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
+    parts = (first[i : i + _TOGETHER] for i in range(0, len(first), _TOGETHER))
+    return np.concatenate([_decode_grid(ahead, part, block, freq, below, symbol) for part in parts])[:count]
+
+
+def _decode_grid(
+    ahead: np.ndarray, first: np.ndarray, block: int, freq: np.ndarray, below: np.ndarray, symbol: np.ndarray
+) -> np.ndarray:
+    """The ids of the blocks whose words begin at ``first``; ``ahead`` has two words at each place."""
+    blocks, at = len(first), first + 4
+    code = (ahead.take(first, mode="clip").astype(np.uint64) << np.uint64(32)) | ahead.take(first + 2, mode="clip")
+    span = np.full(blocks, (1 << 64) - 1, np.uint64)
+    unit, shift, value = np.zeros((3, blocks), np.uint64)
+    few, fewer = np.zeros((2, blocks), bool)
+    read = np.zeros(blocks, np.uint8)
+    top, both, found, small = np.zeros((4, blocks), np.int32)
+    rest, near, quotient = np.zeros(blocks, np.uint32), np.zeros(blocks, np.uint32), np.zeros(blocks)
     out = np.zeros((block, blocks), np.uint16)
-    mixer = Mixer(blocks)
+    mixer = Mixer(blocks, freq, below)
     for t in range(block):
-        two, w2, one, w1 = mixer.predict()
-        c2, c1 = w2.astype(np.int64) << _BITS0, w1.astype(np.int64) << _BITS0
-        both = c2 + c1
-        unit = np.maximum(span >> np.uint64(32), np.uint64(1))
-        value = (code // unit).view(np.int64)
-        hit2 = value < c2
-        small = np.where(hit2, two, one)
-        start = np.where(hit2, 0, c2)
-        size = np.where(hit2, c2, c1)
-        free = np.flatnonzero(value >= both)
-        over = both[free]
-        w0 = (1 << _WEIGHT) - (over >> _BITS0)
-        found = symbol[np.minimum((value[free] - over) // w0, len(symbol) - 1)]
-        small[free] = found
-        start[free] = over + w0 * below.take(found)
-        size[free] = w0 * freq.take(found)
-        code -= unit * start.view(np.uint64)
-        span = unit * size.view(np.uint64)
-        go = np.flatnonzero(span < _LEAST)
-        while len(go):
-            place = at[go]
-            code[go] = (code[go] << np.uint64(16)) | padded.take(np.minimum(place, top))
-            at[go] = place + 1
-            wide = span[go] << np.uint64(16)
-            span[go] = wide
-            go = go[(wide < _LEAST) & (wide > 0)]
+        guess, weight = mixer.predict()
+        hit = mixer.hit
+        np.right_shift(span, np.uint64(32), out=unit)
+        np.maximum(unit, np.uint64(1), out=unit)
+        np.floor_divide(code, unit, out=value)
+        rest[:] = value.view(np.uint32)[::2]  # below 2**32
+        np.right_shift(rest, np.uint32(_BITS0), out=top.view(np.uint32))
+        np.add(weight[0], weight[1], out=both)
+        np.less(top, weight[0], out=hit[0])
+        np.less(top, both, out=hit[1])
+        hit[1] -= hit[0]
+        # Below 2**32 the quotient of doubles has the right whole part.
+        np.left_shift(both, _BITS0, out=both)
+        np.subtract(rest, both.view(np.uint32), out=rest)
+        np.divide(rest, mixer.left, out=quotient)
+        symbol.take(quotient.astype(np.int64), out=found, mode="clip")
+        start, size = mixer.ranged(hit, found)
+        np.multiply(found, mixer.miss, out=small)
+        np.multiply(guess, hit, out=mixer.work)
+        small += mixer.work[0]
+        small += mixer.work[1]
+        np.multiply(unit, start, out=start)
+        np.subtract(code, start, out=code)
+        np.multiply(unit, size, out=span)
+        np.less(span, _LEAST, out=few)
+        np.less(span, _LEAST >> np.uint64(16), out=fewer)
+        np.add(few.view(np.uint8), fewer.view(np.uint8), out=read)
+        np.multiply(read, np.uint64(16), out=shift)
+        np.left_shift(code, shift, out=code)
+        np.left_shift(span, shift, out=span)
+        ahead.take(at, out=near, mode="clip")
+        np.subtract(np.uint64(32), shift, out=shift)
+        np.right_shift(near, shift, out=value)
+        np.bitwise_or(code, value, out=code)
+        np.add(at, read, out=at)
         out[t] = small
-        mixer.update(small.astype(np.int64), small)
-    return out.T.reshape(-1)[:count]
+        mixer.update(small, np.equal(guess, small, out=hit))
+    return out.T.reshape(-1)
 
 
 # --- files ---
