@@ -101,11 +101,11 @@ def pretoken_starts(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
-def _byte_letters() -> str:
+def _byte_letters() -> np.ndarray:
     """The letter that byte-level models write for each byte: itself if printable, else the next from U+0100."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = iter(range(0x100, 0x200))
-    return "".join(chr(b if b in own else next(others)) for b in range(256))
+    return np.array([b if b in own else next(others) for b in range(256)], "<u2")
 
 
 @lru_cache(maxsize=2)
@@ -189,22 +189,25 @@ class IdEncoder:
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Encode and remember words that have no place yet."""
         # The byte 0xFF is in no UTF-8 text, so its letter separates words.
-        letters = b"\xff".join(map(str.encode, words)).decode("latin-1").translate(self.letters).split(self.letters[0xFF])
-        tokenize = self.model.tokenize
-        if self.added.keys().isdisjoint(words):
-            found = [[t.id for t in tokenize(w)] for w in letters]
-        else:  # every added token was cut out, so a pre-token that equals one is one
-            found = [
-                [self.added[w]] if w in self.added else [t.id for t in tokenize(x)]
-                for w, x in zip(words, letters, strict=True)
-            ]
+        raw = np.frombuffer(b"\xff".join(map(str.encode, words)), np.uint8)
+        letters = self.letters.take(raw).tobytes().decode("utf-16-le").split(chr(self.letters[0xFF]))
+        ids: list[int] = []
+        ends = []
+        # Every added token was cut out, so a pre-token that equals one is one.
+        added = {w: i for w, i in self.added.items() if w in words}
+        for w, x in zip(words, letters, strict=True):
+            if w in added:
+                ids.append(added[w])
+            else:
+                ids += [t.id for t in self.model.tokenize(x)]
+            ends.append(len(ids))
         known = self.place.count
         self.place.add(hashes)
-        ends = self.first[known] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        ends = self.first[known] + np.array(ends)
         self.first[known + 1 : known + 1 + len(ends)] = ends
         if ends[-1] > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros(ends[-1], np.uint16)]
-        self.flat[self.first[known] : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint16)
+        self.flat[self.first[known] : ends[-1]] = ids
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text's ids) of UTF-8 bytes."""
@@ -213,7 +216,7 @@ class IdEncoder:
             points, edges = data, bounds
         else:
             points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            edges = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][bounds]
+            edges = bounds - np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), bounds)
         tokens = self._added_at(text, edges)
         starts = pretoken_starts(points, np.r_[edges, tokens] if len(tokens) else edges)
         if len(tokens):  # a start strictly inside an added token follows its first code point only
@@ -257,7 +260,6 @@ _WEIGHT = 12  # mixing weights sum to 2**12
 _LEAST = np.uint64(1 << 48)
 _SLOTS = 256
 _NONE = 0xFFFF  # no prediction yet
-_TOGETHER = 2048  # blocks coded in step: their arrays stay in a core's cache
 _STARTING = (256, 700, 1400, 2000)  # success rates out of 2**12, by confidence
 
 
@@ -282,12 +284,14 @@ class Mixer:
     def __init__(self, blocks: int, freq: np.ndarray, below: np.ndarray):
         both = (2, blocks)
         self.cells = 4 * np.arange(2 * blocks).reshape(both)
-        self.base = _SLOTS * np.arange(2 * blocks).reshape(both)
+        # Slot by slot, so that the slots of frequent ids stand together for all blocks.
+        self.base = np.array([[0], [_SLOTS * blocks]]) + np.arange(blocks)
         self.table = np.full(2 * blocks * _SLOTS, _NONE << 2, np.int32)
         self.rate = np.tile(np.array(_STARTING, np.int32), 2 * blocks)
         self.slot, self.cell = self.base.copy(), self.cells.copy()
         self.entry, self.guess, self.trust, self.old, self.weight, self.hit, self.work = np.zeros((7, *both), np.int32)
-        self.one, self.before = np.zeros((2, blocks), np.uint32)
+        self.contexts = np.zeros(both, np.uint32)
+        self.before, self.one = self.contexts
         self.miss, self.left = np.zeros((2, blocks), np.int32)
         # Two 32-bit halves of one 64-bit number: sizes below, starts above.
         self.ranges = (below[:-1].astype(np.uint64) << np.uint64(32)) | freq.astype(np.uint64)
@@ -345,31 +349,23 @@ class Mixer:
         np.multiply(ids, np.uint32(40503), out=self.one)
         self.before += self.one
         self.before >>= np.uint32(3)
-        self.before &= np.uint32(_SLOTS - 1)
-        np.add(self.base[0], self.before, out=self.slot[0])
         self.one >>= np.uint32(4)
-        self.one &= np.uint32(_SLOTS - 1)
-        np.add(self.base[1], self.one, out=self.slot[1])
+        self.contexts &= np.uint32(_SLOTS - 1)
+        self.contexts *= np.uint32(len(self.one))
+        np.add(self.base, self.contexts, out=self.slot)
         np.multiply(ids, np.uint32(60493), out=self.before)
 
 
-def encode_blocks(ids: np.ndarray, block: int, freq: np.ndarray, below: np.ndarray) -> list[np.ndarray]:
-    """16-bit words of each block of ``block`` ids; the last one is filled up with its last id."""
-    blocks = -(-len(ids) // block)
-    grid = np.full(blocks * block, ids[-1], np.int32)
-    grid[: len(ids)] = ids
-    grid = grid.reshape(blocks, block)
-    parts = (grid[i : i + _TOGETHER] for i in range(0, blocks, _TOGETHER))
-    return list(chain.from_iterable(_encode_grid(np.ascontiguousarray(part.T), freq, below) for part in parts))
-
-
-def _encode_grid(grid: np.ndarray, freq: np.ndarray, below: np.ndarray) -> list[np.ndarray]:
-    """The words of the blocks that are the columns of the grid.
+def encode_blocks(ids: np.ndarray, block: int, freq: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(16-bit words, words of each block) of blocks of ``block`` ids; the last one is filled up with its last id.
 
     A step notes the upper half of ``low`` and how many words of it go out; words and carries are
     gathered from the notes when all steps are done.
     """
-    block, blocks = grid.shape
+    blocks = -(-len(ids) // block)
+    grid = np.full(blocks * block, ids[-1], np.int32)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(blocks, block).T)
     low, span = np.zeros(blocks, np.uint64), np.full(blocks, (1 << 64) - 1, np.uint64)
     unit, shift = np.zeros((2, blocks), np.uint64)
     high = np.zeros((block + 2, blocks), np.uint32)
@@ -395,47 +391,37 @@ def _encode_grid(grid: np.ndarray, freq: np.ndarray, below: np.ndarray) -> list[
         np.left_shift(span, shift, out=span)
         mixer.update(small, hit)
     high[block], high[block + 1] = low >> np.uint64(32), low
+    upto = np.cumsum(sent, axis=0, dtype=np.uint16 if block < 1 << 14 else np.int64)
+    sizes = upto[-1].astype(np.int64)
+    step, column = np.nonzero(carried)
+    over = (np.cumsum(sizes) - sizes)[column] + upto[step - 1, column] - 1  # the last word sent before the step
     high, sent = np.ascontiguousarray(high.T), np.ascontiguousarray(sent.T)
     there = np.stack([sent > 0, sent > 1], axis=-1)
-    words = ((high << np.uint32(16)) | (high >> np.uint32(16))).view(np.uint16).reshape(there.shape)[there].astype(np.int32)
-    upto = np.cumsum(sent.reshape(-1), dtype=np.int64)
-    carry = np.flatnonzero(np.ascontiguousarray(carried.T))
-    over = upto[carry - 1] - 1  # the last word sent before the step
-    words[over] += 1
-    over = over[words[over] > 0xFFFF]
-    while len(over):
-        words[over] = 0
-        over = over - 1
+    words = ((high << np.uint32(16)) | (high >> np.uint32(16))).view(np.uint16).reshape(there.shape)[there]
+    while len(over):  # a word that was full hands the carry on
         words[over] += 1
-        over = over[words[over] > 0xFFFF]
-    return np.split(words.astype(np.uint16), upto[block + 1 :: block + 2][:-1])
+        over = over[words[over] == 0] - 1
+    return words, sizes
 
 
 def decode_blocks(
     words: np.ndarray, sizes: np.ndarray, count: int, block: int, freq: np.ndarray, below: np.ndarray
 ) -> np.ndarray:
     """The ``count`` ids of blocks whose words stand one after the other."""
-    symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+    symbol = np.repeat(np.arange(len(freq), dtype=np.uint16), freq)
     # Damaged words must not lead beyond the end; the checksum tells.
     padded = np.r_[words, np.zeros(8, np.uint16)].astype(np.uint32)
     ahead = (padded[:-1] << np.uint32(16)) | padded[1:]
-    first = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-    parts = (first[i : i + _TOGETHER] for i in range(0, len(first), _TOGETHER))
-    return np.concatenate([_decode_grid(ahead, part, block, freq, below, symbol) for part in parts])[:count]
-
-
-def _decode_grid(
-    ahead: np.ndarray, first: np.ndarray, block: int, freq: np.ndarray, below: np.ndarray, symbol: np.ndarray
-) -> np.ndarray:
-    """The ids of the blocks whose words begin at ``first``; ``ahead`` has two words at each place."""
-    blocks, at = len(first), first + 4
+    blocks, first = len(sizes), np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
+    at = first + 4
     code = (ahead.take(first, mode="clip").astype(np.uint64) << np.uint64(32)) | ahead.take(first + 2, mode="clip")
     span = np.full(blocks, (1 << 64) - 1, np.uint64)
     unit, shift, value = np.zeros((3, blocks), np.uint64)
     few, fewer = np.zeros((2, blocks), bool)
     read = np.zeros(blocks, np.uint8)
-    top, both, found, small = np.zeros((4, blocks), np.int32)
-    rest, near, quotient = np.zeros(blocks, np.uint32), np.zeros(blocks, np.uint32), np.zeros(blocks)
+    top, both, small = np.zeros((3, blocks), np.int32)
+    found, index, quotient = np.zeros(blocks, np.uint16), np.zeros(blocks, np.int64), np.zeros(blocks)
+    rest, near = np.zeros((2, blocks), np.uint32)
     out = np.zeros((block, blocks), np.uint16)
     mixer = Mixer(blocks, freq, below)
     for t in range(block):
@@ -454,7 +440,8 @@ def _decode_grid(
         np.left_shift(both, _BITS0, out=both)
         np.subtract(rest, both.view(np.uint32), out=rest)
         np.divide(rest, mixer.left, out=quotient)
-        symbol.take(quotient.astype(np.int64), out=found, mode="clip")
+        np.copyto(index, quotient, casting="unsafe")
+        symbol.take(index, out=found, mode="clip")
         start, size = mixer.ranged(hit, found)
         np.multiply(found, mixer.miss, out=small)
         np.multiply(guess, hit, out=mixer.work)
@@ -476,7 +463,7 @@ def _decode_grid(
         np.add(at, read, out=at)
         out[t] = small
         mixer.update(small, np.equal(guess, small, out=hit))
-    return out.T.reshape(-1)
+    return out.T.reshape(-1)[:count]
 
 
 # --- files ---
@@ -486,21 +473,21 @@ def packed(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block
     """The bytes of one file."""
     held = np.bincount(ids, minlength=1)
     freq, below = order0(held)
-    bodies = encode_blocks(ids, block, freq, below) if len(ids) else []
-    sums = [zlib.crc32(ids[i : i + block].astype("<u2").tobytes()) for i in range(0, len(ids), block)]
+    words, sizes = encode_blocks(ids, block, freq, below) if len(ids) else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
+    raw = memoryview(ids.astype("<u2").view(np.uint8))
+    sums = [zlib.crc32(raw[i : i + 2 * block]) for i in range(0, len(raw), 2 * block)]
     table = zlib.compress(held.astype("<u4").tobytes())
     index = zlib.compress(
         np.array([d is None for d in doc_ids], "<u1").tobytes()
         + np.array([d or 0 for d in doc_ids], "<i8").tobytes()
         + counts.astype("<i8").tobytes()
     )
-    blocks = np.stack([[len(b) for b in bodies], sums], axis=1).astype("<u4").tobytes() if bodies else b""
+    blocks = np.stack([sizes, np.array(sums, np.int64)], axis=1).astype("<u4").tobytes()
     head = json.dumps({
         "ids": len(ids), "documents": len(doc_ids), "block": block, "table": len(table), "index": len(index),
         "index_crc32": zlib.crc32(index), "table_crc32": zlib.crc32(table),
     }).encode()
-    body = b"".join(b.astype("<u2").tobytes() for b in bodies)
-    return b"".join([MAGIC, struct.pack("<I", len(head)), head, table, index, blocks, body])
+    return b"".join([MAGIC, struct.pack("<I", len(head)), head, table, index, blocks, words.astype("<u2").tobytes()])
 
 
 def unpacked(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -526,8 +513,9 @@ def unpacked(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if n:
         freq, below = order0(np.frombuffer(zlib.decompress(table), "<u4").astype(np.int64))
         ids = decode_blocks(words, entries[:, 0].astype(np.int64), n, block, freq, below)
-    for k in range(blocks):
-        if zlib.crc32(ids[k * block : (k + 1) * block].astype("<u2").tobytes()) != entries[k, 1]:
+    raw = memoryview(ids.astype("<u2").view(np.uint8))
+    for k, known in enumerate(entries[:, 1].tolist()):
+        if zlib.crc32(raw[2 * k * block : 2 * (k + 1) * block]) != known:
             raise ValueError(f"block {k} is damaged")
     return [None if a else int(d) for a, d in zip(absent, names, strict=True)], counts, ids
 
