@@ -6,9 +6,14 @@ errors as data; ``checked`` raises with a bounded message where a caller wants r
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoorline.functions.text import SPACE
@@ -141,10 +146,100 @@ def read_phash(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
     return entries.select("image_id", F.conv("hex", 16, -10).cast("bigint").alias("dhash"))
 
 
+#: Longer files are read in pieces. Pieces of a task are joined up to PIECE_BYTES, so that a batch of them is small.
+WHOLE_BYTES = 32 << 20
+PIECE_BYTES = 8 << 10
+
+#: Spark's line reader would unpack files of these names.
+PACKED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst|lzo)$"
+
+
+def _kind(file: Column) -> Column:
+    """The suffix of a file by its metadata, so that a scan need not open files of other kinds."""
+    return suffix(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))))
+
+
+def _joined_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring lines of one part of a file as one piece, numbered in order."""
+    at = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, block = batch.column("_file").dictionary_encode().indices.to_numpy(), batch.column("_block").to_numpy()
+        lines = batch.column("line")
+        filled = np.cumsum(pc.binary_length(lines).to_numpy().astype(np.int64) + 1) // PIECE_BYTES
+        cuts = (np.diff(file) != 0) | (np.diff(block) != 0) | (np.diff(filled) != 0)
+        starts = np.concatenate([[0], np.flatnonzero(cuts) + 1])
+        edges = pa.array(np.append(starts, len(file)).astype(np.int64))
+        pieces = pc.binary_join(pa.LargeListArray.from_arrays(edges, lines), b"\n")
+        first = batch.select(["_file", "_block", "_size"]).take(pa.array(starts))
+        order = pa.array(np.arange(at, at + len(starts)))
+        at += len(starts)
+        yield pa.RecordBatch.from_arrays([*first.columns, order, pieces], ["_file", "_block", "_size", "_at", "piece"])
+
+
+def _sha256_of_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The checksum of each file from its pieces in order, a line break between two."""
+    mark = b"\xef\xbb\xbf"  # the line reader drops it from the start of a file
+
+    def closed(file: str, size: int, held: int, plain, marked) -> pa.RecordBatch:
+        for start, found in ((0, plain), (len(mark), marked)):
+            for end in (b"", b"\n"):
+                if held + start + len(end) == size:
+                    found.update(end)
+                    return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([found.hexdigest()])], ["_file", "_sha"])
+        raise ValueError(f"{file} has {size} bytes, of which {held} were read")
+
+    now, size, held, plain, marked = None, 0, 0, None, None
+    for batch in batches:
+        for file, bytes_, piece in zip(*(batch.column(c) for c in ("_file", "_size", "piece")), strict=True):
+            if file.as_py() != now:
+                if now is not None:
+                    yield closed(now, size, held, plain, marked)
+                now, size, held = file.as_py(), bytes_.as_py(), 0
+                plain, marked = hashlib.sha256(), hashlib.sha256(mark)
+            else:
+                held += 1
+                plain.update(b"\n")
+                marked.update(b"\n")
+            view = piece.as_buffer()
+            held += view.size
+            plain.update(view)
+            marked.update(view)
+    if now is not None:
+        yield closed(now, size, held, plain, marked)
+
+
+def _long_checksums(spark: SparkSession, root: str, wanted: list[str]) -> DataFrame:
+    """(_file, _sha) of the files longer than ``WHOLE_BYTES``; a task holds a batch of pieces of one file.
+
+    A checksum is one chain, so one task goes through a file in order, but never holds it: pieces end
+    at line break bytes and are brought into order by a sort that spills.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(root)
+    long = (meta["file_size"] > WHOLE_BYTES) & ~meta["file_path"].rlike(PACKED)
+    if wanted:
+        long &= _kind(meta["file_path"]).isin(*wanted)
+    rows = lines.filter(long).select(
+        meta["file_path"].alias("_file"),
+        meta["file_block_start"].alias("_block"),
+        meta["file_size"].alias("_size"),
+        F.col("value").cast("binary").alias("line"),
+    )
+    parts = "_file string, _block bigint, _size bigint"
+    pieces = rows.mapInArrow(_joined_lines, f"{parts}, _at bigint, piece binary")
+    ordered = pieces.repartition("_file").sortWithinPartitions("_file", "_block", "_at")
+    return ordered.mapInArrow(_sha256_of_pieces, "_file string, _sha string")
+
+
 def read_files(
     spark: SparkSession, root: str, suffixes: list[str] | None = None, content: bool = False
 ) -> DataFrame:
-    """(relative_path, file_sha256, byte_size[, content]) of every supported file below ``root``."""
+    """(relative_path, file_sha256, byte_size[, content]) of every supported file below ``root``.
+
+    Without ``content``, no file longer than ``WHOLE_BYTES`` is held whole, unless its name is of a packed one.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     )
@@ -154,17 +249,26 @@ def read_files(
     system = place.getFileSystem(spark._jsc.hadoopConfiguration())
     base = system.makeQualified(place).toString().rstrip("/") + "/"
     own = F.col("path").startswith(base)
-    rows = files.withColumn(
-        "relative_path", F.when(own, F.substring("path", len(base) + 1, 1 << 30)).otherwise(F.col("path"))
+    rows = files.withColumns(
+        {
+            "relative_path": F.when(own, F.substring("path", len(base) + 1, 1 << 30)).otherwise(F.col("path")),
+            "_file": F.col("_metadata.file_path"),
+        }
     )
     if wanted:
-        rows = rows.filter(suffix("relative_path").isin(*wanted))
-    kept = ["content"] if content else []
-    return rows.select(
-        "relative_path",
-        F.sha2("content", 256).alias("file_sha256"),
-        F.col("length").alias("byte_size"),
-        *kept,
+        rows = rows.filter(_kind(F.col("_file")).isin(*wanted))
+    size = F.col("length").alias("byte_size")
+    whole = F.sha2("content", 256).alias("file_sha256")
+    if content:
+        return rows.select("relative_path", whole, size, "content")
+    # each condition stands alone, as the scan then leaves out files before it reads them
+    short, long = rows.filter(F.col("length") <= WHOLE_BYTES), rows.filter(F.col("length") > WHOLE_BYTES)
+    packed = F.col("_file").rlike(PACKED)
+    held = short.unionByName(long.filter(packed)).select("relative_path", whole, size)
+    chained = F.coalesce("_sha", F.raise_error(F.concat("_file", F.lit(" was not read")))).alias("file_sha256")
+    named = long.filter(~packed).select("relative_path", "length", "_file")
+    return held.unionByName(
+        named.join(_long_checksums(spark, root, wanted), "_file", "left").select("relative_path", chained, size)
     )
 
 

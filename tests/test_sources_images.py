@@ -1,3 +1,4 @@
+import hashlib
 import json
 import struct
 import zlib
@@ -316,3 +317,33 @@ def test_homography_of_points_without_area_has_no_inlier():
 
     line = np.array([[float(i), 2.0 * i] for i in range(9)])
     assert homography_inliers(line, line, 1.0, 50) == 0
+
+
+def test_long_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    """Line breaks at either end or nowhere, byte order marks, no text, many splits; no content is read whole."""
+    rng = np.random.default_rng(11)
+    root = tmp_path / "long"
+    (root / "a b").mkdir(parents=True)
+    noise = rng.integers(0, 256, 300_000, dtype=np.uint8).tobytes()
+    made = {
+        "noise.png": noise, "end.png": noise + b"\n", "ends.png": b"\n\n" + noise + b"\r\n\n\n", "breaks.png": b"\n" * 5000,
+        "mark.png": b"\xef\xbb\xbf" + noise, "marked.png": b"\xef\xbb\xbf" * 2 + noise + b"\n", "none.png": b"\0" * 70_000,
+        "a b/c%20d.png": noise[:50_000] + "é\n".encode("utf-16"), "small.png": b"x", "note.txt": noise,
+        "packed.png.gz": noise,
+    }
+    for name, data in made.items():
+        (root / name).write_bytes(data)
+    monkeypatch.setattr(src, "WHOLE_BYTES", 1000)
+    monkeypatch.setattr(src, "PIECE_BYTES", 700)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        found = rows(src.read_files(spark, str(root)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    want = {n: d for n, d in made.items() if n.endswith(".png")}
+    assert found == sorted((n, hashlib.sha256(d).hexdigest(), len(d)) for n, d in want.items())
+    every = rows(src.read_files(spark, str(root), suffixes=[]))
+    assert every == sorted((n, hashlib.sha256(d).hexdigest(), len(d)) for n, d in made.items())
